@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "tokenfile")
+MODULES = ("simhash", "tokenfile", "toxicity")
 
 
 def _gather(name: str) -> dict:
