@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "simhash", "embedding", "tokenfile", "toxicity")
+MODULES = ("packing", "urlfilter", "simhash", "embedding", "tokenfile", "toxicity")
 
 
 def _gather(name: str) -> dict:
