@@ -46,7 +46,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def crc_mod(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % mod
+    return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % mod
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:

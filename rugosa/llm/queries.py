@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "urlfilter", "simhash", "embedding", "tokenfile", "license", "toxicity")
+MODULES = ("packing", "urlfilter", "simhash", "embedding", "ctw", "tokenfile", "license", "toxicity")
 
 
 def _gather(name: str) -> dict:
