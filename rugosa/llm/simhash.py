@@ -222,15 +222,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, budget: int = 3, id
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, budget: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component one row of its smallest doc_id.
 
-    Rows without an id are kept. Of several rows of the staying id, the one with the lowest fingerprint stays;
-    equal ones are told apart by their places in the input.
+    Rows without an id are kept. Of several rows of the staying id the first in the input stays.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    row, stays = common.fresh(docs, "row"), common.fresh(docs, "stays")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
     near = near_duplicates(docs, shingle_words, budget)
-    stay = near.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    out = rows.join(stay, rows.doc_id == stay["_stays"], "left_semi")
-    one = out.groupBy("doc_id").agg(F.min("_row").alias("_row"))
-    return out.join(one.select("_row"), "_row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    stay = near.where("doc_id = component_id").select(F.col("doc_id").alias(stays)).distinct()
+    out = rows.join(stay, rows.doc_id == stay[stays], "left_semi")
+    one = out.groupBy("doc_id").agg(F.min(row).alias(row))
+    return out.join(one.select(row), row, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
