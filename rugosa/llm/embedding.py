@@ -23,6 +23,8 @@ def usable(vec: str):
 
 def stacked(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors of one length as the rows of a matrix."""
+    if not len(column):
+        return np.empty((0, 0))
     flat = pa.chunked_array([c.flatten() for c in column.chunks]).to_numpy() if column.num_chunks else np.empty(0)
     return np.asarray(flat, np.float64).reshape(len(column), -1)
 
