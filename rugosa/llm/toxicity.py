@@ -72,8 +72,9 @@ class FactorizationMachine:
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -30, 30)))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 256, lr: float = 0.15, l1: float = 3e-4, l2: float = 1e-3, min_df: int = 3, seed: int = 7) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 256, lr: float = 0.15, l1: float = 3e-4, l2: float = 1e-3, min_df: int = 3, seed: int = 7, least_steps: int = 400) -> FactorizationMachine:
         rng, k = np.random.default_rng(seed), self.k
+        epochs = max(epochs, min(60, least_steps * batch // max(1, len(rows))))  # few rows are gone through more often
         df = np.zeros(1 << self.bits, np.int64)
         for r in rows:
             df[r] += 1
