@@ -165,7 +165,7 @@ def near_links(fps: DataFrame, budget: int = 3, most: int | None = None) -> Data
     got = fps.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int").alias("p")).count().toArrow()
     prefixes, counts = got.column("p").to_numpy().astype(np.int64), got.column("count").to_numpy()
     total = int(counts.sum()) if len(counts) else 0
-    most = most or max(4096, total // 1024)
+    most = most or min(4_000_000, max(64, total // 24))  # about 32 nodes at any size, until they get too large for a task
     cut = sorted(trie_cut(prefixes, counts, most), key=lambda n: n[1] << (TOP_BITS - n[0]))
     pairs = node_pairs(cut, budget)
     by: list[list[tuple[int, int]]] = [[] for _ in cut]
