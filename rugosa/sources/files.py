@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formats
+from . import formats, instruments
 from .errors import MetadataAlreadyFixedByFile, UnknownChannel
 
 CHANNELS = "path string, format string, channel_index int, channel_id string, name string, kind string, nb_grid_pts array<int>, physical_sizes array<double>, unit string, periodic boolean, undefined boolean, error string"
@@ -92,7 +92,7 @@ def to_matrix(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def to_files(points: DataFrame, kind: str, nx: int, ny: int | None, size: tuple[float, ...] | None = None, unit: str | None = None, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
-    """(keys, content): each measurement as the bytes of a file: nc, npy or x3p. Nonuniform scans (ny None, with x): nc."""
+    """(keys, content): each measurement as the bytes of a file: nc, npy, x3p or gwy. Nonuniform scans (ny None, with x): nc."""
     kinds = ", ".join(f"{c} {t}" for c, t in points.select(*keys).dtypes)
     uneven = ny is None and "x" in points.columns and size is None
 
@@ -109,7 +109,7 @@ def to_files(points: DataFrame, kind: str, nx: int, ny: int | None, size: tuple[
             np.save(out, h)
             content = out.getvalue()
         else:
-            content = {"nc": formats.write_netcdf3, "x3p": formats.write_x3p}[kind](c)
+            content = {"nc": formats.write_netcdf3, "x3p": formats.write_x3p, "gwy": instruments.write_gwy}[kind](c)
         return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"content": [content]})
 
     return points.groupBy(*keys).applyInPandas(run, f"{kinds}, content binary")
