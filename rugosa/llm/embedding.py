@@ -145,13 +145,16 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of scores the places of its k highest, ties to the smaller id; own: the query's place or -1."""
+def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of scores the ids and scores of its k highest, ties to the smaller id; own: ids that aren't answers."""
+    there = np.isin(own, ids)
     for i in range(len(scores)):
-        s = scores[i]
-        at = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]) if len(s) > k + 1 else np.arange(len(s))
-        at = at[at != own[i]]
-        yield i, at[np.lexsort((ids[at], -s[at]))][:k]
+        s, x = scores[i], ids
+        if there[i]:
+            s, x = s[ids != own[i]], ids[ids != own[i]]
+        at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+        at = at[np.lexsort((x[at], -s[at]))][:k]
+        yield i, x[at], s[at]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "v", pivots: int = 64, block: int = TILE, sample_rows: int = 4096) -> DataFrame:
@@ -199,15 +202,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         key = table.column("key").fill_null(-1).to_numpy()[is_q]
         q, q_id, x, ids = x[is_q], ids[is_q], x[~is_q], ids[~is_q]
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
-        order = np.argsort(ids, kind="stable")
-        place = {int(v): i for i, v in enumerate(ids)} if len(q) else {}
-        del order
         for i in range(0, len(q) if len(ids) else 0, 256):
-            s = exact_products(q[i : i + 256], x)
-            own = np.array([place.get(int(v), -1) for v in q_id[i : i + 256]])
-            for j, at in best(s, ids, own, k):
-                n = len(at)
-                for c, v in zip(out, (np.full(n, key[i + j]), np.full(n, q_id[i + j]), ids[at], s[j, at]), strict=True):
+            for j, x_id, score in best(exact_products(q[i : i + 256], x), ids, q_id[i : i + 256], k):
+                n = len(x_id)
+                for c, v in zip(out, (np.full(n, key[i + j]), np.full(n, q_id[i + j]), x_id, score), strict=True):
                     c.append(v)
         return pa.table({n: pa.array(np.concatenate(c), pa.int64()) for n, c in zip(("key", "query_id", "vec_id", "score"), out, strict=True)})
 
