@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 
-from ..functions.units import conversion_factor, is_length_unit
+from ..functions.units import canonical, conversion_factor, is_length_unit
 from .errors import CorruptFile
 from .formats import Channel, reader
 
@@ -129,6 +129,38 @@ def opd(content: bytes) -> list[Channel]:
     return [Channel(n, h * scale, (h.shape[0] * value["Pixel_size"], h.shape[1] * value["Pixel_size"] * value["Aspect"]), "mm") for n, h in raw]
 
 
+@reader("sur", "sur", starts=(b"DIGITAL SURF",))
+def sur(content: bytes) -> list[Channel]:
+    """A fixed head of 512 bytes, two texts, then 16- or 32-bit integers times a height step."""
+    c = Cursor(content, 98)
+    bits, _, _, nx, ny, n, dx, dy, dz = c.take("HiiiiIfff")
+    _grid(nx, ny)
+    if n != nx * ny or bits not in (16, 32):
+        raise CorruptFile("numbers of points that disagree")
+    c.at += 3 * 16  # names of the axes
+    ux, uy, uz = (c.text(16) for _ in range(3))
+    (comment, private) = Cursor(content, 334).take("HH")
+    h = Cursor(content, 512 + comment + private).array(f"<i{bits // 8}", n).reshape(ny, nx).T.astype(float)
+    return [Channel("Default", h * dz, (nx * dx * conversion_factor(ux, uz), ny * dy * conversion_factor(uy, uz)), uz)]
+
+
+@reader("wsxm", "cur", "stp", "tom", "top", starts=(b"WSxM file copyright",))
+def wsxm(content: bytes) -> list[Channel]:
+    """Sections of key: value lines up to [Header end], then the image; the range of values spans the z amplitude."""
+    head, found, _ = content.partition(b"[Header end]")
+    if not found:
+        raise CorruptFile("no end of the header")
+    tags = {k.strip(): v.strip() for line in head.decode("latin1").splitlines() for k, colon, v in [line.partition(":")] if colon}
+    nx, ny = int(tags["Number of columns"]), int(tags["Number of rows"])
+    _grid(nx, ny)
+    dtype = {"short": "<i2", "integer": "<i2", "float": "<f4", "double": "<f8"}[tags["Image Data Type"]]
+    h = Cursor(content, content.index(b"\n", len(head)) + 1).array(dtype, nx * ny).reshape(ny, nx).T.astype(float)
+    (sx, ux), (sy, uy), (sz, uz) = (tags[k].split()[:2] for k in ("X Amplitude", "Y Amplitude", "Z Amplitude"))
+    unit = canonical(uz)
+    scale = float(sz) / (float(tags["Maximum"]) - float(tags["Minimum"]))
+    return [Channel("Default", h * scale, (float(sx) * conversion_factor(ux, unit), float(sy) * conversion_factor(uy, unit)), unit)]
+
+
 # --- Gwyddion objects ------------------------------------------------------------------------------
 
 _ATOMS = {b"b": "?", b"c": "B", b"i": "i", b"q": "q", b"d": "d"}

@@ -63,3 +63,19 @@ def test_gwy(hole):
         h[1, 1] = np.nan
     c = only(instruments.write_gwy(formats.Channel("Height", h, (4.0, 3.0), "µm")), "gwy")
     assert c.name == "Height" and np.allclose(c.heights, h * 1e-6, equal_nan=True) and np.allclose(c.size, (4e-6, 3e-6)) and c.unit == "m"
+
+
+def test_sur():
+    text = lambda s: s.encode("latin1").ljust(16, b"\0")
+    raw = struct.pack("<12sHHHH30s30sHHHHHII", b"DIGITAL SURF", 0, 1, 1, 2, b"", b"", 0, 0, 0, 0, 0, 0, 0)
+    raw += struct.pack("<HiiiiIfff", 16, 0, 11, 4, 3, 12, 2.0, 3.0, 0.5) + b"".join(map(text, ["X", "Y", "Z", "mm", "mm", "µm", "mm", "mm", "µm"]))
+    raw += struct.pack("<fff", 1, 1, 1) + struct.pack("<HHHIII7HfIIH", *[0] * 13, 0.0, 0, 0, 0) + struct.pack("<HH", 3, 2) + b"\0" * 128 + struct.pack("<fff", 0, 0, 0) + b"\0" * 34
+    assert len(raw) == 512
+    c = only(raw + b"abcde" + ROWS.astype("<i2").tobytes(), "sur")
+    assert np.array_equal(c.heights, GRID / 2) and np.allclose(c.size, (8000, 9000)) and c.unit == "µm"
+
+
+def test_wsxm():
+    head = "WSxM file copyright\r\nSxM Image file\r\nImage header size: 1\r\n[Control]\r\nX Amplitude: 4 nm\r\nY Amplitude: 3 nm\r\n[General Info]\r\nNumber of columns: 4\r\nNumber of rows: 3\r\nImage Data Type: double\r\nZ Amplitude: 22 nm\r\n[Miscellaneous]\r\nMaximum: 11\r\nMinimum: 0\r\n[Header end]\r\n"
+    c = only(head.encode() + ROWS.astype("<f8").tobytes(), "wsxm")
+    assert np.array_equal(c.heights, 2 * GRID) and c.size == (4, 3) and c.unit == "nm"
