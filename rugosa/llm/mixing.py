@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .toxicity import hasher
+from .toxicity import hasher, term_rows
 
 #: Labelled rows the classifier is fitted on at most (lowest hashes of ids): a bound of the training alone.
 MAX_TRAIN_ROWS = 12_000
@@ -46,8 +46,8 @@ class Softmax:
         for r in rows:
             df[r] += 1
         use = np.flatnonzero(df >= min_df)
-        to = np.full(1 << self.bits, -1, np.int64)
-        to[use] = np.arange(len(use))
+        to = np.full(1 << self.bits, -1, np.int32)
+        to[use] = np.arange(len(use), dtype=np.int32)
         rows = [(x := to[r])[x >= 0] for r in rows]
         share = (np.bincount(y, minlength=k) + 0.5) / (len(y) + 0.5 * k)
         self.b = np.log(share)
@@ -89,7 +89,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], domai
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), b.column("domain"), pa.array([h.terms(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "domain", "terms"])
 
     got = train.mapInArrow(terms, "id long, domain string, terms binary").dropDuplicates(["id", "terms"]).orderBy(F.xxhash64("id"), F.col("id"), F.crc32("terms")).limit(max_rows).toArrow()
-    rows = [np.frombuffer(t, "<u4") for t in got.column("terms").to_pylist()]
+    rows = term_rows(got.column("terms"))
     y = np.array([domains.index(d) for d in got.column("domain").to_pylist()], np.int64)
     return Softmax(bits, len(domains)).fit(rows, y)
 

@@ -79,8 +79,8 @@ class FactorizationMachine:
         for r in rows:
             df[r] += 1
         use = np.flatnonzero(df >= min_df)
-        to = np.full(1 << self.bits, -1, np.int64)
-        to[use] = np.arange(len(use))
+        to = np.full(1 << self.bits, -1, np.int32)
+        to[use] = np.arange(len(use), dtype=np.int32)
         rows = [(x := to[r])[x >= 0] for r in rows]
         d = len(use)
         p = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
@@ -100,7 +100,7 @@ class FactorizationMachine:
                 z = self.b + np.add.reduceat(w[at], starts) + ((s * s).sum(1) - np.add.reduceat((va * va).sum(1), starts)) / (2 * n)
                 g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
                 dw = np.bincount(at, g[of], d)
-                dv = ((g / n)[of])[:, None] * (s[of] - va)
+                gn = (g / n)[of]
                 self.b -= lr * float(g.sum())
                 gw += dw * dw
                 step = lr / np.sqrt(gw)
@@ -108,7 +108,7 @@ class FactorizationMachine:
                 seen = dw != 0
                 w[seen] = np.sign(w[seen]) * np.maximum(np.abs(w[seen]) - step[seen] * l1, 0)
                 for f in range(k):
-                    dvf = np.bincount(at, dv[:, f], d) + l2 * v[:, f] * seen / len(part)
+                    dvf = np.bincount(at, gn * (s[of, f] - va[:, f]), d) + l2 * v[:, f] * seen / len(part)
                     gv[:, f] += dvf * dvf
                     v[:, f] -= lr * 0.3 * dvf / np.sqrt(gv[:, f])
         self.w[use], self.v[use] = w, v
@@ -131,8 +131,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), b.column("y"), pa.array([h.terms(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "y", "terms"])
 
     got = train.mapInArrow(terms, "id long, y int, terms binary").dropDuplicates(["id", "terms"]).orderBy(F.xxhash64("id"), F.col("id"), F.crc32("terms")).limit(max_rows).toArrow()
-    rows = [np.frombuffer(t, "<u4") for t in got.column("terms").to_pylist()]
-    return FactorizationMachine(bits).fit(rows, np.array(got.column("y").to_pylist(), np.float64))
+    return FactorizationMachine(bits).fit(term_rows(got.column("terms")), np.array(got.column("y").to_pylist(), np.float64))
+
+
+def term_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row's terms, as views of the column's own memory."""
+    out = []
+    for c in column.chunks:
+        if len(c):
+            kind = np.dtype("<i8" if pa.types.is_large_binary(c.type) else "<i4")
+            ends = np.frombuffer(c.buffers()[1], kind, len(c) + 1, c.offset * kind.itemsize)
+            out += [np.frombuffer(c.buffers()[2], "<u4", (b - a) // 4, a) if b > a else np.empty(0, "<u4") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", batch_rows: int = 256):
