@@ -52,7 +52,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     Each line of the text, and the text as a whole (line 0), is a unit. Its Dice coefficient with a template is
     2 c / (m + n): c common bigrams, m and n those of both, repeats counted. A unit can reach `least` only if
     least / (2 - least) <= m / n <= (2 - least) / least, so other templates, and units out of reach of all, are never
-    compared. The best match of a document is the highest; ties go to the earlier line, then the earlier template. n_lines
+    compared; nor are units with more words that no template has than a match can have. The best match of a document is the highest; ties go to the earlier line, then the earlier template. n_lines
     counts the lines that match a template. No match, null or empty text: null, null, null, null, 0.
     """
     grams = [(i, name, b) for i, (name, t) in enumerate(templates) if (b := template_bigrams(t))]
@@ -64,11 +64,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
         t = F.trim(line)
         return F.struct(n.alias("line"), t.alias("t"), (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).alias("m"))
 
-    def bigrams(t: Column) -> Column:
-        w = F.split(t, " ", -1)
-        b = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+    def let(value: Column, then) -> Column:
+        """then(value), the value worked out once: inside a lambda an expression is evaluated at each use."""
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    def numbered(b: Column) -> Column:
         return F.transform(b, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(b, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
 
+    def bigrams(t: Column) -> Column:
+        pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+        return let(F.split(t, " ", -1), lambda w: let(pairs(w), numbered))
+
     def compared(u: Column) -> Column:
         fit = F.filter(known, lambda k: (u["m"] >= k["n"] * low - 1e-9) & (u["m"] <= k["n"] * high + 1e-9))
         dice = F.transform(fit, lambda k: F.struct((F.size(F.array_intersect(u["b"], k["b"])) * 2.0 / (u["m"] + k["n"])).alias("dice"), (-u["line"]).alias("line"), (-k["i"]).alias("i"), k["name"].alias("name")))
@@ -78,6 +84,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     lines = F.transform(F.split("t", "\n", -1), lambda x, i: unit(x, i + 1))
     units = F.when(F.instr("t", "\n") > 0, F.concat(lines, F.array(unit(F.translate("t", "\n", " "), F.lit(0))))).otherwise(lines)
     near = F.filter(units, lambda u: (u["m"] >= shortest - 1e-9) & (u["m"] <= longest + 1e-9) & (u["m"] > 0))
+    # A match shares low * m of its bigrams at least, and k words that no template has spoil k - 1 or more.
+    vocabulary = F.array(*map(F.lit, sorted({w for _, _, b in grams for x in b for w in x.rpartition("#")[0].split(" ")})))
+    near = F.filter(near, lambda u: F.size(F.array_except(F.split(u["t"], " ", -1), vocabulary)) <= u["m"] * (1 - low) + 1 + 1e-9)
     rows = rows.select("doc_id", near.alias("near"))
     hits = F.flatten(F.transform(F.transform("near", lambda u: F.struct(u["line"].alias("line"), u["m"].alias("m"), bigrams(u["t"]).alias("b"))), compared))
     rows = rows.select("doc_id", hits.alias("hits"))
