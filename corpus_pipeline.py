@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rugosa.llm import common, mixing, packing, simhash, tokens, toxicity
+from rugosa.llm import common, mixing, packing, shingles, tokens, toxicity
 
 #: Shares of tokens after mixing; every document stays, scarce domains are repeated (up to four times).
 MIX = {"good": 0.8, "poor": 0.2}
@@ -17,8 +17,8 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints over five-word shingles are linked by at most five bits."""
-    return simhash.drop_near_duplicates(docs, shingle_words=5, budget=5)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return shingles.drop_near_duplicates(docs, shingle_words=5, least=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

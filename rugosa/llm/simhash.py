@@ -15,24 +15,28 @@ from . import common
 TOP_BITS = 16
 
 
-def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int:
-    """64 bits as a signed integer: each is 1 if set in over half the XXH64 values of the shingles, repeats included.
+def shingle_hashes(text: str | None, shingle_words: int = 3, seed: int = 42) -> list[int]:
+    """XXH64 of each shingle, repeats included.
 
     A-Z is lower-cased; words are runs of anything but the six ASCII white-space characters. Fewer words than a
-    shingle has: the whole sequence is the one shingle. No words, or a null text: zero.
+    shingle has: the whole sequence is the one shingle. No words, or a null text: none.
     """
     words = (text or "").encode().lower().split()
     n, k, hashed = len(words), shingle_words, xxhash.xxh64_intdigest
-    if not n:
-        return 0
     joined = b" ".join(words)
     if n <= k:
-        h = [hashed(joined, seed)]
-    else:
-        length = np.fromiter(map(len, words), np.int64, n) + 1
-        ends = np.cumsum(length) - 1
-        starts = (ends - length + 1)[: n - k + 1].tolist()
-        h = [hashed(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
+        return [hashed(joined, seed)] if n else []
+    length = np.fromiter(map(len, words), np.int64, n) + 1
+    ends = np.cumsum(length) - 1
+    starts = (ends - length + 1)[: n - k + 1].tolist()
+    return [hashed(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int:
+    """64 bits as a signed integer: each is 1 if set in over half the values of shingle_hashes. No words, or a null text: zero."""
+    h = shingle_hashes(text, shingle_words, seed)
+    if not h:
+        return 0
     # Counts by bit: sums of 255 rows of ones fit in a byte.
     rows = np.zeros((-(-len(h) // 255) * 255, 8), np.uint8)
     rows[: len(h)] = np.array(h, "<u8").view(np.uint8).reshape(-1, 8)
@@ -219,20 +223,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, budget: int = 3, id
     return known.unionByName(t.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, budget: int = 5) -> DataFrame:
+def first_of_components(docs: DataFrame, near: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component one row of its smallest doc_id.
 
     Rows without an id are kept. Of several rows of the staying id the first in the input stays.
     """
     row, stays = common.fresh(docs, "row"), common.fresh(docs, "stays")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
-    near = near_duplicates(docs, shingle_words, budget)
     stay = near.where("doc_id = component_id").select(F.col("doc_id").alias(stays)).distinct()
     out = rows.join(stay, rows.doc_id == stay[stays], "left_semi")
     one = out.groupBy("doc_id").agg(F.min(row).alias(row))
     return out.join(one.select(row), row, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, budget: int = 5) -> DataFrame:
+    """The first of each component of near_duplicates, as first_of_components has it."""
+    return first_of_components(docs, near_duplicates(docs, shingle_words, budget))
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     near = near_duplicates(common.read_table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
