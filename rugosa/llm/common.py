@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,18 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows, cut further after `size` bytes of the column's text."""
+    for b in batches:
+        texts = b.column(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            j = min(i + rows, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right")))
+            yield b.slice(i, max(1, j - i))
+            i += max(1, j - i)
+
+
 def groups_of(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Component labels (smallest index) after uniting a[i] with b[i]; labels are those before."""
     lab = labels.copy()

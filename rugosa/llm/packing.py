@@ -18,6 +18,10 @@ from . import common, tokens
 PIECES = "row_key long, doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Rows (tasks times lengths of rests) up to which prefix sums are broadcast; beyond them they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def combinations_filling(hist: np.ndarray, window: int, most: int = 6000, stems: int = 20) -> list[tuple[int, ...]]:
     """Shallow combinations of two to five lengths that fill the window exactly, of lengths that occur.
 
@@ -173,16 +177,19 @@ def encoded(docs: DataFrame, vocab: str, end_id: int, window: int, id_col: str =
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        for b in common.pieces(batches, 512):
-            cols: list[list] = [[] for _ in range(6)]
-            for text in b.column("text"):
-                ids = enc.encode(text.as_py()) + end
-                full, rest = divmod(len(ids) // item, window)
-                for c, v in zip(cols, (ids, item, rest, seen[rest], windows, task), strict=True):
-                    c.append(v)
-                seen[rest] += 1
-                windows += full
-            yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("doc_id"), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int32())], names=["row_key", "doc_id", "ids", "item", "rest", "nth", "windows", "task"])
+        for b in common.portions(batches, "text"):
+            ids, n = enc.encode_all(b.column("text").to_pylist())
+            ends = np.cumsum(n)
+            raw, at = ids.tobytes(), (ends * item).tolist()
+            full, rest = np.divmod(n + 1, window)
+            nth = []
+            for r in rest.tolist():
+                nth.append(seen[r])
+                seen[r] += 1
+            before = windows + np.cumsum(full) - full
+            windows += int(full.sum())
+            data = pa.array([raw[lo:hi] + end for lo, hi in zip([0, *at], at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("doc_id"), data, pa.array(np.full(len(n), item, np.int32)), pa.array(rest.astype(np.int32)), pa.array(nth, pa.int64()), pa.array(before), pa.array(np.full(len(n), task, np.int32))], names=["row_key", "doc_id", "ids", "item", "rest", "nth", "windows", "task"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "row_key long, doc_id long, ids binary, item int, rest int, nth long, windows long, task int")
@@ -212,22 +219,24 @@ def pack(docs: DataFrame, vocab: str, window: int = 2048, end_id: int = 1, id_co
     # A row a task: the windows before it. The rows are as many as tasks, not documents.
     tasks = by.groupBy("task").agg(F.sum("full").alias("full")).withColumn("windows_before", F.coalesce(F.sum("full").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("task", "windows_before")
     bases = by.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("task", "rest", "before").join(tasks, "task")
+    bases = common.written(bases, "bases")
+    bases = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases.hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = held.value
         for b in common.pieces(batches, 512):
             cols: list[list] = [[] for _ in range(9)]
-            for r in b.to_pylist():
-                ids = np.frombuffer(r["ids"], f"<u{r['item']}")
-                n, rest = len(ids), r["rest"]
-                parts = [(i * window, window, r["windows_before"] + r["windows"] + i, 0) for i in range(n // window)]
+            names = ("row_key", "doc_id", "item", "rest", "nth", "windows", "before", "windows_before")
+            for raw, key, doc, item, rest, nth, windows, before, windows_before in zip(b.column("ids"), *(b.column(c).to_pylist() for c in names)):
+                ids = np.frombuffer(raw.as_buffer(), f"<u{item}").astype("<u4")
+                n = len(ids)
+                parts = [(i * window, window, windows_before + windows + i, 0) for i in range(n // window)]
                 if rest:
-                    at, nth = plan[rest], r["before"] + r["nth"]
-                    for lo, _, start, size, seq, offset in at[(at[:, 0] <= nth) & (nth < at[:, 1])].tolist():
-                        parts.append((n - rest + start, size, full + seq + nth - lo, offset))
+                    at, nth = plan[rest], before + nth
+                    parts += [(n - rest + start, size, full + seq + nth - lo, offset) for lo, _, start, size, seq, offset in at[(at[:, 0] <= nth) & (nth < at[:, 1])].tolist()]
                 for start, size, seq, offset in sorted(parts):
-                    raw = ids[start : start + size].astype("<u4").tobytes()
-                    for c, v in zip(cols, (r["row_key"], r["doc_id"], start, size, raw if with_ids else None, zlib.crc32(raw), n, seq, offset), strict=True):
+                    piece = ids[start : start + size]
+                    for c, v in zip(cols, (key, doc, start, size, piece.tobytes() if with_ids else None, zlib.crc32(piece), n, seq, offset), strict=True):
                         c.append(v)
             types = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=[x.split(" ")[0] for x in PIECES.split(", ")])

@@ -90,10 +90,12 @@ def write_token_files(docs: DataFrame, vocab: str, folder: str, end_id: int = 0,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, writer = tokens.encoder(path, True), None
         end = end_id.to_bytes(enc.size, "little")
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for b in common.portions(batches, "text"):
+            ids, n = enc.encode_all(b.column("text").to_pylist())
+            ends = np.cumsum(n).tolist()
+            for doc, lo, hi in zip(b.column("doc_id").to_pylist(), [0, *ends], ends):
                 writer = writer or ShardWriter(folder_, enc.size)
-                writer.add(doc, enc.encode(text.as_py()) + end)
+                writer.add(doc, ids[lo:hi].tobytes() + end)
         if writer:
             first, last, at, n, ids = writer.close()
             from pyspark import TaskContext

@@ -22,9 +22,21 @@ def test_encoder_equals_library(name, byte_level, spark, sf):
     for most in (600_000, 5):
         e = tokens.ChunkEncoder(tokens.vocabulary(name), byte_level, most)
         assert [np.frombuffer(e.encode(t), e.dtype).tolist() for t in texts] == library(name, texts)
+        ids, n = e.encode_all(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == library(name, texts)
         assert len(e) <= most + 1 or most > 5
 
 
+def test_portions_keep_all_rows():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"i": list(range(9)), "text": ["x" * k for k in (0, 5, 50, 1, 1, 1, 99, 0, 3)]})
+    got = list(common.portions([b, b.slice(0, 0)], "text", rows=4, size=10))
+    assert [x for p in got for x in p.column("i").to_pylist()] == list(range(9))
+    assert max(p.num_rows for p in got) <= 4
+    assert all(p.num_rows == 1 or sum(map(len, p.column("text").to_pylist())) <= 10 for p in got)
+
+
 def frame(spark, texts, ids=None):
     rows = [(i if ids is None else ids[i], t, "x", 7) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, ids string, task int").repartition(3)
