@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rugosa.llm import embedding, license, mixing, queries, toxicity, urlfilter
 
@@ -177,6 +178,44 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert a == b
 
 
+def bounded_least_squares(t, p, target, low, high, rounds=60_000):
+    """Relative misses of the best totals, by plain projected gradients on all documents' rates."""
+    a = (t[:, None] * p).T / target[:, None]
+    r, step = np.clip(np.ones(len(t)), low, high), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(rounds):
+        r = np.clip(r - step * a.T @ (a @ r - 1), low, high)
+    return float(((a @ r - 1) ** 2).sum())
+
+
+@pytest.mark.parametrize("low,high,want", [(0.0, np.inf, (0.8, 0.2)), (0.5, 2.0, (0.9, 0.1)), (0.0, 1.5, (0.02, 0.98))])
+def test_mixing_is_the_least_squares_solution(spark, low, high, want):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef"] if i % 3 else ["cd", "gh", "kl"], 1 + i % 17)), "x" if i % 3 else "y") for i in range(240)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, d) for i, _, d in rows[:90]], "doc_id long, domain string")
+    target = dict(zip("xy", want))
+    m = mixing.Mixer(docs, labels, target, low=low, high=high, domain=F.col("domain"))
+    r = m.rates().toPandas()
+    t, p = r.tokens.to_numpy(float), r[["p_x", "p_y"]].to_numpy()
+    aim = np.array(want) * t.sum()
+    miss = float((((r.rate.to_numpy() * t) @ p / aim - 1) ** 2).sum())
+    assert ((r.rate >= low) & (r.rate <= high)).all()
+    least = bounded_least_squares(t, p, aim, low, high)
+    assert miss <= least * 1.05 + 1e-6
+    assert np.allclose(r.gap, np.abs((r.rate.to_numpy() * t) @ p - aim).sum() / aim.sum())
+    assert (r.gap.iloc[0] > 0.01) == (least > 1e-4) == np.isfinite(high)
+
+
+def test_calibrated_posteriors_have_the_shares_of_the_labels():
+    rng = np.random.default_rng(2)
+    for n in (60, 400, 2000):
+        y = rng.choice(3, n, p=[0.7, 0.2, 0.1])
+        rows = [np.unique(np.r_[rng.integers(0, 3000, 40), 4000 + 50 * c + rng.integers(0, 50, 3)]).astype(np.uint32) for c in y]
+        m = mixing.crossfit(rows[: n // 2], y[: n // 2], list(range(n // 2)), 13, 3)
+        p = m.posteriors(rows[n // 2 :]).mean(0)
+        assert np.abs(p - np.bincount(y[n // 2 :], minlength=3) / (n - n // 2)).max() < (0.25 if n == 60 else 0.08)
+
+
 def test_mixing_meets_targets(spark):
     docs, labels, _ = toxic_frames(spark)
     want = {"good": 0.5, "toxic": 0.5}
