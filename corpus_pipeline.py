@@ -17,7 +17,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles: fingerprints' trie first, then what it can't reach."""
     return shingles.drop_near_duplicates(docs, shingle_words=5, least=0.8)
 
 

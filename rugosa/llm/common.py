@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; unset, a local one in local mode, and an error on a cluster."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not set_to and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (set_to or os.path.join(tempfile.gettempdir(), "rugosa-checkpoints")).rstrip("/")
 
 
@@ -119,12 +121,12 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a long, b long) links to (node, component): the smallest node that each node reaches; nodes without links are absent.
 
-    Links are first contracted within each task, then alternating large-star and small-star rounds run
+    Links are first contracted where they arrive, so a hub's links are few before any key deals them; then alternating large-star and small-star rounds run
     until nothing changes. A hub is only ever one side of a join whose other side has one row a key, so
     Spark can split it; no adjacency list is built.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    e = written(e.repartition("b").mapInArrow(_local_forest, "a long, b long").distinct(), "links")
+    e = written(e.mapInArrow(_local_forest, "a long, b long").distinct(), "links")
     before = None
     for _ in range(most_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -144,3 +146,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components: no end of rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def left_joined(rows: DataFrame, known: DataFrame, keys: list[str], hot: str) -> DataFrame:
+    """rows left joined with known, which has one row a key. Those of known's rows whose column `hot` is true are broadcast, so that
+    rows of a frequent key are joined where they are; the caller bounds their number. The column itself is left out.
+    """
+    often = F.broadcast(known.where(hot).drop(hot))
+    rest = rows.join(F.broadcast(known.where(hot).select(*keys)), keys, "left_anti").join(known.where(~F.col(hot)).drop(hot), keys, "left")
+    return rows.join(often, keys).unionByName(rest)
+
+
+#: A key with more than this share of the rows is frequent: at most as many keys as its inverse are.
+HOT_SHARE = 1 / 2000

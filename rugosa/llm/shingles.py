@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a prefix join of shingle sets, which finds every pair."""
+"""Near-duplicates at a Jaccard similarity of word shingles: links of SimHash's trie self-join, and a prefix join of shingle sets for the pairs whose fingerprints lie further apart, all confirmed on the whole sets."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from . import common, simhash
 
+#: Differing bits up to which the trie links fingerprints. Pairs at 0.8 need 14 of 64, where a trie drops next to nothing; the prefix join finds those.
+TRIE_BITS = 3
+
 #: Sets whose shingles are counted to find common ones, and common ones that are told apart: they set the order of shingles, so bounds of work and not of what is found.
 SAMPLE_SETS, MAX_COMMON = 20_000, 100_000
 #: Sets that share a prefix shingle are all compared at once up to so many; from more, sets linked already are left out first.
@@ -38,53 +41,64 @@ def prefix(s: np.ndarray, common_ones: np.ndarray, counts: np.ndarray, least: fl
     return s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]
 
 
-def shingle_sets(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, sid, n, sketch, shingles) of every row with an id: sid is the XXH64 of the set of n shingles."""
+def shingle_sets(docs: DataFrame, shingle_words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, sid, th, n, fp, sketch, prefix) of every row with an id: sid is the XXH64 of the set of n shingles, th that of the text, fp the fingerprint."""
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle_words, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches):
-            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column("text")]
-            sid = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sid", "n", "sketch", "shingles"])
+            hashes = [np.array(simhash.shingle_hashes(t.as_py(), shingle_words), np.uint64) for t in b.column("text")]
+            sets = [np.unique(h) for h in hashes]
+            cols = [pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)), b.column("th"), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash.majority(h) for h in hashes], pa.int64())]
+            cols += [pa.array([sketch(s) for s in sets], pa.binary()), pa.array([prefix(s, *held.value, least).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "sid", "th", "n", "fp", "sketch", "prefix"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, sid long, n int, sketch binary, shingles binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    return rows.mapInArrow(run, "doc_id long, sid long, th long, n int, fp long, sketch binary, prefix binary")
 
 
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least five sampled sets, sorted, and their counts."""
-    every = max(1, sets.count() // SAMPLE_SETS)
+def common_shingles(docs: DataFrame, shingle_words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least five sampled texts, sorted, and their counts."""
+    every = max(1, docs.count() // SAMPLE_SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in common.pieces(batches):
-            for sid, s in zip(b.column("sid").to_pylist(), b.column("shingles")):
-                if sid not in seen:
-                    seen.add(sid)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_py(), np.int64))], names=["h"])
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle_words).view(np.int64))], names=["h"])
 
-    sample = sets.where(F.pmod("sid", F.lit(every)) == 0).select("sid", "shingles")
+    sample = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).where("text IS NOT NULL")
+    # Of a text that many rows have, one: its shingles count once.
+    sample = sample.groupBy(F.xxhash64("text").alias("th")).agg(F.first("text").alias("text")).select("text") if every > 1 else sample.distinct()
     got = sample.mapInArrow(run, "h long").groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(MAX_COMMON).toArrow()
     h, c = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def prefixes(sets: DataFrame, least: float) -> DataFrame:
+def prefixes(sets: DataFrame) -> DataFrame:
     """(token, sid, n, pos) of each shingle of the prefixes of the distinct sets; a set comes once from each task that has it."""
-    held = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in common.pieces(batches):
-            new = [(i, s, n, t) for i, s, n in zip(b.column("sid").to_pylist(), b.column("shingles"), b.column("n").to_pylist()) if i not in seen and not seen.add(i) and len(t := prefix(np.frombuffer(s.as_py(), np.uint64), *held.value, least)) and n]
+        for b in common.pieces(batches, 1024):
+            new = [(i, t.as_buffer(), n) for i, t, n in zip(b.column("sid").to_pylist(), b.column("prefix"), b.column("n").to_pylist()) if n and i not in seen and not seen.add(i)]
             if new:
-                size = [len(t) for *_, t in new]
-                token, sid, n = np.concatenate([t for *_, t in new]).view(np.int64), np.repeat([i for i, *_ in new], size), np.repeat([n for _, _, n, _ in new], size).astype(np.int32)
-                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sid), pa.array(n), pa.array(pos)], names=["token", "sid", "n", "pos"])
+                size = np.array([len(t) // 8 for _, t, _ in new])
+                token = np.frombuffer(b"".join(t for _, t, _ in new), np.int64)
+                pos = np.arange(len(token), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat([i for i, *_ in new], size)), pa.array(np.repeat([n for *_, n in new], size).astype(np.int32)), pa.array(pos)], names=["token", "sid", "n", "pos"])
+
+    return sets.select("sid", "n", "prefix").mapInArrow(run, "token long, sid long, n int, pos int")
+
 
-    return sets.select("sid", "n", "shingles").mapInArrow(run, "token long, sid long, n int, pos int")
+def trie_pairs(sets: DataFrame, budget: int = TRIE_BITS) -> DataFrame:
+    """(a, b) pairs of sets that the trie self-join of fingerprints links: one set of each two fingerprints, and each set with the first of its fingerprint."""
+    one = sets.where("n > 0").groupBy("sid").agg(F.first("fp").alias("fp"))
+    f = common.written(one.groupBy("fp").agg(F.min("sid").alias("rep")), "fingerprints")
+    links = simhash.near_links(f.select("fp"), budget)
+    far = links.join(f.toDF("a", "x"), "a").join(f.toDF("b", "y"), "b").select("x", "y")
+    same = one.join(f, "fp").where("sid <> rep").select(F.col("rep").alias("x"), F.col("sid").alias("y"))
+    return far.unionAll(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, least: float, large: bool, small: int = SMALL, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,8 +163,11 @@ def candidates(rows: DataFrame, least: float, large: bool = False) -> DataFrame:
     return rows.repartition("token").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of sets whose Jaccard similarity is `least` or more, from the whole sets; pairs that their sketches rule out are left out before."""
+def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: int, least: float, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose Jaccard similarity is `least` or more, from the whole sets; pairs that their sketches rule out are left out before.
+
+    The whole sets are made again from the texts, of those documents alone that have a pair left.
+    """
     slim = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("k"))
     sides = pairs.join(slim.toDF("a", "na", "ka"), "a").join(slim.toDF("b", "nb", "kb"), "b")
 
@@ -162,19 +179,23 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 ok = apart <= (1 - least) / (1 + least) * (b.column("na").to_numpy() + b.column("nb").to_numpy()) + 1e-6
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    pairs = common.written(sides.mapInArrow(near, "a long, b long"), "pairs")
+    pairs = common.written(sides.mapInArrow(near, "a long, b long").distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    top = F.shiftrightunsigned("sid", 64 - FILTER).cast("int")
+    texts = sets.join(nodes, "sid", "left_semi").groupBy("sid").agg(F.min("th").alias("th"))
+    top = F.shiftrightunsigned("th", 64 - FILTER).cast("int")
     bits = np.zeros(1 << FILTER, bool)
-    bits[nodes.select(top.alias("p")).distinct().toArrow().column("p").to_numpy()] = True
+    bits[texts.select(top.alias("p")).distinct().toArrow().column("p").to_numpy()] = True
     held = sets.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = (b.column("sid").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64)
-            yield b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+        seen: set[int] = set()
+        for b in common.pieces(batches):
+            at = (b.column("th").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64)
+            b = b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            got = [shingle_set(t.as_py(), shingle_words).tobytes() for h, t in zip(b.column("th").to_pylist(), b.column("text")) if h not in seen and not seen.add(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(s) for s in got], np.uint64).view(np.int64)), pa.array(got, pa.binary())], names=["sid", "shingles"])
 
-    some = sets.select("sid", "shingles").mapInArrow(paired, "sid long, shingles binary")
+    some = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(paired, "sid long, shingles binary")
     known = common.written(some.join(nodes, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("s")), "pair-sets")
     both = pairs.join(known.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
 
@@ -182,7 +203,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for b in common.pieces(batches):
             ok = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([x, y]))
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
@@ -197,24 +218,29 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row with an id: the smallest doc_id reachable by links of Jaccard similarity `least` or more.
 
-    Every such pair is found. Equal sets are one, texts without words among them. A set's prefix goes to one task a shingle. Where many
-    sets share one, a first round links each with the next and the first, and a second compares the pairs that
-    are of different components still, so that groups of near copies don't cost the square of their size.
+    Every such pair is found. Equal sets are one, texts without words among them. The trie self-join of 64-bit
+    fingerprints links near copies at up to TRIE_BITS differing bits; a prefix join proposes the other pairs: a set's prefix goes to
+    one task a shingle. All pairs are confirmed on the whole sets. Where many sets share a shingle, the first
+    round takes each with the next and the first, and a second the pairs that are of different components still,
+    so that groups of near copies don't cost the square of their size.
     """
-    sets = common.written(shingle_sets(docs, shingle_words, id_col, text_col), "shingle-sets")
-    rows = common.written(prefixes(sets, least).repartition("token").mapInArrow(shared_tokens, "token long, sid long, n int, pos int, size int"), "prefixes")
+    sets = common.written(shingle_sets(docs, shingle_words, least, id_col, text_col), "shingle-sets")
+    rows = common.written(prefixes(sets).repartition("token").mapInArrow(shared_tokens, "token long, sid long, n int, pos int, size int"), "prefixes")
     sets.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes files of a shuffle when the driver has collected what names it
-    links = similar(candidates(rows.select("token", "sid", "n", "pos", F.col("sid").alias("grp")), least), sets, least)
+    proposed = candidates(rows.select("token", "sid", "n", "pos", F.col("sid").alias("grp")), least).unionByName(trie_pairs(sets))
+    links = similar(proposed, sets, docs, shingle_words, least, text_col)
     comp = common.written(common.components(links), "components")
     many = rows.where(F.col("size") > SMALL)
     if many.limit(1).count():
         named = many.join(comp, many.sid == comp.node, "left").select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("grp"))
-        more = similar(candidates(named, least, large=True), sets, least)
+        more = similar(candidates(named, least, large=True), sets, docs, shingle_words, least, text_col)
         if more.limit(1).count():
             comp = common.written(common.components(links.unionAll(more)), "components")
-    t = sets.select("doc_id", "sid").join(comp, F.col("sid") == F.col("node"), "left").select("doc_id", F.coalesce("component", "sid").alias("component"))
-    lowest = t.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = common.written(t.join(lowest, "component").select("doc_id", "component_id"), "near-duplicates")
+    total = sets.count()
+    known = sets.groupBy("sid").agg(F.count("*").alias("m"), F.min("doc_id").alias("low")).join(comp, F.col("sid") == F.col("node"), "left").select("sid", "m", "low", F.coalesce("component", "sid").alias("component"))
+    lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = common.written(known.join(lowest, "component").select("sid", "component_id", (F.col("m") > total * common.HOT_SHARE).alias("hot")), "named-sets")
+    out = common.written(common.left_joined(sets.select("doc_id", "sid"), known, ["sid"], "hot").select("doc_id", "component_id"), "near-duplicates")
     common.dropped(sets)
     common.dropped(rows)
     sets.sparkSession.sparkContext._jvm.System.gc()

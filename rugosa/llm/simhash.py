@@ -34,12 +34,16 @@ def shingle_hashes(text: str | None, shingle_words: int = 3, seed: int = 42) ->
 
 def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int:
     """64 bits as a signed integer: each is 1 if set in over half the values of shingle_hashes. No words, or a null text: zero."""
-    h = shingle_hashes(text, shingle_words, seed)
-    if not h:
+    return majority(np.array(shingle_hashes(text, shingle_words, seed), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of these hashes; of none: zero."""
+    if not len(h):
         return 0
     # Counts by bit: sums of 255 rows of ones fit in a byte.
     rows = np.zeros((-(-len(h) // 255) * 255, 8), np.uint8)
-    rows[: len(h)] = np.array(h, "<u8").view(np.uint8).reshape(-1, 8)
+    rows[: len(h)] = h.astype("<u8").view(np.uint8).reshape(-1, 8)
     bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(-1, 255, 64)
     count = np.add.reduce(bits, axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
     return int(np.packbits(count * 2 > len(h), bitorder="little").view("<i8")[0])
@@ -214,12 +218,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, budget: int = 3, id
     null component. Null and empty texts have fingerprint zero and link as any other. An empty table gives no rows.
     """
     t = common.written(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    f = common.written(t.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    f = common.written(t.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
+    total = f.agg(F.sum("n")).first()[0] or 0
     comp = common.components(near_links(f.select("fp"), budget))
     linked = comp.join(f, comp.node == f.fp).select("fp", "component", "rep")
     lowest = linked.groupBy("component").agg(F.min("rep").alias("lowest"))
-    named = f.join(linked.join(lowest, "component").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component_id"))
-    known = t.where("doc_id IS NOT NULL").join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = f.join(linked.join(lowest, "component").select("fp", "lowest"), "fp", "left")
+    named = common.written(named.select("fp", F.coalesce("lowest", "rep").alias("component_id"), (F.col("n") > total * common.HOT_SHARE).alias("hot")), "named-fingerprints")
+    known = common.left_joined(t.where("doc_id IS NOT NULL"), named, ["fp"], "hot").select("doc_id", "fp", "component_id")
     return known.unionByName(t.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
@@ -231,9 +237,9 @@ def first_of_components(docs: DataFrame, near: DataFrame) -> DataFrame:
     row, stays = common.fresh(docs, "row"), common.fresh(docs, "stays")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     stay = near.where("doc_id = component_id").select(F.col("doc_id").alias(stays)).distinct()
-    out = rows.join(stay, rows.doc_id == stay[stays], "left_semi")
-    one = out.groupBy("doc_id").agg(F.min(row).alias(row))
-    return out.join(one.select(row), row, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    slim = rows.select("doc_id", row).join(stay, F.col("doc_id") == F.col(stays), "left_semi")
+    one = slim.groupBy("doc_id").agg(F.min(row).alias(row)).select(row)
+    return rows.join(one, row, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, budget: int = 5) -> DataFrame:
