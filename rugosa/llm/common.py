@@ -71,7 +71,7 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
-def portions(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, size: int = 5 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows` rows, cut further after `size` bytes of the column's text."""
     for b in batches:
         texts = b.column(column)

@@ -91,9 +91,14 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("sid", "n", "prefix").mapInArrow(run, "token long, sid long, n int, pos int")
 
 
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """A row a set: (sid, n, fp, sketch, th, m, low), m the number of its rows and low their smallest id."""
+    return sets.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "fp", "sketch")], F.min("th").alias("th"), F.count("*").alias("m"), F.min("doc_id").alias("low"))
+
+
 def trie_pairs(sets: DataFrame, budget: int = TRIE_BITS) -> DataFrame:
     """(a, b) pairs of sets that the trie self-join of fingerprints links: one set of each two fingerprints, and each set with the first of its fingerprint."""
-    one = sets.where("n > 0").groupBy("sid").agg(F.first("fp").alias("fp"))
+    one = sets.where("n > 0").select("sid", "fp")
     f = common.written(one.groupBy("fp").agg(F.min("sid").alias("rep")), "fingerprints")
     links = simhash.near_links(f.select("fp"), budget)
     far = links.join(f.toDF("a", "x"), "a").join(f.toDF("b", "y"), "b").select("x", "y")
@@ -101,7 +106,7 @@ def trie_pairs(sets: DataFrame, budget: int = TRIE_BITS) -> DataFrame:
     return far.unionAll(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, least: float, large: bool, small: int = SMALL, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, least: float, large: bool, small: int = SMALL, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sets with a common token that are of different groups and, by their sizes and the token's positions, can be at `least` or more.
 
     All pairs within tokens of at most `small` sets; of larger ones, all pairs if large, else each set with the next and
@@ -151,9 +156,9 @@ def candidates(rows: DataFrame, least: float, large: bool = False) -> DataFrame:
         kept: list[np.ndarray] = []
         for a, b in bucket_pairs(*(np.concatenate(x) for x in zip(*got, strict=True)), least, large, small):
             kept.append(np.unique(np.stack([a, b], 1), axis=0))
-            if sum(map(len, kept)) > 1 << 21:
+            if sum(map(len, kept)) > 1 << 19:
                 kept = [np.unique(np.concatenate(kept), axis=0)]
-                if len(kept[0]) > 1 << 20:
+                if len(kept[0]) > 1 << 18:
                     yield pa.RecordBatch.from_arrays([pa.array(kept[0][:, 0]), pa.array(kept[0][:, 1])], names=["a", "b"])
                     kept = []
         if kept:
@@ -166,9 +171,9 @@ def candidates(rows: DataFrame, least: float, large: bool = False) -> DataFrame:
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: int, least: float, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of sets whose Jaccard similarity is `least` or more, from the whole sets; pairs that their sketches rule out are left out before.
 
-    The whole sets are made again from the texts, of those documents alone that have a pair left.
+    sets: as distinct_sets has them. The whole sets are made again from the texts, of those documents alone that have a pair left.
     """
-    slim = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("k"))
+    slim = sets.select("sid", "n", "sketch")
     sides = pairs.join(slim.toDF("a", "na", "ka"), "a").join(slim.toDF("b", "nb", "kb"), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +186,7 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: i
 
     pairs = common.written(sides.mapInArrow(near, "a long, b long").distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    texts = sets.join(nodes, "sid", "left_semi").groupBy("sid").agg(F.min("th").alias("th"))
+    texts = sets.join(nodes, "sid", "left_semi").select("th")
     top = F.shiftrightunsigned("th", 64 - FILTER).cast("int")
     bits = np.zeros(1 << FILTER, bool)
     bits[texts.select(top.alias("p")).distinct().toArrow().column("p").to_numpy()] = True
@@ -227,22 +232,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, least: float = 0.8,
     sets = common.written(shingle_sets(docs, shingle_words, least, id_col, text_col), "shingle-sets")
     rows = common.written(prefixes(sets).repartition("token").mapInArrow(shared_tokens, "token long, sid long, n int, pos int, size int"), "prefixes")
     sets.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes files of a shuffle when the driver has collected what names it
-    proposed = candidates(rows.select("token", "sid", "n", "pos", F.col("sid").alias("grp")), least).unionByName(trie_pairs(sets))
-    links = similar(proposed, sets, docs, shingle_words, least, text_col)
+    each = common.written(distinct_sets(sets), "distinct-sets")
+    proposed = candidates(rows.select("token", "sid", "n", "pos", F.col("sid").alias("grp")), least).unionByName(trie_pairs(each))
+    links = similar(proposed, each, docs, shingle_words, least, text_col)
     comp = common.written(common.components(links), "components")
     many = rows.where(F.col("size") > SMALL)
     if many.limit(1).count():
         named = many.join(comp, many.sid == comp.node, "left").select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("grp"))
-        more = similar(candidates(named, least, large=True), sets, docs, shingle_words, least, text_col)
+        more = similar(candidates(named, least, large=True), each, docs, shingle_words, least, text_col)
         if more.limit(1).count():
             comp = common.written(common.components(links.unionAll(more)), "components")
     total = sets.count()
-    known = sets.groupBy("sid").agg(F.count("*").alias("m"), F.min("doc_id").alias("low")).join(comp, F.col("sid") == F.col("node"), "left").select("sid", "m", "low", F.coalesce("component", "sid").alias("component"))
+    known = each.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "m", "low", F.coalesce("component", "sid").alias("component"))
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     known = common.written(known.join(lowest, "component").select("sid", "component_id", (F.col("m") > total * common.HOT_SHARE).alias("hot")), "named-sets")
     out = common.written(common.left_joined(sets.select("doc_id", "sid"), known, ["sid"], "hot").select("doc_id", "component_id"), "near-duplicates")
-    common.dropped(sets)
-    common.dropped(rows)
+    for t in (sets, each, rows):
+        common.dropped(t)
     sets.sparkSession.sparkContext._jvm.System.gc()
     return out
 

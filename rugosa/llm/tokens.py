@@ -45,7 +45,7 @@ class ChunkEncoder(dict):
     The first `most` words are kept, later ones are encoded once a batch.
     """
 
-    def __init__(self, path: str, byte_level: bool, most: int = 600_000):
+    def __init__(self, path: str, byte_level: bool, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

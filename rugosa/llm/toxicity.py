@@ -22,7 +22,7 @@ _KNOWN: dict[int, TermHasher] = {}
 class TermHasher(dict):
     """Word to its hashed terms, as 32-bit integers in bytes: the word and its beginnings of 4, 5 and 6 letters."""
 
-    def __init__(self, bits: int, most: int = 200_000):
+    def __init__(self, bits: int, most: int = 100_000):
         super().__init__()
         self.mask, self.most = (1 << bits) - 1, most
 
