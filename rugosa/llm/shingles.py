@@ -106,15 +106,18 @@ def trie_pairs(sets: DataFrame, budget: int = TRIE_BITS) -> DataFrame:
     return far.unionAll(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, least: float, large: bool, small: int = SMALL, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, least: float, large: bool, small: int = SMALL, chunk: int = 1 << 17, sketches: np.ndarray | None = None, nearest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sets with a common token that are of different groups and, by their sizes and the token's positions, can be at `least` or more.
 
     All pairs within tokens of at most `small` sets; of larger ones, all pairs if large, else each set with the next and
-    with the first.
+    with the first. Pairs that given sketches rule out are left out; nearest: of what is left each set's pair of the
+    least differing sketches alone, so no more pairs than sets.
     """
     order = np.lexsort((sid, n, group, token))
     order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (sid[order][1:] != sid[order][:-1])])] if len(order) else order
     token, sid, n, pos, group = (x[order] for x in (token, sid, n, pos, group))
+    sketches = None if sketches is None else sketches[order]
+    closest = np.full(len(token), np.iinfo(np.int64).max)
     if not len(token):
         return
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -140,21 +143,38 @@ def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndar
             short, long = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             shared = np.minimum(n[x] - pos[x], n[y] - pos[y])  # at most, if the token is the first shared one
             ok = (short >= least * long - 1e-9) & (shared >= least / (1 + least) * (short + long) - 1e-9) & (group[x] != group[y])
-            x, y = sid[x[ok]], sid[y[ok]]
-            yield np.minimum(x, y), np.maximum(x, y)
+            x, y = x[ok], y[ok]
+            if sketches is not None:
+                apart = np.bitwise_count(sketches[x] ^ sketches[y]).sum(1, dtype=np.int64)
+                ok = apart <= (1 - least) / (1 + least) * (n[x] + n[y]) + 1e-6
+                x, y, apart = x[ok], y[ok], apart[ok]
+                if nearest:
+                    np.minimum.at(closest, x, apart * len(token) + y)
+                    np.minimum.at(closest, y, apart * len(token) + x)
+            if not nearest:
+                yield np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
             i = j
+    if nearest:
+        x = np.flatnonzero(closest != np.iinfo(np.int64).max)
+        y = closest[x] % len(token)
+        yield np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
 
 
-def candidates(rows: DataFrame, least: float, large: bool = False) -> DataFrame:
-    """(a, b) distinct pairs of bucket_pairs over rows (token, sid, n, pos, group) of which a task has all those of a token."""
+def candidates(rows: DataFrame, least: float, large: bool = False, nearest: bool = False) -> DataFrame:
+    """(a, b) distinct pairs of bucket_pairs over rows (token, sid, n, pos, grp and, if large, sketch) of which a task has all those of a token."""
     small = SMALL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(c).to_numpy() for c in ("token", "sid", "n", "pos", "grp")] for b in batches if b.num_rows]
+        got, marks = [], []
+        for b in batches:
+            if b.num_rows:
+                got.append([b.column(c).to_numpy() for c in ("token", "sid", "n", "pos", "grp")])
+                if large:
+                    marks.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(b.num_rows, -1))
         if not got:
             return
         kept: list[np.ndarray] = []
-        for a, b in bucket_pairs(*(np.concatenate(x) for x in zip(*got, strict=True)), least, large, small):
+        for a, b in bucket_pairs(*(np.concatenate(x) for x in zip(*got, strict=True)), least, large, small, sketches=np.concatenate(marks) if large else None, nearest=nearest):
             kept.append(np.unique(np.stack([a, b], 1), axis=0))
             if sum(map(len, kept)) > 1 << 19:
                 kept = [np.unique(np.concatenate(kept), axis=0)]
@@ -225,9 +245,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, least: float = 0.8,
 
     Every such pair is found. Equal sets are one, texts without words among them. The trie self-join of 64-bit
     fingerprints links near copies at up to TRIE_BITS differing bits; a prefix join proposes the other pairs: a set's prefix goes to
-    one task a shingle. All pairs are confirmed on the whole sets. Where many sets share a shingle, the first
-    round takes each with the next and the first, and a second the pairs that are of different components still,
-    so that groups of near copies don't cost the square of their size.
+    one task a shingle. All pairs are confirmed on the whole sets. Where many sets share a shingle, a first
+    round takes each with the next and the first, a second each with the nearest of another component by its sketch, and a
+    third all that are of different components still and that sketches don't rule out, so that a group of near
+    copies doesn't return the square of its size in pairs.
     """
     sets = common.written(shingle_sets(docs, shingle_words, least, id_col, text_col), "shingle-sets")
     rows = common.written(prefixes(sets).repartition("token").mapInArrow(shared_tokens, "token long, sid long, n int, pos int, size int"), "prefixes")
@@ -238,10 +259,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, least: float = 0.8,
     comp = common.written(common.components(links), "components")
     many = rows.where(F.col("size") > SMALL)
     if many.limit(1).count():
-        named = many.join(comp, many.sid == comp.node, "left").select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("grp"))
-        more = similar(candidates(named, least, large=True), each, docs, shingle_words, least, text_col)
-        if more.limit(1).count():
-            comp = common.written(common.components(links.unionAll(more)), "components")
+        many = common.written(many.join(each.select("sid", "sketch"), "sid").select("token", "sid", "n", "pos", "sketch"), "large-prefixes")
+        for nearest in (True, False):
+            named = many.join(comp, many.sid == comp.node, "left").select("token", "sid", "n", "pos", "sketch", F.coalesce("component", "sid").alias("grp"))
+            more = similar(candidates(named, least, large=True, nearest=nearest), each, docs, shingle_words, least, text_col)
+            if more.limit(1).count():
+                links = links.unionAll(more)
+                comp = common.written(common.components(links), "components")
+        common.dropped(many)
     total = sets.count()
     known = each.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "m", "low", F.coalesce("component", "sid").alias("component"))
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
