@@ -13,6 +13,8 @@ from . import common
 
 #: Vectors of a tile and of a cell's block: what a task holds of either side.
 TILE, QUERY_BLOCK = 8192, 4096
+#: Pairs of a block of a cell and a group of queries up to which their list is broadcast; more are joined by a shuffle.
+MAX_NEEDS = 500_000
 
 
 def usable(vec: str):
@@ -145,34 +147,48 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of scores the ids and scores of its k highest, ties to the smaller id; own: ids that aren't answers."""
-    there = np.isin(own, ids)
+def best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of scores the ids and scores of its k highest, ties to the smaller id; own: the query's row among `rows`, no answer."""
+    there = np.isin(own, rows)
     for i in range(len(scores)):
         s, x = scores[i], ids
         if there[i]:
-            s, x = s[ids != own[i]], ids[ids != own[i]]
+            s, x = s[rows != own[i]], ids[rows != own[i]]
         at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
         at = at[np.lexsort((x[at], -s[at]))][:k]
         yield i, x[at], s[at]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "v", pivots: int = 64, block: int = TILE, sample_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k highest integer inner products of each query with all other vectors.
+def top_k(vectors: DataFrame, asks: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "v", **options) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k highest integer inner products of each query with all rows but its own.
 
-    Both inputs: a long id and an array of longs of one length; every row takes part (a query's own id never is an
-    answer). Pivots come from a sample of at most sample_rows vectors. Each vector belongs to its nearest
-    pivot's cell; a cell's summary is its size and radius R, so that q.x <= q.p + |q| R for all x in it.
-    First each query is solved in its own cell, which gives a k-th score t; then it goes to those
-    cells alone whose bound reaches t. Cells over `block` vectors are dealt into blocks, and queries too.
+    vectors: a long id and an array of longs; `asks` is a condition on (vec_id, v) that tells the queries among them.
+    Rows that repeat an id are rows of their own: a query's answers may hold its id, and several queries of
+    one id have several rows a rank. Only vectors of the query's length are compared.
     """
-    data = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"))
-    got = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
-    sample = stacked(got.column("v"))
-    if not len(sample):
-        return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    data = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")).withColumn("asks", F.expr(asks))
+    lengths = sorted(r[0] for r in data.groupBy(F.size("v")).count().collect())  # a row a length
+    out = None
+    for n in lengths:
+        of = data.where(F.size("v") == n) if len(lengths) > 1 else data
+        got = top_k_of_one_length(of, k, **options)
+        out = got if out is None else out.unionByName(got)
+    return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
+
+
+def top_k_of_one_length(data: DataFrame, k: int, pivots: int = 64, block: int = TILE, query_block: int = QUERY_BLOCK, sample_rows: int = 4096) -> DataFrame:
+    """top_k of rows (vec_id, v, asks) whose vectors have one length.
+
+    Pivots come from a sample of at most sample_rows vectors. Each vector belongs to its nearest pivot's cell; q.x <=
+    q.p + |q| far for x at the distance far from its pivot p. Queries are grouped by their cells, in groups of query_block
+    about. First each group is solved in its own cell, which gives each query a k-th score; then it goes to those cells alone
+    whose radius lets a product reach that, and of their vectors only those so far from the pivot that some query of
+    the group can need them are copied to it. Cells over `block` vectors are dealt into blocks.
+    """
+    spark = data.sparkSession
+    sample = stacked(data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow().column("v"))
     centre = pivots_of(sample, max(1, min(pivots, len(sample) // 16)))
-    held = data.sparkSession.sparkContext.broadcast(centre)
+    held = spark.sparkContext.broadcast(centre)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
@@ -180,43 +196,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
             x = stacked(pa.chunked_array([b.column("v")]))
             near = ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1) if len(x) else np.empty(0, np.int64)
             far = np.sqrt(((x - c[near]) ** 2).sum(1)) * (1 + 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
-
-    kind = "vec_id long, v array<long>, cell int, far double"
-    cells = common.written(data.mapInArrow(assign, kind), "cells")
-    asked = queries.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(assign, kind)
-    asked = common.written(asked.withColumn("key", F.monotonically_increasing_id()), "queries")
-    n_asked = asked.count()
-    size, radius = np.zeros(len(centre), np.int64), np.full(len(centre), -1.0)
-    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect():  # a row a pivot
-        size[r.cell], radius[r.cell] = r.n, r.r
-    blocks, q_blocks = np.maximum(1, -(-size // block)), max(1, -(-n_asked // QUERY_BLOCK))
-    summary = data.sparkSession.sparkContext.broadcast((centre, size, radius, blocks))
-    n_blocks = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("cell") + 1)
-    q_block = F.pmod(F.xxhash64("key"), F.lit(q_blocks)).cast("int").alias("qb")
-    placed = cells.select("cell", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.lit(None).cast("long").alias("key"), "vec_id", "v")
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("row", "vec_id", "v", "asks")), pa.array(near.astype(np.int32)), pa.array(far)], names=["row", "vec_id", "v", "asks", "cell", "far"])
+
+    kind = "row long, vec_id long, v array<long>, asks boolean, cell int, far double"
+    cells = common.written(data.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v", "asks").mapInArrow(assign, kind), "cells")
+    size, radius, asked_of = np.zeros(len(centre), np.int64), np.full(len(centre), -1.0), np.zeros(len(centre), np.int64)
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.count(F.when(F.col("asks"), 1)).alias("q")).collect():  # a row a pivot
+        size[r.cell], radius[r.cell], asked_of[r.cell] = r.n, r.r, r.q
+    blocks, groups = np.maximum(1, -(-size // block)), -(-asked_of // query_block)
+    first = np.cumsum(groups) - groups
+    summary = spark.sparkContext.broadcast((centre, size, radius, blocks))
+
+    def of_cell(values: np.ndarray):
+        return F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1)
+
+    data_block = F.pmod(F.xxhash64("row"), of_cell(blocks)).cast("int").alias("b")
+    group = (of_cell(first) + F.pmod(F.xxhash64("row"), of_cell(np.maximum(groups, 1))).cast("int")).alias("qb")
+    asked = cells.where("asks").select(F.col("cell").alias("home"), group, F.col("row").alias("key"), "vec_id", "v", "cell")
 
     def solve(table: pa.Table) -> pa.Table:
         is_q = table.column("key").is_valid().to_numpy()
         x, ids = stacked(table.column("v")), table.column("vec_id").to_numpy()
-        key = table.column("key").fill_null(-1).to_numpy()[is_q]
-        q, q_id, x, ids = x[is_q], ids[is_q], x[~is_q], ids[~is_q]
+        key, row = (table.column(c).fill_null(-1).to_numpy() for c in ("key", "row"))
+        q, q_id, key, x, ids, row = x[is_q], ids[is_q], key[is_q], x[~is_q], ids[~is_q], row[~is_q]
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
         for i in range(0, len(q) if len(ids) else 0, 256):
-            for j, x_id, score in best(exact_products(q[i : i + 256], x), ids, q_id[i : i + 256], k):
+            for j, x_id, score in best(exact_products(q[i : i + 256], x), ids, row, key[i : i + 256], k):
                 n = len(x_id)
                 for c, v in zip(out, (np.full(n, key[i + j]), np.full(n, q_id[i + j]), x_id, score), strict=True):
                     c.append(v)
         return pa.table({n: pa.array(np.concatenate(c), pa.int64()) for n, c in zip(("key", "query_id", "vec_id", "score"), out, strict=True)})
 
-    def solved(routed: DataFrame) -> DataFrame:
-        both = placed.unionByName(routed.select("cell", "b", "qb", "key", "vec_id", "v"))
+    def solved(placed: DataFrame, routed: DataFrame) -> DataFrame:
+        null = F.lit(None).cast("long")
+        both = placed.select("cell", "b", "qb", null.alias("key"), "row", "vec_id", "v").unionByName(routed.select("cell", "b", "qb", "key", null.alias("row"), "vec_id", "v"))
         return both.groupBy("cell", "b", "qb").applyInArrow(solve, "key long, query_id long, vec_id long, score long")
 
-    def all_blocks(cell):
-        return F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), cell + 1) - 1)).alias("b")
-
-    home = common.written(solved(asked.select("cell", all_blocks(F.col("cell")), q_block, "key", "vec_id", "v")), "home-answers")
+    at_home = cells.where(of_cell(groups) > 0).select("cell", data_block, "row", "vec_id", "v", F.explode(F.sequence(of_cell(first), of_cell(first + groups) - 1)).alias("qb"))
+    home = common.written(solved(at_home, asked.select("cell", F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1)).alias("b"), "qb", "key", "vec_id", "v")), "home-answers")
     ranked = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     kth = home.withColumn("r", F.row_number().over(ranked)).where(F.col("r") == k).select("key", F.col("score").alias("kth"))
 
@@ -224,20 +241,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         centre, size, radius, blocks = summary.value
         for b in common.pieces(batches, 1024):
             q = stacked(pa.chunked_array([b.column("v")]))
-            norm = np.sqrt((q * q).sum(1))
-            bound = q @ centre.T + norm[:, None] * radius[None]
-            bound += np.abs(bound) * 1e-9 + 1e-6
-            kth = b.column("kth").fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-            need = (bound >= kth[:, None]) & (size > 0)[None]
-            need[np.arange(len(q)), b.column("cell").to_numpy()] = False
+            norm = np.maximum(np.sqrt((q * q).sum(1)), 1e-9)
+            kth = b.column("kth").fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.float64)
+            lack = kth[:, None] - q @ centre.T
+            least = (lack - np.abs(lack) * 1e-9 - 1e-6) / norm[:, None] - 1e-9 * radius[None]
+            least[lack <= 1e-6] = -1.0
+            need = (radius[None] >= least) & (size > 0)[None]
+            need[np.arange(len(q)), b.column("home").to_numpy()] = False
             row, cell = np.nonzero(need)
-            of, each = np.repeat(np.arange(len(row)), blocks[cell]), blocks[cell]
+            each = blocks[cell]
+            of = np.repeat(np.arange(len(row)), each)
             sub = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
             take = pa.array(row[of])
-            yield pa.RecordBatch.from_arrays([pa.array(cell[of].astype(np.int32)), pa.array(sub.astype(np.int32)), b.column("qb").take(take), b.column("key").take(take), b.column("vec_id").take(take), b.column("v").take(take)], names=["cell", "b", "qb", "key", "vec_id", "v"])
-
-    routed = asked.join(kth, "key", "left").select("cell", q_block, "key", "vec_id", "v", "kth").mapInArrow(route, "cell int, b int, qb int, key long, vec_id long, v array<long>")
-    every = home.unionByName(solved(routed)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[of].astype(np.int32)), pa.array(sub.astype(np.int32)), *(b.column(c).take(take) for c in ("qb", "key", "vec_id", "v")), pa.array(least[row, cell][of])], names=["cell", "b", "qb", "key", "vec_id", "v", "least"])
+
+    routed = asked.join(kth, "key", "left").select("home", "qb", "key", "vec_id", "v", "kth").mapInArrow(route, "cell int, b int, qb int, key long, vec_id long, v array<long>, least double")
+    routed = common.written(routed, "routed")
+    need = common.written(routed.groupBy("cell", "b", "qb").agg(F.min("least").alias("least")), "needs")
+    need_ = F.broadcast(need) if need.count() <= MAX_NEEDS else need
+    placed = cells.select("cell", data_block, "row", "vec_id", "v", "far").join(need_, ["cell", "b"]).where("far >= least")
+    every = home.unionByName(solved(placed, routed)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return every.select("query_id", "rank", "vec_id", "score")
 
 
@@ -248,23 +271,23 @@ def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
 def op8_voronoi_topk(spark, sf_dir: str) -> DataFrame:
     e = common.read_table(spark, sf_dir, "embeddings").where(usable("embedding") & F.col("vec_id").isNotNull())
     v = e.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("long")).alias("v"))
-    return top_k(v, v.where("vec_id % 20 = 0"))
+    return top_k(v, "vec_id % 20 = 0")
 
 
 # DuckDB; the cosine needs the norms of doubles. One row a vector.
 ORACLE_SQL = {
     "op8_voronoi_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 64) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 64) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, x.vec_id,
+  SELECT q.n, q.vec_id AS query_id, x.vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id
+  FROM v q JOIN v x ON q.vec_id % 20 = 0 AND x.n <> q.n AND len(x.v) = len(q.v)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,

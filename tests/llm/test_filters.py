@@ -124,7 +124,7 @@ def test_top_k(spark, block, k):
     vecs[10:40] = [vecs[0]] * 30  # copies: ties
     vecs[50] = [0] * 5
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "vec_id long, v array<long>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in embedding.top_k(df, df.where("vec_id % 20 = 0"), k, block=block).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in embedding.top_k(df, "vec_id % 20 = 0", k, block=block, query_block=4).collect())
     a = np.array(vecs)
     want = []
     for q in range(0, 300, 20):
@@ -132,9 +132,23 @@ def test_top_k(spark, block, k):
         best = sorted((x for x in range(300) if x != q), key=lambda x: (-s[x], x))[:k]
         want += [(q, r + 1, x, int(s[x])) for r, x in enumerate(best)]
     assert got == want
-    assert embedding.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert embedding.top_k(df.limit(0), "true").count() == 0
     few = df.where("vec_id < 3")
-    assert embedding.top_k(few, few.where("vec_id = 0"), 20).count() == 2
+    assert embedding.top_k(few, "vec_id = 0", 20).count() == 2
+
+
+def test_top_k_of_repeated_ids_and_odd_vectors(spark, tmp_path):
+    rows = [(0, [1.0, 2.0]), (20, [3.0, 1.0]), (20, [5.0, 5.0]), (1, [2.0, 2.0]), (40, [1.0]), (2, [4.0]), (3, None), (60, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (80, [0.0, 0.0])]
+    spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, row int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in embedding.op8_voronoi_topk(spark, str(tmp_path)).collect())
+    good = [(n, i, v) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and x == x for x in v)]
+    want = []
+    for n, i, v in good:
+        if i % 20 == 0:
+            s = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), j) for m, j, w in good if m != n and len(w) == len(v))
+            want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    assert got == sorted(want)
+    assert (20, 1, 20, 81920) in got
 
 
 def toxic_frames(spark, n=900):
