@@ -63,6 +63,16 @@ def suggest_length_unit(scale: str, low: float, high: float) -> str:
     return known[min(max(power, -15), 9)]
 
 
+def suggest_length_unit_for_data(scale: str, data: DataFrame, column: str, unit: str) -> str:
+    """suggest_length_unit for the values of a column in unit: one aggregate. Infinite values keep the unit; no values at all are an error."""
+    c = F.col(column)
+    low, high, wild = data.where(c.isNotNull() & ~F.isnan(c)).agg(F.min(c), F.max(c), F.max(F.abs(c) == float("inf"))).first()
+    if low is None:
+        raise ValueError("no values")
+    f = conversion_factor(unit, "m")
+    return unit if wild else suggest_length_unit(scale, f * low, f * high)
+
+
 def factor_column(source: Column, target: Column | str) -> Column:
     """conversion_factor as an expression; null where a unit is unknown or the kinds differ."""
     target = F.lit(target) if isinstance(target, str) else target

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .reliability import defined, single_valued
+
 KEYS = ("scan_id",)
 
 
@@ -33,19 +35,23 @@ def dft_table(spark, n: int, tapered: bool):
 DFT_POINTS = 256
 
 
-def power_spectrum(points: DataFrame, n: int, size: float, tapered: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, k, q, psd): one-dimensional power spectra of line scans, positive wavevectors up to before Nyquist's, that at zero halved."""
+def power_spectrum(points: DataFrame, n: int, size: float, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
+    """(keys, k, q, psd): one-dimensional power spectra of line scans, positive wavevectors up to before Nyquist's, that at zero halved.
+
+    undefined: what scans with undefined heights do, as reliability.defined says; the same for scans of any length.
+    """
     if n > DFT_POINTS:
-        return power_spectrum_fft(points, n, size, tapered, keys)
+        return power_spectrum_fft(points, n, size, tapered, keys, undefined)
     t = dft_table(points.sparkSession, n, tapered)
+    points = defined(points, undefined, keys)
     agg = points.join(F.broadcast(t), "ix").groupBy(*keys, "k").agg(F.sum(F.col("h") * F.col("c")).alias("re"), F.sum(F.col("h") * F.col("s")).alias("im"))
     c = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.lit(size / n / n)
     return agg.select(*keys, "k", (F.col("k") * F.lit(2 * math.pi / size)).alias("q"), F.when(F.col("k") == 0, c / 2).otherwise(c).alias("psd"))
 
 
-def power_spectrum_fft(points: DataFrame, n: int, size: float, tapered: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def power_spectrum_fft(points: DataFrame, n: int, size: float, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
     """The same by FFT, whole scans at a time."""
-    arrays = as_arrays(points, keys)
+    arrays = as_arrays(defined(points, undefined, keys), keys)
     kinds = ", ".join(f"{c} {t}" for c, t in arrays.select(*keys).dtypes)
 
     def run(batches):
@@ -61,17 +67,40 @@ def power_spectrum_fft(points: DataFrame, n: int, size: float, tapered: bool = T
     return arrays.mapInPandas(run, f"{kinds}, k int, q double, psd double")
 
 
-def psd_area(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, r2, n, psd): spectra of nx x ny maps of unit pixels, averaged over wavevectors of one integer length squared (nx = ny).
+def spectrum_area(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, kx, ky, qx, qy, psd): two-dimensional spectra of maps, all wavevectors, each as the shorter of it and its mirror.
 
-    The transform is separable: rows first, then columns, each a join with a table of the grid's size.
+    The transform is separable: rows first, then columns, each a join with a table of one axis.
     """
-    full = lambda n: points.sparkSession.createDataFrame(pd.DataFrame([(k, i, math.cos(2 * math.pi * (k * i % n) / n), math.sin(2 * math.pi * (k * i % n) / n)) for k in range(n) for i in range(n)], columns=["k", "i", "c", "s"]).astype({"k": "int32", "i": "int32"}))
-    a = points.join(F.broadcast(full(nx).select(F.col("k").alias("kx"), F.col("i").alias("ix"), "c", "s")), "ix").groupBy(*keys, "iy", "kx").agg(F.sum(F.col("h") * F.col("c")).alias("re"), F.sum(-F.col("h") * F.col("s")).alias("im"))
-    b = a.join(F.broadcast(full(ny).select(F.col("k").alias("ky"), F.col("i").alias("iy"), "c", "s")), "iy").groupBy(*keys, "kx", "ky").agg(F.sum(F.expr("re * c + im * s")).alias("re"), F.sum(F.expr("im * c - re * s")).alias("im"))
+
+    def axis(n: int, k: str, i: str) -> DataFrame:
+        a, b = np.meshgrid(np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32), indexing="ij")
+        z = 2 * np.pi * (a.astype(np.int64) * b % n) / n
+        return F.broadcast(points.sparkSession.createDataFrame(pd.DataFrame({k: a.ravel(), i: b.ravel(), "c": np.cos(z).ravel(), "s": np.sin(z).ravel()})))
+
+    a = points.join(axis(nx, "kx", "ix"), "ix").groupBy(*keys, "iy", "kx").agg(F.sum(F.col("h") * F.col("c")).alias("re"), F.sum(-F.col("h") * F.col("s")).alias("im"))
+    b = a.join(axis(ny, "ky", "iy"), "iy").groupBy(*keys, "kx", "ky").agg(F.sum(F.expr("re * c + im * s")).alias("re"), F.sum(F.expr("im * c - re * s")).alias("im"))
+    q = lambda k, n, size: F.least(F.col(k), n - F.col(k)) * F.lit(2 * math.pi / size)
+    return b.select(*keys, "kx", "ky", q("kx", nx, sx).alias("qx"), q("ky", ny, sy).alias("qy"), (F.expr("re * re + im * im") * F.lit(sx * sy / (nx * ny) ** 2)).alias("psd"))
+
+
+def psd_area(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, r2, n, psd): spectra of nx x ny maps of unit pixels, averaged over wavevectors of one integer length squared (nx = ny)."""
     m = lambda c, n: F.least(F.col(c), n - F.col(c))
     r2 = (m("kx", nx) * m("kx", nx) + m("ky", ny) * m("ky", ny)).alias("r2")
-    return b.groupBy(*keys, r2).agg(F.count("*").alias("n"), F.avg(F.expr("(re * re + im * im)") / F.lit(float(nx * ny))).alias("psd"))
+    return spectrum_area(points, nx, ny, float(nx), float(ny), keys).groupBy(*keys, r2).agg(F.count("*").alias("n"), F.avg("psd").alias("psd"))
+
+
+def integrate_psd_area(spectrum: DataFrame, sx: float, sy: float, factor: str = "1D", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Sum of a two-dimensional spectrum times factor(qx, qy) (SQL text) by the area."""
+    return spectrum.groupBy(*keys).agg((F.sum(F.col("psd") * F.expr(factor)) / F.lit(float(sx * sy))).alias("integral"))
+
+
+def radial(values: DataFrame, nx: int, ny: int, sx: float, sy: float, edges: list[float], keys: tuple[str, ...] = KEYS, value: str = "h", wrapped: bool = True) -> DataFrame:
+    """(keys, bin, x, y, var, n): values of a grid (ix, iy) averaged over bins of their distance from the corner, the shorter way round if wrapped."""
+    at = lambda c, n, s: (F.least(F.col(c), n - F.col(c)) if wrapped else F.col(c)) * F.lit(s / n)
+    x, y = at("ix", nx, sx), at("iy", ny, sy)
+    return bin_average(values.withColumn("_r", F.sqrt(x * x + y * y)), "_r", value, edges, keys)
 
 
 def psd_nonuniform(points: DataFrame, wavevectors_: list[float], keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -128,18 +157,31 @@ def autocorrelation_nonuniform(points: DataFrame, distances: list[float], keys:
     A segment is matched with those that overlap it when shifted. Both sides are put into cells along x, as wide as the
     scan's longest segment, so that the overlap is an equi-join on cells.
     """
+    j = overlaps(points, distances, keys)
+    at = lambda x: f"(e0 + f * ({x} - y0) - h0 - g * ({x} - r - x0))"
+    j = j.select(*keys, "r", "l", F.expr("hi - lo").alias("d"), F.expr(at("lo")).alias("u"), F.expr(at("hi")).alias("v"))
+    return j.groupBy(*keys, "r").agg((F.sum(F.expr("d * (u*u + u*v + v*v) / 6")) / (F.max("l") - F.col("r"))).alias("acf"))
+
+
+def height_height_autocorrelation(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, r, acf): the exact integral of the product of piecewise-linear profiles with themselves, shifted; not divided by a length."""
+    j = overlaps(points, distances, keys)
+    own, far = (lambda x: f"(h0 + g * ({x} - r - x0))"), (lambda x: f"(e0 + f * ({x} - y0))")
+    j = j.select(*keys, "r", F.expr("hi - lo").alias("d"), *[F.expr(w(x)).alias(n) for n, w, x in (("a", own, "lo"), ("b", own, "hi"), ("u", far, "lo"), ("v", far, "hi"))])
+    return j.groupBy(*keys, "r").agg(F.sum(F.expr("d * (2*a*u + a*v + b*u + 2*b*v) / 6")).alias("acf"))
+
+
+def overlaps(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Pairs of a segment shifted by r and a segment of the same scan that overlap, from lo to hi."""
     from .detrend import segments
 
-    s = segments(points, keys)
+    s = segments(single_valued(points, "raise", keys), keys)
     span = s.groupBy(*keys).agg(F.max("dx").alias("w"), F.sum("dx").alias("l"))
     s = s.join(span, list(keys)).select(*keys, "x0", "h0", "dx", ((F.col("h1") - F.col("h0")) / F.col("dx")).alias("g"), "w", "l")
     left = s.withColumn("r", F.explode(F.array(*map(F.lit, map(float, distances))))).where("r < l").withColumn("c", F.floor((F.col("x0") + F.col("r")) / F.col("w")))
     left = left.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
     right = s.select(*keys, F.col("x0").alias("y0"), F.col("h0").alias("e0"), F.col("dx").alias("dy"), F.col("g").alias("f"), F.floor(F.col("x0") / F.col("w")).alias("c"))
-    j = left.join(right, [*keys, "c"]).withColumn("lo", F.greatest(F.col("x0") + F.col("r"), "y0")).withColumn("hi", F.least(F.expr("x0 + r + dx"), F.expr("y0 + dy"))).where("hi > lo")
-    at = lambda x: f"(e0 + f * ({x} - y0) - h0 - g * ({x} - r - x0))"
-    j = j.select(*keys, "r", "l", F.expr("hi - lo").alias("d"), F.expr(at("lo")).alias("u"), F.expr(at("hi")).alias("v"))
-    return j.groupBy(*keys, "r").agg((F.sum(F.expr("d * (u*u + u*v + v*v) / 6")) / (F.max("l") - F.col("r"))).alias("acf"))
+    return left.join(right, [*keys, "c"]).withColumn("lo", F.greatest(F.col("x0") + F.col("r"), "y0")).withColumn("hi", F.least(F.expr("x0 + r + dx"), F.expr("y0 + dy"))).where("hi > lo")
 
 
 def slope_from_acf(acf: DataFrame) -> DataFrame:
@@ -147,6 +189,12 @@ def slope_from_acf(acf: DataFrame) -> DataFrame:
     return acf.where("k > 0").withColumn("slope", F.sqrt(2 * F.greatest("acf", F.lit(0.0))) / F.col("r")).drop("acf")
 
 
+def slope_from_area_acf(acf: DataFrame) -> DataFrame:
+    """Scale-dependent slope of maps from their radial correlation (r2, acf), without distance zero."""
+    r = F.sqrt(F.col("r2").cast("double"))
+    return acf.where("r2 > 0").withColumn("r", r).withColumn("slope", F.sqrt(2 * F.greatest("acf", F.lit(0.0))) / r).drop("acf")
+
+
 def curvature_from_acf(acf: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Scale-dependent curvature sqrt(8 A_k - 2 A_2k) / r_k^2, up to before the first negative value."""
     from pyspark.sql import Window

@@ -185,3 +185,10 @@ def equal(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("scan_id", "ix"),
     both = a.select(*keys, F.col("h").alias("p"), F.lit(1).alias("ia")).join(b.select(*keys, F.col("h").alias("q"), F.lit(1).alias("ib")), list(keys), "full")
     near = F.col("ia").isNotNull() & F.col("ib").isNotNull() & F.coalesce(F.abs(F.col("p") - F.col("q")) <= atol + rtol * F.abs("q"), F.col("p").isNull() & F.col("q").isNull())
     return both.agg(F.coalesce(F.bool_and(near), F.lit(True)).alias("equal"))
+
+
+def to_nonuniform(points: DataFrame, pixel: float, periodic: bool = False) -> DataFrame:
+    """Line scans as nonuniform ones: each point with its position x. A periodic scan has no end and can't be one."""
+    if periodic:
+        raise ValueError("a periodic scan can't be made nonuniform")
+    return points.withColumn("x", F.col("ix") * F.lit(float(pixel)))

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import units
+from ..functions import results, units
 from ..functions.algebra import cramer, normal_equations
 from ..operators import bandwidth as vb
-from ..operators import bearing, detrend, geometry, kernels, scalars, spectral, stencils, transforms
+from ..operators import bearing, detrend, geometry, kernels, reliability, scalars, spectral, stencils, transforms
 from ..sources.tables import height_map, line_scans, profiles, small_maps, table
 from . import container, models
 
@@ -409,7 +409,8 @@ def scale_dep_curvature(spark, d):
 @query("psd_integral", f"WITH {_psd_sql(True)} SELECT scan_id, round(2 * sum(psd) / 64, 6) AS variance, round(2 * sum(psd * q * q) / 64, 6) AS slope_variance FROM c GROUP BY scan_id")
 def psd_integral(spark, d):
     p = _psd(spark, d)
-    return rounded(p.groupBy("scan_id").agg((2 * F.sum("psd") / SIZE).alias("variance"), (2 * F.sum(F.expr("psd * q * q")) / SIZE).alias("slope_variance")))
+    height, slope = (spectral.integrate_psd(p, SIZE, f).withColumnRenamed("integral", c) for f, c in (("1D", "variance"), ("q * q", "slope_variance")))
+    return rounded(height.join(slope, "scan_id"))
 
 
 @query("half_derivative_variance", f"WITH {_ACF}, t AS (SELECT scan_id, k, acf, acf / (k * k) AS y, lag(acf / (k * k)) OVER (PARTITION BY scan_id ORDER BY k) AS z FROM c WHERE k > 0) SELECT scan_id, round(min_by(acf / k, k) + coalesce(sum((y + z) / 2), 0), 6) AS variance FROM t GROUP BY scan_id")
@@ -673,12 +674,115 @@ def fill_map_harmonic(spark, d):
     return rounded(kernels.interpolate_undefined_map(p, 8, 8))
 
 
-@query("probe_cutoff")
+
+_WORST = "d2 AS (SELECT a.scan_id, CAST(s AS INTEGER) AS s, min((b.h - 2 * a.h + c.h) / (s * s)) AS v FROM l a, (SELECT unnest(range(1, 32)) AS s) JOIN l b ON b.scan_id = a.scan_id AND b.ix = a.ix - s JOIN l c ON c.scan_id = a.scan_id AND c.ix = a.ix + s GROUP BY ALL), w2 AS (SELECT scan_id, s, -v - 0.5::DOUBLE / 20 AS over, lead(-v - 0.5::DOUBLE / 20) OVER (PARTITION BY scan_id ORDER BY s) AS after FROM d2), tip AS (SELECT scan_id, arg_max(2 * (s + coalesce(over / (over - after), 0)), s) AS c FROM w2 WHERE over > 0 GROUP BY scan_id), ids AS (SELECT DISTINCT scan_id FROM l)"
+
+
+@query("probe_cutoff", f"WITH {L}, {_WORST} SELECT ids.scan_id, round(tip.c, 6) AS cutoff FROM ids LEFT JOIN tip USING (scan_id)")
 def probe_cutoff(spark, d):
     return rounded(kernels.scanning_probe_cutoff(line_scans(spark, d), PIXEL, 20.0))
 
 
-@query("fourier_synthesis")
+@query("fourier_synthesis", "SELECT unnest(range(8)) AS scan_id, 0.1::DOUBLE AS sq")
 def fourier_synthesis(spark, d):
     s = kernels.fourier_synthesis(spark, list(range(8)), 64, 64, 1.0, 1.0, 0.8, 0.1, long=0.5)
     return rounded(scalars.sq(s, ("scan_id",)))
+
+
+# --- reliability -----------------------------------------------------------------------------------
+
+_CUT = _WORST + ", cut AS (SELECT ids.scan_id, greatest(CASE ids.scan_id % 3 WHEN 0 THEN tip.c WHEN 1 THEN 3 END, 2.5::DOUBLE) AS cutoff FROM ids LEFT JOIN tip USING (scan_id))"
+
+
+def _cutoffs(spark, d):
+    """A third of the scans has a tip radius, a third a resolution, the rest neither."""
+    info = line_scans(spark, d).select("scan_id").distinct()
+    info = info.withColumns({"tip_radius": F.expr("CASE WHEN scan_id % 3 = 0 THEN 20D END"), "resolution": F.expr("CASE WHEN scan_id % 3 = 1 THEN 3D END")})
+    return reliability.short_cutoffs(line_scans(spark, d), info, N, PIXEL, 2.5)
+
+
+@query("reliability_cutoff", f"WITH {L}, {_CUT} SELECT scan_id, round(cutoff, 6) AS cutoff FROM cut")
+def reliability_cutoff(spark, d):
+    return rounded(_cutoffs(spark, d))
+
+
+@query("psd_reliable", f"WITH {_psd_sql(False)}, {_CUT}, x AS (SELECT scan_id, k, psd, count(*) OVER (PARTITION BY scan_id) AS n FROM c JOIN cut USING (scan_id) WHERE q < 2 * pi() / cutoff) SELECT scan_id, k, round(psd, 6) AS psd FROM x WHERE n >= 2")
+def psd_reliable(spark, d):
+    p = reliability.reliable_spectrum(_psd(spark, d, False), _cutoffs(spark, d))
+    return rounded(p.select("scan_id", F.col("k").cast("int").alias("k"), "psd"))
+
+
+@query("acf_reliable", f"WITH {_ACF}, {_CUT} SELECT scan_id, k, round(acf, 6) AS acf FROM c JOIN cut USING (scan_id) WHERE k > cutoff / 2")
+def acf_reliable(spark, d):
+    return rounded(reliability.reliable_autocorrelation(_acf(spark, d), _cutoffs(spark, d)).select("scan_id", "k", "acf"))
+
+
+@query("vbm_reliable", f"WITH {_VB}, {_CUT} SELECT scan_id, CAST(m AS INTEGER) AS magnification, bandwidth, round(rms, 6) AS rms FROM v JOIN cut USING (scan_id) WHERE bandwidth > cutoff")
+def vbm_reliable(spark, d):
+    return rounded(reliability.reliable_bandwidth(vb.variable_bandwidth(line_scans(spark, d), N, SIZE), _cutoffs(spark, d)))
+
+
+@query("sdrp_reliable", f"WITH {_SD1}, {_CUT}, x AS (SELECT scan_id, CAST(s AS DOUBLE) AS distance, round(var_pop(d), 6) AS value FROM q GROUP BY ALL) SELECT x.* FROM x JOIN cut USING (scan_id) WHERE distance > cutoff / 2")
+def sdrp_reliable(spark, d):
+    return rounded(reliability.reliable_scales(stencils.scale_dependent(line_scans(spark, d), [1, 2, 4, 8], PIXEL), _cutoffs(spark, d)))
+
+
+@query("psd_nonuniform_reliable", f"WITH {P}, y AS (SELECT scan_id, lead(x) OVER (PARTITION BY scan_id ORDER BY ix) - x AS dx FROM p), cut AS (SELECT scan_id, avg(dx) AS cutoff FROM y GROUP BY scan_id), z AS ({ORACLE_SQL['psd_nonuniform_brute']}), w AS (SELECT z.*, count(*) OVER (PARTITION BY scan_id) AS n FROM z JOIN cut USING (scan_id) WHERE q < 2 * pi() / cutoff) SELECT scan_id, q, psd FROM w WHERE n >= 2")
+def psd_nonuniform_reliable(spark, d):
+    p = profiles(spark, d)
+    return rounded(reliability.reliable_spectrum(spectral.psd_nonuniform(p, _Q), reliability.spacing_cutoffs(p)), 3, q=6)
+
+
+# --- areas, conversions, results -------------------------------------------------------------------
+
+_SPECTRUM = ORACLE_SQL["psd_area_radial"].rpartition("SELECT scan_id, CAST(least")[0]
+
+
+@query("psd_area_integral", _SPECTRUM + "SELECT scan_id, round(sum(re * re + im * im) / 4096, 6) AS variance, round(sum((re * re + im * im) / 4096 * (least(kx, 8 - kx) ** 2 + least(ky, 8 - ky) ** 2) * (2 * pi() / 8) ** 2), 6) AS slope_variance FROM b GROUP BY scan_id")
+def psd_area_integral(spark, d):
+    s = spectral.spectrum_area(small_maps(spark, d), 8, 8, 8.0, 8.0)
+    height, slope = (spectral.integrate_psd_area(s, 8.0, 8.0, f).withColumnRenamed("integral", c) for f, c in (("1D", "variance"), ("qx * qx + qy * qy", "slope_variance")))
+    return rounded(height.join(slope, "scan_id"))
+
+
+@query("scale_dep_slope_area", f"WITH a AS ({ORACLE_SQL['acf_area_radial'].replace('round(avg(acf), 6)', 'avg(acf)')}) SELECT scan_id, r2, round(sqrt(2 * acf / r2), 6) AS slope FROM a WHERE r2 > 0")
+def scale_dep_slope_area(spark, d):
+    acf = spectral.autocorrelation_area(small_maps(spark, d), 8, 8).withColumn("r2", F.col("r2").cast("int"))
+    return rounded(spectral.slope_from_area_acf(acf).select("scan_id", "r2", "slope"))
+
+
+@query("resample_radial", f"WITH {M}, r AS (SELECT scan_id, h, sqrt(least(ix, 8 - ix) ** 2 + least(iy, 8 - iy) ** 2) AS r FROM m) SELECT scan_id, CAST(round(r) AS INTEGER) - CASE WHEN round(r) > 5 THEN 1 ELSE 0 END AS bin, round(avg(r), 6) AS x, round(avg(h), 6) AS y, round(var_pop(h), 6) AS var, count(*) AS n FROM r GROUP BY ALL")
+def resample_radial(spark, d):
+    return rounded(spectral.radial(small_maps(spark, d), 8, 8, 8.0, 8.0, [-0.5, 0.5, 1.5, 2.5, 3.5, 4.5, 6.0]))
+
+
+@query("height_height_acf", ORACLE_SQL["acf_nonuniform_brute"].partition(" k AS (SELECT scan_id, r, l")[0] + """ k AS (SELECT scan_id, r, hi - lo AS d, h0 + g * (lo - r - x0) AS a, h0 + g * (hi - r - x0) AS b, e0 + f * (lo - y0) AS u, e0 + f * (hi - y0) AS v FROM j)
+ SELECT scan_id, r, round(sum(d * (2*a*u + a*v + b*u + 2*b*v) / 6), 2) AS acf FROM k GROUP BY scan_id, r""")
+def height_height_acf(spark, d):
+    return rounded(spectral.height_height_autocorrelation(profiles(spark, d), [1.0, 10.0, 50.0]), 2, r=6)
+
+
+@query("to_nonuniform", f"WITH {L} SELECT scan_id, ix, ix * 0.25::DOUBLE AS x, round(h, 6) AS h FROM l")
+def to_nonuniform(spark, d):
+    return rounded(transforms.to_nonuniform(line_scans(spark, d), 0.25).select("scan_id", "ix", "x", "h"))
+
+
+@query("self_affine_prefactor", "SELECT n_nationkey, round(2 * 0.5 * sqrt(hurst * pi() / (pow(2 * pi(), -2 * hurst) - pow(64 * pi(), -2 * hurst))) * 4096, 4) AS by_height, round(2 * 0.1 * sqrt((1 - hurst) * pi() / (pow(64 * pi(), 2 - 2 * hurst) - pow(2 * pi(), 2 - 2 * hurst))) * 64 / sqrt(2), 6) AS by_slope FROM (SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, 0.05::DOUBLE + n_nationkey * 0.035::DOUBLE AS hurst FROM nation)")
+def self_affine_prefactor(spark, d):
+    h = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), (F.lit(0.05) + F.col("n_nationkey") * 0.035).alias("hurst"))
+    by_height = models.self_affine_prefactor((64, 64), (1.0, 1.0), F.col("hurst"), rms_height=0.5)
+    by_slope = models.self_affine_prefactor((64,), (1.0,), F.col("hurst"), rms_slope=0.1)
+    return rounded(h.select("n_nationkey", by_height.alias("by_height"), by_slope.alias("by_slope")), 6, by_height=4)
+
+
+@query("iso_durations", """WITH c AS (SELECT c_custkey, CAST(round(c_acctbal * 1000000) AS BIGINT) * 37 AS us FROM customer), m AS (SELECT *, abs(us) AS m FROM c)
+ SELECT c_custkey, CASE WHEN us < 0 THEN '-' ELSE '' END || printf('P%dDT%02dH%02dM%02d', m // 86400000000, m // 3600000000 % 24, m // 60000000 % 60, m // 1000000 % 60) || CASE WHEN m % 1000000 > 0 THEN printf('.%06d', m % 1000000) ELSE '' END || 'S' AS duration FROM m""")
+def iso_durations(spark, d):
+    us = F.round(F.col("c_acctbal") * 1_000_000).cast("long") * 37
+    return table(spark, d, "customer").select("c_custkey", results.iso_duration(us).alias("duration"))
+
+
+@query("json_results", "SELECT c_custkey, CAST(to_json({'c_custkey': c_custkey, 'name': c_name, 'nation': CASE WHEN c_acctbal >= 0 THEN c_nationkey END}) AS VARCHAR) AS json FROM customer")
+def json_results(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("nation"))
+    return results.json_rows(c, ("c_custkey",))

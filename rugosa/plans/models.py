@@ -67,3 +67,17 @@ def sphere(spark: SparkSession, radius: float, nx: int, ny: int, sx: float, sy:
         return F.when(r2 < radius * radius, F.sqrt(F.lit(radius * radius) - r2) - radius)
 
     return from_function(spark, nx, ny, sx, sy, height)
+
+
+def self_affine_prefactor(nb_grid_pts: tuple[int, ...], sizes: tuple[float, ...], hurst: Column, rms_height: float | None = None, rms_slope: float | None = None, short: float | None = None, long: float | None = None) -> Column:
+    """The factor of a random surface's Fourier amplitudes, without a rolloff, for a wanted rms height or rms slope; scans have one size, maps two."""
+    if (rms_height is None) == (rms_slope is None):
+        raise ValueError("either rms_height or rms_slope")
+    top = 2 * math.pi / short if short else math.pi * min(n / s for n, s in zip(nb_grid_pts, sizes, strict=True))
+    low = 2 * math.pi / long if long else 2 * math.pi / min(sizes)
+    power = (lambda q, e: F.pow(F.lit(q), e))
+    if rms_height is not None:
+        c = 2 * rms_height * F.sqrt(hurst * math.pi / (power(low, -2 * hurst) - power(top, -2 * hurst)))
+    else:
+        c = 2 * rms_slope * F.sqrt((1 - hurst) * math.pi / (power(top, 2 - 2 * hurst) - power(low, 2 - 2 * hurst)))
+    return c * F.lit(math.prod(nb_grid_pts) / math.sqrt(math.prod(sizes)) / math.sqrt(2 if len(sizes) == 1 else 1))

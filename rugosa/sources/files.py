@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import units
 from . import formats, instruments
 from .errors import MetadataAlreadyFixedByFile, UnknownChannel
 
@@ -126,3 +127,20 @@ def pyramid(points: DataFrame, nx: int, ny: int, tile: int = 256, keys: tuple[st
     p = p.withColumn("_step", step).where("ix % _step = 0 AND iy % _step = 0")
     p = p.withColumns({"ix": F.expr("cast(ix div _step as int)"), "iy": F.expr("cast(iy div _step as int)")})
     return p.select(*keys, "level", F.expr(f"cast(ix div {tile} as int)").alias("col"), F.expr(f"cast(iy div {tile} as int)").alias("row"), "ix", "iy", "h")
+
+
+def height_channels(catalogue: DataFrame) -> DataFrame:
+    """The channels that hold heights (a length unit, or none), with height_index: their number among those of their file."""
+    w = Window.partitionBy("path").orderBy("channel_index")
+    lengths = F.col("unit").isNull() | units.factor_column(F.col("unit"), "m").isNotNull()
+    return catalogue.where(F.col("channel_index").isNotNull() & lengths).withColumn("height_index", F.row_number().over(w) - 1)
+
+
+def height_index_to_channel_id(catalogue: DataFrame, height_index: int) -> DataFrame:
+    """(path, channel_id) of that height channel of each file that has it."""
+    return height_channels(catalogue).where(F.col("height_index") == height_index).select("path", "channel_id")
+
+
+def channel_id_to_height_index(catalogue: DataFrame, channel_id: str) -> DataFrame:
+    """(path, height_index) of that channel of each file where it holds heights."""
+    return height_channels(catalogue).where(F.col("channel_id") == channel_id).select("path", "height_index")
