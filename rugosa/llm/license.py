@@ -1,4 +1,4 @@
-"""Licence scans: lines compared with licence templates by Dice coefficient over word bigrams, in DataFrame expressions alone."""
+"""Licence scans: lines, sentences and runs of them compared with licence templates by Dice coefficient over word bigrams, in DataFrame expressions alone."""
 
 from __future__ import annotations
 
@@ -27,12 +27,27 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: A run has at most so many pieces: a paragraph of a notice, wrapped at 78 columns, has up to seven lines.
+RUN = 10
+#: What ends a piece within a line, and what a line's words are made of.
+SENTENCE_END, NO_WORD = r"[.!?][ \t]+", r"[^\p{L}\p{N}\n\r]+"
 
 
 def plain(text: Column) -> Column:
-    """Lower case; what is neither a letter, a digit nor a line end is one space."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    """Lower case; sentences of a line are parted by a carriage return, and what else is neither a letter, a digit nor a line end is one space."""
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\r", " ")
+    return F.regexp_replace(F.regexp_replace(t, SENTENCE_END, "\r"), NO_WORD, " ")
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -46,28 +61,48 @@ def template_bigrams(text: str) -> list[str]:
     return out
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, template, dice, line, n_lines) of every row.
+def vocabulary_of(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, t in templates for b in template_bigrams(t) for w in b.rpartition("#")[0].split(" ")})
+
 
-    Each line of the text, and the text as a whole (line 0), is a unit. Its Dice coefficient with a template is
-    2 c / (m + n): c common bigrams, m and n those of both, repeats counted. A unit can reach `least` only if
-    least / (2 - least) <= m / n <= (2 - least) / least, so other templates, and units out of reach of all, are never
-    compared; nor are units with more words that no template has than a match can have. The best match of a document is the highest; ties go to the earlier line, then the earlier template. n_lines
-    counts the lines that match a template. No match, null or empty text: null, null, null, null, 0.
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, license, template, dice, line, pieces, n_lines) of every row.
+
+    A text's pieces are its lines, cut further after sentences; blank ones don't count. Units are each piece, each
+    run of 2 to RUN consecutive pieces of which every one has at least half of its words in some template (so a
+    notice may be wrapped over lines, or stand within a line of prose), and the text as a whole (line 0, pieces 0).
+    A unit's Dice coefficient with a template is 2 c / (m + n): c common bigrams, m and n those of both, repeats
+    counted. A unit can reach `least` only if least / (2 - least) <= m / n <= (2 - least) / least, so other templates,
+    and units out of reach of all, are never compared; nor are units with more words that no template has than a
+    match can have. The best match of a document is the highest; ties go to the earlier piece, then the shorter run,
+    then the earlier template. n_lines counts the lines in which a matching piece or run begins. No match, null or
+    empty text: null, null, null, null, null, 0.
     """
     grams = [(i, name, b) for i, (name, t) in enumerate(templates) if (b := template_bigrams(t))]
     low, high = least / (2 - least), (2 - least) / least
     shortest, longest = (min(len(b) for _, _, b in grams) * low, max(len(b) for _, _, b in grams) * high) if grams else (1.0, 0.0)
     known = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n")) for i, n, b in grams]) if grams else F.expr("cast(array() as array<struct<i:int,name:string,b:array<string>,n:int>>)")
-
-    def unit(line: Column, n: Column) -> Column:
-        t = F.trim(line)
-        return F.struct(n.alias("line"), t.alias("t"), (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).alias("m"))
+    words = vocabulary_of(templates)
 
     def let(value: Column, then) -> Column:
         """then(value), the value worked out once: inside a lambda an expression is evaluated at each use."""
         return F.element_at(F.transform(F.array(value), then), 1)
 
+    def piece(line: Column, t: Column) -> Column:
+        """f: words that no template has."""
+        return let(F.split(t, " ", -1), lambda w: F.struct(line.alias("line"), t.alias("t"), F.size(w).alias("w"), F.size(F.filter(w, lambda x: ~x.isin(words))).alias("f")))
+
+    def unit(p: Column, k: Column, of: Column) -> Column:
+        total = lambda c: F.aggregate(of[c], F.lit(0), lambda a, x: a + x)
+        return F.struct(p.alias("p"), k.alias("k"), F.when(p > 0, of["line"][0]).otherwise(0).alias("line"), of["t"].alias("t"), (total("w") - 1).alias("m"), total("f").alias("f"))
+
+    def runs(i: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.struct(k.alias("k"), F.slice("all", i, k).alias("of")))
+        return F.transform(F.filter(each, lambda r: (F.size(r["of"]) == r["k"]) & F.forall(r["of"], half)), lambda r: unit(i, r["k"], r["of"]))
+
+    def half(x: Column) -> Column:
+        return x["f"] * 2 <= x["w"]
+
     def numbered(b: Column) -> Column:
         return F.transform(b, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(b, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
 
@@ -77,58 +112,86 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
 
     def compared(u: Column) -> Column:
         fit = F.filter(known, lambda k: (u["m"] >= k["n"] * low - 1e-9) & (u["m"] <= k["n"] * high + 1e-9))
-        dice = F.transform(fit, lambda k: F.struct((F.size(F.array_intersect(u["b"], k["b"])) * 2.0 / (u["m"] + k["n"])).alias("dice"), (-u["line"]).alias("line"), (-k["i"]).alias("i"), k["name"].alias("name")))
+        dice = F.transform(fit, lambda k: F.struct((F.size(F.array_intersect(u["b"], k["b"])) * 2.0 / (u["m"] + k["n"])).alias("dice"), (-u["p"]).alias("p"), (-u["k"]).alias("k"), (-k["i"]).alias("i"), k["name"].alias("name"), u["line"].alias("line")))
         return F.filter(dice, lambda d: d["dice"] >= least)
 
+    def in_reach(u: Column) -> Column:
+        # A match shares low * m of its bigrams at least, and f words that no template has spoil f - 1 or more.
+        return (u["m"] >= shortest - 1e-9) & (u["m"] <= longest + 1e-9) & (u["m"] > 0) & (u["f"] <= u["m"] * (1 - low) + 1 + 1e-9)
+
     rows = docs.select(F.col(id_col).alias("doc_id"), plain(F.col(text_col)).alias("t"))
-    lines = F.transform(F.split("t", "\n", -1), lambda x, i: unit(x, i + 1))
-    units = F.when(F.instr("t", "\n") > 0, F.concat(lines, F.array(unit(F.translate("t", "\n", " "), F.lit(0))))).otherwise(lines)
-    near = F.filter(units, lambda u: (u["m"] >= shortest - 1e-9) & (u["m"] <= longest + 1e-9) & (u["m"] > 0))
-    # A match shares low * m of its bigrams at least, and k words that no template has spoil k - 1 or more.
-    vocabulary = F.array(*map(F.lit, sorted({w for _, _, b in grams for x in b for w in x.rpartition("#")[0].split(" ")})))
-    near = F.filter(near, lambda u: F.size(F.array_except(F.split(u["t"], " ", -1), vocabulary)) <= u["m"] * (1 - low) + 1 + 1e-9)
-    rows = rows.select("doc_id", near.alias("near"))
-    hits = F.flatten(F.transform(F.transform("near", lambda u: F.struct(u["line"].alias("line"), u["m"].alias("m"), bigrams(u["t"]).alias("b"))), compared))
+    cut = F.flatten(F.transform(F.split("t", "\n", -1), lambda x, i: F.transform(F.split(x, "\r", -1), lambda y: F.struct((i + 1).alias("line"), F.trim(y).alias("t")))))
+    rows = rows.select("doc_id", F.transform(F.filter(cut, lambda x: x["t"] != ""), lambda x: piece(x["line"], x["t"])).alias("all"))
+    rows = rows.withColumn("n", F.size("all"))
+    at = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    starts = F.filter(at, lambda i: half(F.element_at("all", i)) & half(F.element_at("all", i + 1)))
+    singles = F.transform(F.filter(F.transform("all", lambda x, i: F.struct((i + 1).alias("p"), x.alias("x"))), lambda y: in_reach(F.struct((y["x"]["w"] - 1).alias("m"), y["x"]["f"].alias("f")))), lambda y: unit(y["p"], F.lit(1), F.array(y["x"])))
+    whole = F.when(F.col("n") > 1, F.array(unit(F.lit(0), F.lit(0), F.col("all")))).otherwise(F.expr("NULL"))
+    rows = rows.select("doc_id", F.filter(F.concat(singles, F.coalesce(whole, F.slice(singles, 1, 0)), F.flatten(F.transform(starts, runs))), in_reach).alias("near"))
+    named = lambda u: F.struct(*[u[c].alias(c) for c in ("p", "k", "line", "m")], bigrams(F.concat_ws(" ", u["t"])).alias("b"))
+    hits = F.flatten(F.transform(F.transform("near", named), compared))
     rows = rows.select("doc_id", hits.alias("hits"))
-    best = rows.withColumn("best", F.array_max("hits")).withColumn("n_lines", F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: h["line"] < 0), lambda h: h["line"]))))
-    return best.select("doc_id", F.col("best.name").alias("license"), (-F.col("best.i")).alias("template"), F.col("best.dice").alias("dice"), (-F.col("best.line")).alias("line"), "n_lines")
+    best = rows.withColumn("best", F.array_max("hits")).withColumn("n_lines", F.size(F.array_distinct(F.filter("hits", lambda h: h["p"] < 0)["line"])))
+    return best.select("doc_id", F.col("best.name").alias("license"), (-F.col("best.i")).alias("template"), F.col("best.dice").alias("dice"), F.col("best.line").alias("line"), (-F.col("best.k")).alias("pieces"), "n_lines")
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(common.read_table(spark, sf_dir, "documents"))
 
 
-_VALUES = ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(TEMPLATES))
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_VALUES = ", ".join(f"({i}, '{n}', {_sql(t)})" for i, (n, t) in enumerate(TEMPLATES))
+_WORDS = ", ".join(map(_sql, vocabulary_of(TEMPLATES)))
 ORACLE_SQL = {
     "op9_license_scan": f"""
 WITH d AS (
-  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), chr(13), ' '), {_sql(SENTENCE_END)}, chr(13), 'g'), {_sql(NO_WORD)}, ' ', 'g') AS t FROM documents
 ), l AS (
-  SELECT doc_id, unnest(string_split(t, chr(10))) AS s, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line FROM d
+  SELECT r, unnest(string_split(t, chr(10))) AS s, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line FROM d
+), x AS (
+  SELECT r, line, unnest(string_split(s, chr(13))) AS s, unnest(range(1, len(string_split(s, chr(13))) + 1)) AS part FROM l
+), p AS (
+  SELECT r, line, string_split(trim(s), ' ') AS w, row_number() OVER (PARTITION BY r ORDER BY line, part) AS p FROM x WHERE trim(s) <> ''
+), v AS (
+  SELECT [{_WORDS}] AS words
+), a AS (
+  SELECT r, p, line, w, len(list_filter(w, lambda y: NOT list_contains(words, y))) * 2 <= len(w) AS half FROM p, v
+), g AS (
+  SELECT r, list(line ORDER BY p) AS lines, list(w ORDER BY p) AS ws, list(half ORDER BY p) AS halves FROM a GROUP BY r
+), i AS (
+  SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM g
+), k1 AS (
+  SELECT *, unnest(range(1, {RUN + 1})) AS k FROM i
+), u0 AS (
+  SELECT r, p, k, lines[p] AS line, flatten(ws[p:p + k - 1]) AS w FROM k1 WHERE p + k - 1 <= len(ws) AND (k = 1 OR list_bool_and(halves[p:p + k - 1]))
   UNION ALL
-  SELECT doc_id, replace(t, chr(10), ' '), 0 FROM d WHERE contains(t, chr(10))
+  SELECT r, 0, 0, 0, flatten(ws) FROM g WHERE len(ws) > 1
 ), u AS (
-  SELECT doc_id, line, string_split(trim(s), ' ') AS w, len(string_split(trim(s), ' ')) - 1 AS m FROM l
+  SELECT r, p, k, line, w, len(w) - 1 AS m FROM u0 WHERE len(w) BETWEEN 2 AND 200
 ), t(i, name, text) AS (VALUES {_VALUES}
-), k AS (
+), tk AS (
   SELECT i, name, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t
 ), kb AS (
-  SELECT i, g, count(*) AS c FROM (SELECT i, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM k) GROUP BY i, g
+  SELECT i, g, count(*) AS c FROM (SELECT i, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM tk) GROUP BY i, g
 ), ub AS (
-  SELECT doc_id, line, m, g, count(*) AS c
-  FROM (SELECT doc_id, line, m, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM u WHERE m BETWEEN 1 AND 60)
-  GROUP BY doc_id, line, m, g
+  SELECT r, p, k, line, m, g, count(*) AS c
+  FROM (SELECT r, p, k, line, m, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM u)
+  GROUP BY ALL
 ), s AS (
-  SELECT ub.doc_id, ub.line, kb.i, sum(least(ub.c, kb.c)) AS c, any_value(ub.m) AS m FROM ub JOIN kb USING (g) GROUP BY ub.doc_id, ub.line, kb.i
+  SELECT r, p, k, line, kb.i, sum(least(ub.c, kb.c)) AS c, any_value(m) AS m FROM ub JOIN kb USING (g) GROUP BY r, p, k, line, kb.i
 ), h AS (
-  SELECT s.doc_id, s.line, s.i, k.name, CAST(s.c AS DOUBLE) * 2 / (s.m + len(k.w) - 1) AS dice
-  FROM s JOIN k USING (i) WHERE CAST(s.c AS DOUBLE) * 2 / (s.m + len(k.w) - 1) >= {LEAST}::DOUBLE
+  SELECT s.*, tk.name, CAST(s.c AS DOUBLE) * 2 / (s.m + len(tk.w) - 1) AS dice
+  FROM s JOIN tk USING (i) WHERE CAST(s.c AS DOUBLE) * 2 / (s.m + len(tk.w) - 1) >= {LEAST}::DOUBLE
 ), b AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, i) AS r,
-         count(DISTINCT nullif(line, 0)) OVER (PARTITION BY doc_id) AS n_lines FROM h
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, p, k, i) AS o,
+         count(DISTINCT CASE WHEN p > 0 THEN line END) OVER (PARTITION BY r) AS n_lines FROM h
 )
-SELECT d.doc_id, b.name AS license, CAST(b.i AS INTEGER) AS template, b.dice, CAST(b.line AS INTEGER) AS line, CAST(coalesce(b.n_lines, 0) AS INTEGER) AS n_lines
-FROM d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1
+SELECT d.doc_id, b.name AS license, CAST(b.i AS INTEGER) AS template, b.dice, CAST(b.line AS INTEGER) AS line, CAST(b.k AS INTEGER) AS pieces, CAST(coalesce(b.n_lines, 0) AS INTEGER) AS n_lines
+FROM d LEFT JOIN b ON b.r = d.r AND b.o = 1
 """
 }
 QUERIES = {"op9_license_scan": op9_license_scan}

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -72,6 +73,42 @@ def test_license_edges(spark):
     assert (got[5][1] is not None) == (dice >= license.LEAST)
 
 
+def brute_license(text, least=license.LEAST):
+    """Best (dice, piece, run, template) by comparing every unit with every template, all in Python."""
+    words = set(license.vocabulary_of(license.TEMPLATES))
+    pieces = []
+    for n, line in enumerate((text or "").lower().replace("\r", " ").split("\n"), 1):
+        for s in re.split(license.SENTENCE_END, line):
+            if w := re.sub(r"[\W_]+", " ", s).split():
+                pieces.append((n, w, sum(x not in words for x in w) * 2 <= len(w)))
+    units = [(p + 1, k, pieces[p : p + k]) for p in range(len(pieces)) for k in range(1, license.RUN + 1) if p + k <= len(pieces) and (k == 1 or all(x[2] for x in pieces[p : p + k]))]
+    units += [(0, 0, pieces)] if len(pieces) > 1 else []
+    best, lines = (), set()
+    for p, k, of in units:
+        w = [y for x in of for y in x[1]]
+        a = Counter(zip(w, w[1:]))
+        for i, (_, t) in enumerate(license.TEMPLATES):
+            v = re.sub(r"[\W_]+", " ", t.lower()).split()
+            b = Counter(zip(v, v[1:]))
+            dice = 2 * sum((a & b).values()) / (len(w) + len(v) - 2)
+            if a and dice >= least:
+                best = max(best, (dice, -p, -k, -i))
+                lines |= {of[0][0]} if p else set()
+    return best and (license.TEMPLATES[-best[3]][0], -best[3], best[0], pieces[-best[1] - 1][0] if best[1] else 0, -best[2]) or (None,) * 5, len(lines)
+
+
+def test_license_runs(spark):
+    mit = next(t for n, t in license.TEMPLATES if n == "MIT" and len(t) > 200)
+    wrapped = "\n".join(textwrap.wrap(mit, 78))
+    prose = "Nobody knew why a clock had stopped.\nRain fell on every roof of our town.\n"
+    cc = license.TEMPLATES[4][1].replace(" Creative ", " Creative\n")
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + wrapped + "\n\n" + prose), (2, prose + cc + "\n" + prose), (3, "Our small tool is here. Released under the MIT License. Have fun with it."), (4, prose + "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n" + prose), (5, prose), (6, mit + "\r\n" + mit), (7, (prose + cc + "\n") * 40), (8, "The license.\n" * 300), (9, None)]
+    got = {r.doc_id: ((r.license, r.template, r.dice, r.line, r.pieces), r.n_lines) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0][0] for i in range(1, 10)] == ["MIT", "CC-BY-4.0", "MIT", "GPL-3.0", None, "MIT", "CC-BY-4.0", None, None]
+    assert got == {i: brute_license(t) for i, t in rows}
+    assert license.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def brute_links(rows, least=0.98):
     ok = [(i, v, k) for i, v, k in rows if i is not None and k is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     n, up = Counter(), {j: j for j in range(len(ok))}
