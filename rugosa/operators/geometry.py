@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import batches
+
 KEYS = ("scan_id",)
-# Neighbours of a pixel.
-FOUR = [(1, 0), (0, 1), (-1, 0), (0, -1)]
-EIGHT = [(1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1)]
+EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+FOUR = [(a, b) for a, b in EIGHT if a * b == 0]
 
 
 def threshold(points: DataFrame, keys: tuple[str, ...] = KEYS, above: str = "mean") -> DataFrame:
@@ -62,47 +62,39 @@ def perimeter_length(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...]
 
 
 def labelled(mask: np.ndarray, periodic: bool, stencil: list[tuple[int, int]] = EIGHT) -> np.ndarray:
-    """Components of a mask, numbered from 1 in the order in which their first pixels come row by row."""
-    n = mask.size
-    lab = np.where(mask.ravel(), np.arange(n), n).reshape(mask.shape)
-    while True:
-        new = lab.copy()
-        for dx, dy in stencil:
-            moved = np.roll(lab, (dx, dy), (0, 1))
-            if not periodic:
-                if dx:
-                    moved[0 if dx > 0 else -1, :] = n
-                if dy:
-                    moved[:, 0 if dy > 0 else -1] = n
-            new = np.where(mask, np.minimum(new, moved), n)
-        flat = np.append(new.ravel(), n)
-        flat = np.minimum(flat, flat[flat])
-        new = flat[:-1].reshape(mask.shape)
-        if np.array_equal(new, lab):
-            break
-        lab = new
-    ids = np.unique(lab[mask])
-    out = np.zeros(mask.shape, np.int64)
-    out[mask] = np.searchsorted(ids, lab[mask]) + 1
-    return out
-
-
-def _by_map(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...], columns: str, func) -> DataFrame:
-    """func(mask array) -> dict of arrays, for each map of a size that a task holds."""
-    kinds = ", ".join(f"{c} {t}" for c, t in points.select(*keys).dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((nx, ny), bool)
-        mask[pdf["ix"], pdf["iy"]] = pdf["mask"].fillna(False).astype(bool)
-        out = {k: v[pdf["ix"], pdf["iy"]] for k, v in func(mask).items()}
-        return pdf[[*keys, "ix", "iy"]].assign(**out)
-
-    return points.select(*keys, "ix", "iy", "mask").groupBy(*keys).applyInPandas(run, f"{kinds}, ix int, iy int, {columns}")
+    """Components of a mask, or of each of a stack, numbered from 1 in the order in which their first pixels come row by row.
+
+    Each root hooks on to the smallest root next to it, then all pixels jump to their roots: a number of rounds about
+    the logarithm of a component's size.
+    """
+    stack = mask.reshape(-1, *mask.shape[-2:])
+    at = np.arange(stack.size).reshape(stack.shape)
+    ends = []
+    for dx, dy in {max(s, (-s[0], -s[1])) for s in stencil}:
+        met = np.roll(stack, (dx, dy), (1, 2)) & stack
+        if not periodic:
+            if dx:
+                met[:, 0 if dx > 0 else -1, :] = False
+            if dy:
+                met[:, :, 0 if dy > 0 else -1] = False
+        ends.append((at[met], np.roll(at, (dx, dy), (1, 2))[met]))
+    a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
+    root = at.ravel().copy()
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    ids = np.unique(root[stack.ravel()])
+    before = np.searchsorted(ids, at[:, :1, :1])
+    return np.where(stack, np.searchsorted(ids, root.reshape(stack.shape)) - before + 1, 0).reshape(mask.shape)
 
 
 def patches(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS, periodic: bool = False, stencil: list[tuple[int, int]] = EIGHT) -> DataFrame:
     """(keys, ix, iy, patch_id): connected components of each map, 0 for unmarked pixels."""
-    return _by_map(points, nx, ny, keys, "patch_id long", lambda m: {"patch_id": labelled(m, periodic, stencil)})
+    return batches.by_mask(points, nx, ny, lambda m: {"patch_id": labelled(m, periodic, stencil)}, "patch_id long", keys)
 
 
 def patch_areas(ids: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -117,22 +109,24 @@ def segment_numbers(points: DataFrame, nx: int, keys: tuple[str, ...] = KEYS) ->
 def distances(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, ix, iy, distance, closest): on periodic maps the distance to the nearest marked pixel, and that pixel's patch. No marked pixel: null."""
 
+    none = np.iinfo(np.int64).max // 2
+    base = nx * ny + 1
+
     def nearest(mask: np.ndarray) -> dict[str, np.ndarray]:
-        ids = labelled(mask, True)
-        at = np.argwhere(mask)
-        if not len(at):
-            return {"distance": np.full(mask.shape, np.nan), "closest": np.zeros(mask.shape, np.int64)}
-        best, who = np.full(mask.shape, np.inf), np.zeros(mask.shape, np.int64)
-        ix, iy = np.meshgrid(np.arange(nx), np.arange(ny), indexing="ij")
-        for i, j in at:
-            dx, dy = np.abs(ix - i), np.abs(iy - j)
-            d = np.minimum(dx, nx - dx) ** 2 + np.minimum(dy, ny - dy) ** 2
-            closer = (d < best) | ((d == best) & (ids[i, j] < who))
-            best[closer], who[closer] = d[closer], ids[i, j]
-        return {"distance": np.sqrt(best), "closest": who}
-
-    out = _by_map(points, nx, ny, keys, "distance double, closest long", nearest)
-    return out.withColumn("distance", F.nullif(F.nanvl("distance", F.lit(None).cast("double")), F.lit(float("inf"))))
+        # Distance squared and patch are one number, whose least value over both axes in turn is that over the plane.
+        best = np.where(mask, labelled(mask, True), none)
+        for axis, n in ((1, nx), (2, ny)):
+            along = best
+            for s in range(1, n // 2 + 1):
+                if s * s * base > best.max():
+                    break
+                for way in (s, -s):
+                    best = np.minimum(best, np.roll(along, way, axis) + s * s * base)
+        far = best >= none
+        return {"distance": np.where(far, np.nan, np.sqrt(best // base)), "closest": np.where(far, 0, best % base)}
+
+    out = batches.by_mask(points, nx, ny, nearest, "distance double, closest long", keys)
+    return out.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
 
 def offsets_within(most: int) -> list[tuple[int, int]]:

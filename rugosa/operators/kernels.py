@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import batches
+
 KEYS = ("scan_id",)
 # Lower quantile of the normal distribution at one standard deviation, and 1 / quantile(3/4).
 PHI_MINUS_ONE = 0.15865525393145707
@@ -16,32 +18,12 @@ MAD_SCALE = 1.482602218505602
 
 def per_scan(points: DataFrame, func, columns: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """func(sorted heights) -> dict of arrays or scalars, a scan at a time."""
-    kinds = ", ".join(f"{c} {t}" for c, t in points.select(*keys).dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ix")
-        out = func(pdf["h"].to_numpy(float))
-        out = pd.DataFrame({k: np.atleast_1d(v) for k, v in out.items()})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return points.groupBy(*keys).applyInPandas(run, f"{kinds}, {columns}")
+    return batches.by_scan(points, func, columns, keys)
 
 
 def per_map(points: DataFrame, nx: int, ny: int, func, columns: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """func(heights nx x ny) -> dict of arrays of one shape; (keys, ix, iy, columns)."""
-    kinds = ", ".join(f"{c} {t}" for c, t in points.select(*keys).dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.full((nx, ny), np.nan)
-        h[pdf["ix"], pdf["iy"]] = pdf["h"]
-        out = func(h)
-        shape = next(iter(out.values())).shape
-        i, j = np.meshgrid(np.arange(shape[0], dtype=np.int32), np.arange(shape[1], dtype=np.int32), indexing="ij")
-        return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"ix": i.ravel(), "iy": j.ravel()} | {k: v.ravel() for k, v in out.items()})
-
-    return points.groupBy(*keys).applyInPandas(run, f"{kinds}, ix int, iy int, {columns}")
+    return batches.by_map(points, nx, ny, func, columns, keys)
 
 
 # --- Fourier ---------------------------------------------------------------------------------------

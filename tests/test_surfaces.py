@@ -165,6 +165,36 @@ def test_patches(spark):
     assert none.where("distance IS NOT NULL").count() == 0
 
 
+def test_many_patches_and_distances(spark):
+    rng = np.random.default_rng(5)
+    masks = rng.random((7, 6, 9)) < np.linspace(0, 0.6, 7)[:, None, None]
+    one = [geometry.labelled(m, True) for m in masks]
+    assert np.array_equal(geometry.labelled(masks, True), one)
+    rows = [(str(k), i, j, bool(masks[k, i, j]) or None) for k in range(7) for i in range(6) for j in range(9)]
+    got = {(r.scan_id, r.ix, r.iy): (r.distance, r.closest) for r in geometry.distances(spark.createDataFrame(rows, "scan_id string, ix long, iy int, mask boolean"), 6, 9).collect()}
+    assert len(got) == len(rows)
+    for k, i, j, _ in rows:
+        apart = lambda a, n: min(a % n, -a % n) ** 2
+        near = [(apart(a - i, 6) + apart(b - j, 9), one[int(k)][a, b]) for a, b in np.argwhere(masks[int(k)])]
+        d, c = got[k, i, j]
+        assert (d, c) == ((pytest.approx(min(near)[0] ** 0.5), min(near)[1]) if near else (None, 0))
+    noise = rng.random((1024, 1024)) < 0.5
+    assert geometry.labelled(noise, False).max() > 1000
+    assert geometry.patches(spark.createDataFrame([], "scan_id string, ix int, iy int, mask boolean"), 6, 9).count() == 0
+
+
+def test_groups_cut_by_batches():
+    import pyarrow as pa
+
+    from rugosa.operators import batches
+
+    row = [i for n in (3, 1, 7, 2) for i in range(1, n + 1)]
+    for size in range(1, 14):
+        cut = [pa.record_batch({"_row": row[i : i + size]}) for i in range(0, len(row), size)]
+        got = [x for t, starts in batches._whole(iter(cut)) for x in np.split(np.array(t.column("_row")), starts[1:])]
+        assert [len(x) for x in got] == [3, 1, 7, 2]
+
+
 def test_fourier(spark):
     x = np.arange(8)
     g = np.sin(2 * np.pi * x / 8)[:, None] + np.cos(2 * np.pi * x / 8)[None]
