@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .detrend import fit, subtracted
+from .detrend import fit, segments, subtracted
 
 KEYS = ("scan_id",)
 
@@ -57,3 +57,64 @@ def variable_bandwidth_map(points: DataFrame, nx: int, ny: int, sx: float, sy: f
     r = subtracted(p, fit(p, basis, k), basis, k)
     size = F.lit((sx / start[0] + sy / start[1]) / 2)
     return r.groupBy(*keys, "m").agg(F.sqrt(F.avg(F.col("h") * F.col("h"))).alias("rms")).select(*keys, F.col("m").alias("magnification"), (size / F.col("m")).alias("bandwidth"), "rms")
+
+
+#: A piece's end is no point of its own where a measured one is as near as this.
+TOLERANCE = 1e-6
+
+
+def clipped_segments(points: DataFrame, pieces, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, m, piece, centre, size, n, u0, h0, u1, h1): nonuniform scans cut into m pieces of equal length for each m of the array `pieces` (an
+    expression of n, the scan's points); u is the distance from the piece's centre, ends are interpolated, heights are less their scan's mean.
+
+    A segment meets only the pieces it overlaps, so m pieces of n points are at most n + m rows.
+    """
+    w = Window.partitionBy(*keys)
+    s = segments(points, keys).withColumns({"_a": F.min("x0").over(w), "_l": F.max("x1").over(w) - F.min("x0").over(w), "n": F.count("*").over(w) + 1, "_h": F.avg("h0").over(w)})
+    s = s.where("_l > 0").withColumn("m", F.explode(pieces))
+    at = lambda x: F.floor((F.col(x) - F.col("_a")) * F.col("m") / F.col("_l"))
+    s = s.withColumn("piece", F.explode(F.sequence(F.least(at("x0"), F.col("m") - 1), F.least(at("x1"), F.col("m") - 1))))
+    s = s.withColumns({"size": F.col("_l") / F.col("m"), "centre": F.col("_a") + (F.col("piece") + 0.5) * F.col("_l") / F.col("m")})
+    s = s.withColumns({"u0": F.greatest(F.col("x0") - F.col("centre"), -F.col("size") / 2), "u1": F.least(F.col("x1") - F.col("centre"), F.col("size") / 2)})
+    s = s.where(f"u1 - u0 > {TOLERANCE!r}D OR (u0 > -size / 2 AND u1 < size / 2)")
+    height = lambda u: F.col("h0") - F.col("_h") + F.when(F.col("dx") > 0, (F.col(u) + F.col("centre") - F.col("x0")) / F.col("dx") * (F.col("h1") - F.col("h0"))).otherwise(0.0)
+    return s.select(*keys, "m", "piece", "centre", "size", "n", "u0", height("u0").alias("h0"), "u1", height("u1").alias("h1"))
+
+
+def _trend(cut: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, m, piece, size, n, points, level, tilt, rms): the straight line of each piece in u and what it leaves, by exact integrals."""
+    d = "(u1 - u0)"
+    integrals = {"w": d, "u": f"{d} * (u0 + u1) / 2", "uu": f"{d} * (u0 * u0 + u0 * u1 + u1 * u1) / 3", "h": f"{d} * (h0 + h1) / 2", "hh": f"{d} * (h0 * h0 + h0 * h1 + h1 * h1) / 3", "uh": f"{d} * (u0 * (2 * h0 + h1) + u1 * (h0 + 2 * h1)) / 6"}
+    each = cut.groupBy(*keys, "m", "piece", "size", "n").agg((F.count("*") + 1).alias("points"), *[F.sum(F.expr(v)).alias(f"_{k}") for k, v in integrals.items()])
+    each = each.withColumn("tilt", F.expr("coalesce((_uh - _u * _h / _w) / nullif(_uu - _u * _u / _w, 0D), 0D)"))
+    left = F.expr("(_hh - _h * _h / _w - tilt * (_uh - _u * _h / _w)) / _w")
+    return each.select(*keys, "m", "piece", "size", "n", "points", F.expr("(_h - tilt * _u) / _w").alias("level"), "tilt", F.sqrt(F.greatest(left, F.lit(0.0))).alias("rms"))
+
+
+def checkerboard_nonuniform(points: DataFrame, pieces: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, piece, ix, x, h): nonuniform scans cut into pieces of equal length, interpolated at their ends, each less its own straight line.
+
+    Points at a cut are in both pieces; ix counts within the piece.
+    """
+    cut = clipped_segments(points, F.array(F.lit(pieces)), keys)
+    k = [*keys, "m", "piece"]
+    j = cut.join(_trend(cut, keys).select(*k, "level", "tilt"), k)
+    last = F.lead("u0").over(Window.partitionBy(*k).orderBy("u0", "u1")).isNull()
+    ends = F.when(last, F.array(F.struct(F.col("u0").alias("u"), F.col("h0").alias("h")), F.struct(F.col("u1").alias("u"), F.col("h1").alias("h")))).otherwise(F.array(F.struct(F.col("u0").alias("u"), F.col("h0").alias("h"))))
+    at = j.withColumn("_e", ends).select(*k, "centre", "level", "tilt", F.posexplode("_e").alias("_i", "_p"))
+    ix = F.row_number().over(Window.partitionBy(*k).orderBy("_p.u", "_i")) - 1
+    return at.select(*keys, "piece", ix.alias("ix"), (F.col("centre") + F.col("_p.u")).alias("x"), (F.col("_p.h") - F.col("level") - F.col("tilt") * F.col("_p.u")).alias("h"))
+
+
+def variable_bandwidth_nonuniform(points: DataFrame, keys: tuple[str, ...] = KEYS, least: int = 4) -> DataFrame:
+    """(keys, magnification, bandwidth, rms): mean over pieces of the rms height left by their straight lines, for 1, 2, 4, ... pieces
+    and up to the first number at which some piece has fewer than `least` points. Scans with fewer points have no rows.
+
+    All numbers of pieces are one plan; there are at most log2(points) of them.
+    """
+    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("n"))).cast("int")), lambda i: F.pow(F.lit(2.0), i).cast("long"))
+    each = _trend(clipped_segments(points, powers, keys), keys)
+    m = each.groupBy(*keys, "m", "size", "n").agg(F.avg("rms").alias("rms"), F.min("points").alias("_least"))
+    before = F.min("_least").over(Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
+    m = m.withColumn("_before", F.coalesce(before, F.col("n"))).where(F.col("_before") >= least)
+    return m.select(*keys, F.col("m").cast("int").alias("magnification"), F.col("size").alias("bandwidth"), "rms")

@@ -434,6 +434,35 @@ def vbm_area(spark, d):
     return rounded(vb.variable_bandwidth_map(small_maps(spark, d), 8, 8, 8.0, 8.0, ("scan_id",)))
 
 
+def _pieces_sql(powers: str) -> str:
+    """Integrals of straight segments over the pieces of nonuniform scans that they overlap."""
+    return f"""{S}, e AS (SELECT *, min(x0) OVER w AS a, max(x1) OVER w - min(x0) OVER w AS l, count(*) OVER w + 1 AS n, avg(h0) OVER w AS hm FROM s WINDOW w AS (PARTITION BY scan_id)),
+ k AS (SELECT *, unnest({powers}) AS m FROM e WHERE l > 0),
+ c0 AS (SELECT *, unnest(range(CAST(least(floor((x0 - a) * m / l), m - 1) AS BIGINT), CAST(least(floor((x1 - a) * m / l), m - 1) AS BIGINT) + 1)) AS piece FROM k),
+ c1 AS (SELECT *, l / m AS size, a + (piece + 0.5::DOUBLE) * l / m AS centre FROM c0),
+ c2 AS (SELECT *, greatest(x0 - centre, -size / 2) AS u0, least(x1 - centre, size / 2) AS u1 FROM c1),
+ c3 AS (SELECT scan_id, m, piece, size, n, u0, u1, u1 - u0 AS d, h0 - hm + CASE WHEN dx > 0 THEN (u0 + centre - x0) / dx * (h1 - h0) ELSE 0 END AS h0, h0 - hm + CASE WHEN dx > 0 THEN (u1 + centre - x0) / dx * (h1 - h0) ELSE 0 END AS h1 FROM c2 WHERE u1 - u0 > 1e-6 OR (u0 > -size / 2 AND u1 < size / 2)),
+ i AS (SELECT scan_id, m, piece, size, n, count(*) + 1 AS points, sum(d) AS w, sum(d * (u0 + u1) / 2) AS u, sum(d * (u0 * u0 + u0 * u1 + u1 * u1) / 3) AS uu, sum(d * (h0 + h1) / 2) AS h, sum(d * (h0 * h0 + h0 * h1 + h1 * h1) / 3) AS hh, sum(d * (u0 * (2 * h0 + h1) + u1 * (h0 + 2 * h1)) / 6) AS uh FROM c3 GROUP BY ALL),
+ t AS (SELECT *, coalesce((uh - u * h / w) / nullif(uu - u * u / w, 0), 0) AS tilt FROM i),
+ r AS (SELECT scan_id, m, piece, size, n, points, tilt, sqrt(greatest((hh - h * h / w - tilt * (uh - u * h / w)) / w, 0)) AS rms FROM t)"""
+
+
+@query("vbm_nonuniform", f"""WITH {_pieces_sql("list_transform(range(0, CAST(floor(log2(n)) AS BIGINT) + 1), lambda j: CAST(pow(2, j) AS BIGINT))")},
+ v AS (SELECT scan_id, m, size, n, avg(rms) AS rms, min(points) AS fewest FROM r GROUP BY ALL),
+ b AS (SELECT *, coalesce(min(fewest) OVER (PARTITION BY scan_id ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n) AS before FROM v)
+ SELECT scan_id, CAST(m AS INTEGER) AS magnification, round(size, 6) AS bandwidth, round(rms, 4) AS rms FROM b WHERE before >= 4""")
+def vbm_nonuniform(spark, d):
+    return rounded(vb.variable_bandwidth_nonuniform(profiles(spark, d)), 4, bandwidth=6)
+
+
+@query("checkerboard_nonuniform", f"""WITH {_pieces_sql("[4]")} SELECT scan_id, piece, max(points) AS points, round(max(rms), 4) AS rms FROM r GROUP BY ALL""")
+def checkerboard_nonuniform(spark, d):
+    # Each piece's points, and the rms height of what its line leaves.
+    p = vb.checkerboard_nonuniform(profiles(spark, d), 4)
+    n = p.groupBy("scan_id", "piece").agg(F.count("*").alias("points"))
+    return rounded(scalars.nonuniform(p, keys=("scan_id", "piece")).join(n, ["scan_id", "piece"]).select("scan_id", "piece", "points", F.col("rq").alias("rms")), 4)
+
+
 _SD1 = f"{L}, q AS (SELECT a.scan_id, a.surface_id, s, (b.h - a.h) / s AS d FROM l a, (SELECT unnest([1, 2, 4, 8]) AS s) JOIN l b ON b.scan_id = a.scan_id AND b.ix = a.ix + s)"
 _SD2 = f"{L}, q AS (SELECT a.scan_id, s, (c.h - 2 * a.h + b.h) / (s * s) AS d FROM l a, (SELECT unnest([1, 2, 4, 8]) AS s) JOIN l b ON b.scan_id = a.scan_id AND b.ix = a.ix - s JOIN l c ON c.scan_id = a.scan_id AND c.ix = a.ix + s)"
 
@@ -478,8 +507,9 @@ def bearing_area_map(spark, d):
 # --- containers ------------------------------------------------------------------------------------
 
 
-def _log_sql(source: str, x: str, y: str) -> str:
-    return f"u AS (SELECT surface_id, scan_id, CAST(ceil(round(log10({x}) * 10, 9)) AS INTEGER) - 1 AS bin, {x} AS x, {y} AS y FROM {source} WHERE {x} > 0 AND {y} IS NOT NULL), w AS (SELECT surface_id, scan_id, bin, avg(x) AS x, avg(y) AS y FROM u GROUP BY ALL), a AS (SELECT surface_id, bin, avg(x) AS x, avg(y) AS y, count(*) AS n FROM w GROUP BY ALL), z AS (SELECT surface_id, CAST(unnest(range(min(bin), max(bin) + 1)) AS INTEGER) AS bin FROM a GROUP BY surface_id) SELECT z.surface_id, z.bin, round(x, 6) AS x, round(y, 6) AS y, n FROM z LEFT JOIN a ON a.surface_id = z.surface_id AND a.bin = z.bin"
+def _log_sql(source: str, x: str, y: str, tidy: bool = True) -> str:
+    out = "round(x, 6) AS x, round(y, 6) AS y" if tidy else "x, y"
+    return f"u AS (SELECT surface_id, scan_id, CAST(ceil(round(log10({x}) * 10, 9)) AS INTEGER) - 1 AS bin, {x} AS x, {y} AS y FROM {source} WHERE {x} > 0 AND {y} IS NOT NULL), w AS (SELECT surface_id, scan_id, bin, avg(x) AS x, avg(y) AS y FROM u GROUP BY ALL), a AS (SELECT surface_id, bin, avg(x) AS x, avg(y) AS y, count(*) AS n FROM w GROUP BY ALL), z AS (SELECT surface_id, CAST(unnest(range(min(bin), max(bin) + 1)) AS INTEGER) AS bin FROM a GROUP BY surface_id) SELECT z.surface_id, z.bin, {out}, n FROM z LEFT JOIN a ON a.surface_id = z.surface_id AND a.bin = z.bin"
 
 
 @query("container_psd", f"WITH {_psd_sql(True)}, {_log_sql('c', 'q', 'psd')}")
@@ -492,6 +522,11 @@ def container_acf(spark, d):
     return rounded(container.log_average(_acf(spark, d), "r", "acf"))
 
 
+@query("container_half_derivative_variance", f"WITH o AS (WITH {_ACF}, {_log_sql('c', 'k', 'acf', False)}), t AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM o WHERE y IS NOT NULL WINDOW w AS (PARTITION BY surface_id ORDER BY x)) SELECT surface_id, round(sum(coalesce((y / x**2 + y0 / x0**2) / 2 * (x - x0), y / x)), 4) AS variance FROM t GROUP BY surface_id")
+def container_half_derivative_variance(spark, d):
+    return rounded(container.half_derivative_variance(container.log_average(_acf(spark, d), "r", "acf")), 4)
+
+
 @query("container_vbm", f"WITH {_VB}, {_log_sql('v', 'bandwidth', 'rms')}")
 def container_vbm(spark, d):
     return rounded(container.log_average(vb.variable_bandwidth(line_scans(spark, d), N, SIZE, ("surface_id", "scan_id")), "bandwidth", "rms"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,16 @@ def profile_moment(average: DataFrame, order: int, isotropic: bool = False, cont
     y = f"(y * {math.pi!r}D / x) * pow(x, {order + 1}) / {2 * math.pi!r}D" if isotropic else f"y * pow(x, {order}) / {math.pi!r}D"
     c = average.where("y IS NOT NULL").select(*container, "x", F.expr(y).alias("v"))
     return trapezoid(c, "x", "v", container)
+
+
+def half_derivative_variance(average: DataFrame, container: tuple[str, ...] = ("surface_id",), scale_dependent: bool = False) -> DataFrame:
+    """(container, variance), or (container, r, variance) up to each distance: variance of the half derivative from an averaged
+    autocorrelation, A(r0) / r0 + the integral of A / r^2 by trapezoids from the smallest distance r0 on.
+    """
+    by = Window.partitionBy(*container).orderBy("x")
+    c = average.where("y IS NOT NULL").select(*container, "x", F.col("y").cast("double").alias("y"))
+    area = (F.col("y") / F.pow("x", F.lit(2)) + F.lag(F.col("y") / F.pow("x", F.lit(2))).over(by)) / 2 * (F.col("x") - F.lag("x").over(by))
+    c = c.withColumn("_add", F.coalesce(area, F.col("y") / F.col("x")))
+    if scale_dependent:
+        return c.select(*container, F.col("x").alias("r"), F.sum("_add").over(by).alias("variance"))
+    return c.groupBy(*container).agg(F.sum("_add").alias("variance"))

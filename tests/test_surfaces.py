@@ -144,6 +144,34 @@ def test_variable_bandwidth(spark):
         assert r.rms == pytest.approx(np.sqrt(np.mean(np.square(res)))) and r.bandwidth == 2 / r.magnification
 
 
+def test_nonuniform_pieces(spark):
+    rng = np.random.default_rng(3)
+    x, h = np.sort(rng.uniform(0, 10, 60)), rng.normal(size=60) + 7
+    x[30] = x[29] + 1e-9
+    rows = [(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, h))] + [(2, 0, 0.0, 1.0), (2, 1, 1.0, 2.0), (3, 0, 0.0, 1.0), (4, 0, 1.0, 1.0), (4, 1, 1.0, 2.0)]
+    p = spark.createDataFrame(rows, "scan_id int, ix int, x double, h double")
+    want, m, fewest = {}, 1, 60
+    while fewest >= 4:
+        cuts = np.linspace(x[0], x[-1], m + 1)
+        rms, sizes = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            own = np.concatenate([[a], x[(x > a) & (x < b)], [b]])
+            fine = np.concatenate([np.linspace(s, e, 9) for s, e in zip(own, own[1:])])
+            w = np.concatenate([np.full(9, (e - s) / 8) * [0.5, *[1] * 7, 0.5] for s, e in zip(own, own[1:])])
+            y = np.interp(fine, x, h)
+            line = np.polynomial.Polynomial.fit(fine, y, 1, w=np.sqrt(w))
+            rms.append(np.sqrt((w * (y - line(fine)) ** 2).sum() / w.sum()))
+            sizes.append(len(own))
+        want[m], fewest = np.mean(rms), min(sizes)
+        m *= 2
+    got = {r.magnification: (r.bandwidth, r.rms) for r in bandwidth.variable_bandwidth_nonuniform(p).collect()}
+    assert got.keys() == want.keys() and len(got) > 2
+    for m, (b, r) in got.items():
+        assert b == pytest.approx((x[-1] - x[0]) / m) and r == pytest.approx(want[m], rel=0.03)
+    parts = bandwidth.checkerboard_nonuniform(p.where("scan_id = 1"), 4).orderBy("piece", "ix").collect()
+    assert len(parts) == 60 + 2 * 3 and all(a.x <= b.x + 1e-12 for a, b in zip(parts, parts[1:]))
+
+
 def test_patches(spark):
     m = np.array([[1, 1, 0, 0, 0], [0, 0, 0, 1, 0], [0, 0, 1, 0, 0], [1, 0, 0, 0, 1]], bool)
     assert geometry.labelled(m, False).max() == 4 and geometry.labelled(m, True).max() == 2
