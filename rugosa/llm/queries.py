@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "packing", "urlfilter", "simhash", "embedding", "ctw", "tokenfile", "license", "toxicity")
+MODULES = ("mixing", "packing", "urlfilter", "simhash", "embedding", "ctw", "tokenfile", "license", "toxicity", "quality", "divergence", "importance")
 
 
 def _gather(name: str) -> dict:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rugosa.llm import embedding, license, mixing, queries, toxicity, urlfilter
 
-TABLES = "documents embeddings pages labels".split()
+TABLES = "documents embeddings pages benchmark labels".split()
 DUCK = [n for n in queries.oracle_sql()]
 
 
