@@ -1,4 +1,4 @@
-"""Whole-scan kernels in NumPy, where no closed relational form is cheap: Fourier filters, interpolation, robust statistics."""
+"""Whole-scan kernels in NumPy, where no closed relational form is cheap: Fourier filters and interpolation."""
 
 from __future__ import annotations
 
@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame
 from . import batches
 
 KEYS = ("scan_id",)
-# Lower quantile of the normal distribution at one standard deviation, and 1 / quantile(3/4).
-PHI_MINUS_ONE = 0.15865525393145707
-MAD_SCALE = 1.482602218505602
 
 
 def per_scan(points: DataFrame, func, columns: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -187,79 +184,6 @@ def interpolate_undefined_map(points: DataFrame, nx: int, ny: int, keys: tuple[s
     return per_map(points, nx, ny, lambda h: {"h": fill_harmonic(h, periodic)}, "h double", keys)
 
 
-# --- robust statistics -----------------------------------------------------------------------------
-
-
-def bearing(h: np.ndarray, z: float, dx: np.ndarray | None = None) -> float:
-    """Share of a piecewise-linear profile above z."""
-    a, b = np.minimum(h[:-1], h[1:]), np.maximum(h[:-1], h[1:])
-    p = np.where(z < a, 1.0, np.where(z > b, 0.0, (b - z) / np.where(b > a, b - a, 1.0)))
-    p = np.where((a == b) & (z == a), 1.0, p)
-    return float(p.mean() if dx is None else (p * dx).sum() / dx.sum())
-
-
-def bisect(f, low: float, high: float, steps: int = 36) -> float:
-    """A sign change of the falling f between low and high, to 2^-steps of their distance."""
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) > 0 else (low, mid)
-    return (low + high) / 2
-
-
-def median_and_mad(h: np.ndarray, dx: np.ndarray | None = None, share: float = PHI_MINUS_ONE) -> tuple[float, float]:
-    """Height that half the profile is above, and the half width about it that holds all but twice `share`."""
-    low, high = float(h.min()), float(h.max())
-    m = bisect(lambda z: bearing(h, z, dx) - 0.5, low, high)
-    return m, bisect(lambda d: bearing(h, m + d, dx) + 1 - bearing(h, m - d, dx) - 2 * share, 0.0, max(high - m, m - low))
-
-
-def median_mad(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, median, mad_height) of uniform line scans."""
-    return per_scan(points, lambda h: dict(zip(("median", "mad_height"), median_and_mad(h), strict=True)), "median double, mad_height double", keys)
-
-
-def nelder_mead(f, x: np.ndarray, step: float = 0.1, rounds: int = 120) -> np.ndarray:
-    """Minimum by a simplex that is reflected, stretched, drawn in and shrunk."""
-    s = [x] + [x + step * max(1.0, abs(x[i])) * np.eye(len(x))[i] for i in range(len(x))]
-    v = [f(p) for p in s]
-    for _ in range(rounds):
-        o = np.argsort(v)
-        s, v = [s[i] for i in o], [v[i] for i in o]
-        if abs(v[-1] - v[0]) <= 1e-7 * (abs(v[0]) + 1e-300):
-            break
-        c = np.mean(s[:-1], axis=0)
-        r = c + (c - s[-1])
-        fr = f(r)
-        if fr < v[0]:
-            e = c + 2 * (c - s[-1])
-            fe = f(e)
-            s[-1], v[-1] = (e, fe) if fe < fr else (r, fr)
-        elif fr < v[-2]:
-            s[-1], v[-1] = r, fr
-        else:
-            k = c + 0.5 * ((r if fr < v[-1] else s[-1]) - c)
-            fk = f(k)
-            if fk < min(fr, v[-1]):
-                s[-1], v[-1] = k, fk
-            else:
-                s = [s[0]] + [s[0] + 0.5 * (p - s[0]) for p in s[1:]]
-                v = [v[0]] + [f(p) for p in s[1:]]
-    return s[int(np.argmin(v))]
-
-
-def mad_polyfit(points: DataFrame, degree: int, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, c0, ..): the polynomial in ix / n whose residual has the smallest median-absolute height; c0 is the residual's median."""
-    t = np.arange(n) / n
-
-    def run(h: np.ndarray) -> dict[str, float]:
-        start = np.polyfit(t, h, degree)[:-1][::-1]
-        trend = lambda c: sum(a * t ** (i + 1) for i, a in enumerate(c))
-        c = nelder_mead(lambda c: median_and_mad(h - trend(c))[1], np.asarray(start, float))
-        return {"c0": median_and_mad(h - trend(c))[0]} | {f"c{i + 1}": a for i, a in enumerate(c)}
-
-    return per_scan(points, run, ", ".join(f"c{i} double" for i in range(degree + 1)), keys)
-
-
 # --- regression ------------------------------------------------------------------------------------
 
 

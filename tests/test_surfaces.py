@@ -253,14 +253,6 @@ def test_harmonic_fill():
     assert np.allclose(kernels.fill_harmonic(h), g)
 
 
-def test_robust(spark):
-    h = np.interp(np.arange(101), [0, 100], [0, 10])
-    r = kernels.median_mad(scan(spark, h)).first()
-    assert r.median == pytest.approx(5, abs=1e-6) and r.mad_height == pytest.approx(5 * (1 - 2 * kernels.PHI_MINUS_ONE), abs=1e-6)
-    c = kernels.mad_polyfit(scan(spark, 3 + 2 * np.arange(40) / 40), 1, 40).first()
-    assert c.c1 == pytest.approx(2, abs=1e-3)
-
-
 def test_binning(spark):
     e = spectral.grid_edges("linear", 0, 4, 4)
     c = spark.createDataFrame([(x, x * x) for x in (0.5, 1.0, 1.5, 3.5, 9.0)], "x double, y double")
