@@ -46,10 +46,11 @@ def hasher(bits: int) -> TermHasher:
 
 
 class FactorizationMachine:
-    """p = 1 / (1 + exp(-(b + sum_i w_i + sum_{i<j} <v_i, v_j> / n))) over a text's n distinct terms.
+    """p = 1 / (1 + exp(-(b + sum_i w_i + sum_{i<j} <v_i, v_j> / sqrt(n)))) over a text's n distinct terms.
 
-    Fitted by AdaGrad on the log loss, with soft thresholds on w and shrinkage of v; terms in fewer
-    than min_df training texts are left out. The pair sum is taken as (|sum v|^2 - sum |v|^2) / 2.
+    Fitted by AdaGrad on the log loss, the pair term at a rate of its own, with soft thresholds on w and shrinkage of v; terms in fewer
+    than min_df training texts are left out. However many rows there are, they are gone through until a pass's
+    mean loss has twice failed to fall by the share `tol`, or `passes` times. The pair sum is taken as (|sum v|^2 - sum |v|^2) / 2.
     """
 
     def __init__(self, bits: int = 17, k: int = 8):
@@ -66,15 +67,14 @@ class FactorizationMachine:
             v = self.v[at]
             s = np.add.reduceat(v, starts, axis=0)
             q = np.add.reduceat((v * v).sum(1), starts)
-            out[full] += np.add.reduceat(self.w[at].astype(np.float64), starts) + ((s * s).sum(1) - q) / (2 * n[full])
+            out[full] += np.add.reduceat(self.w[at].astype(np.float64), starts) + ((s * s).sum(1) - q) / (2 * np.sqrt(n[full]))
         return out
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -30, 30)))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 256, lr: float = 0.15, l1: float = 3e-4, l2: float = 1e-3, min_df: int = 3, seed: int = 7, least_steps: int = 400) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, passes: int = 60, tol: float = 0.003, batch: int = 64, lr: float = 0.3, pair_lr: float = 0.02, l1: float = 3e-4, l2: float = 1e-2, min_df: int = 3, seed: int = 7) -> FactorizationMachine:
         rng, k = np.random.default_rng(seed), self.k
-        epochs = max(epochs, min(60, least_steps * batch // max(1, len(rows))))  # few rows are gone through more often
         df = np.zeros(1 << self.bits, np.int64)
         for r in rows:
             df[r] += 1
@@ -85,9 +85,11 @@ class FactorizationMachine:
         d = len(use)
         p = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.b = float(np.log(p / (1 - p)))
-        w, v = np.zeros(d), rng.normal(0, 0.02, (d, k))
+        w, v = np.zeros(d), rng.normal(0, 0.05, (d, k))
         gw, gv = np.full(d, 1e-6), np.full((d, k), 1e-6)
-        for _ in range(epochs if d and len(rows) else 0):
+        last, still = np.inf, 0
+        for _ in range(passes if d and len(rows) else 0):
+            loss = 0.0
             for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
                 part = part[[len(rows[i]) > 0 for i in part]]
                 if not len(part):
@@ -97,10 +99,11 @@ class FactorizationMachine:
                 starts, of = np.concatenate([[0], np.cumsum(n)[:-1]]), np.repeat(np.arange(len(part)), n)
                 va = v[at]
                 s = np.add.reduceat(va, starts, axis=0)
-                z = self.b + np.add.reduceat(w[at], starts) + ((s * s).sum(1) - np.add.reduceat((va * va).sum(1), starts)) / (2 * n)
+                z = self.b + np.add.reduceat(w[at], starts) + ((s * s).sum(1) - np.add.reduceat((va * va).sum(1), starts)) / (2 * np.sqrt(n))
                 g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
+                loss += float(np.logaddexp(0, np.where(y[part] > 0, -z, z)).sum())
                 dw = np.bincount(at, g[of], d)
-                gn = (g / n)[of]
+                gn = (g / np.sqrt(n))[of]
                 self.b -= lr * float(g.sum())
                 gw += dw * dw
                 step = lr / np.sqrt(gw)
@@ -110,7 +113,11 @@ class FactorizationMachine:
                 for f in range(k):
                     dvf = np.bincount(at, gn * (s[of, f] - va[:, f]), d) + l2 * v[:, f] * seen / len(part)
                     gv[:, f] += dvf * dvf
-                    v[:, f] -= lr * 0.3 * dvf / np.sqrt(gv[:, f])
+                    v[:, f] -= pair_lr * dvf / np.sqrt(gv[:, f])
+            still = still + 1 if loss > last * (1 - tol) else 0
+            last = min(last, loss)
+            if still == 2:
+                break
         self.w[use], self.v[use] = w, v
         return self
 

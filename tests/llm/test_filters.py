@@ -288,3 +288,36 @@ def test_projected_gradient_against_active_bounds():
     p = np.array([[1, 0], [0, 1], [0.5, 0.5]])
     r = mixing.replayed(p, [np.array([2.0, -1.0])], 0, 1.5)
     assert r.tolist() == [0, 1.5, 0.5]
+
+
+def test_pair_sum_is_that_of_a_double_loop():
+    m = toxicity.FactorizationMachine(6, 3)
+    rng = np.random.default_rng(0)
+    m.b, m.w, m.v = 0.3, rng.normal(size=64).astype(np.float32), rng.normal(size=(64, 3)).astype(np.float32)
+    rows = [np.sort(rng.choice(64, k, replace=False)).astype("<u4") for k in (0, 1, 2, 7, 40)]
+    want = [m.b + sum(float(m.w[i]) for i in r) + sum(float(m.v[i].astype(float) @ m.v[j]) for a, i in enumerate(r) for j in r[a + 1 :]) / max(1, len(r)) ** 0.5 for r in rows]
+    assert m.raw(rows) == pytest.approx(want, abs=1e-4)
+
+
+def test_pairs_tell_apart_what_single_terms_cannot():
+    rng = np.random.default_rng(2)
+    words = lambda *w: np.unique(np.array([*w, *rng.choice(np.arange(8, 60), 6)], "<u4"))
+    rows, y = [], []
+    for _ in range(1500):  # toxic: both terms or neither of the two, in equal shares
+        a, b = rng.integers(2, size=2)
+        rows.append(words(a, 2 + b))
+        y.append(float(a == b))
+    m = toxicity.FactorizationMachine(6).fit(rows[:1000], np.array(y[:1000]))
+    right = lambda m: ((m.score(rows[1000:]) >= 0.5) == (np.array(y[1000:]) > 0.5)).mean()
+    assert right(m) > 0.95
+    m.v = m.v * 0
+    assert right(m) < 0.7
+
+
+def test_one_stopping_rule_for_any_number_of_rows():
+    rng = np.random.default_rng(3)
+    for n in (20, 200, 3000):
+        rows = [np.unique(rng.integers(0, 50, 9)).astype("<u4") for _ in range(n)]
+        y = np.array([float(7 in r) for r in rows])
+        m = toxicity.FactorizationMachine(6).fit(rows, y)
+        assert ((m.score(rows) >= 0.5) == (y > 0.5)).mean() > 0.95
