@@ -38,8 +38,6 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: A run has at most so many pieces: a paragraph of a notice, wrapped at 78 columns, has up to seven lines.
-RUN = 10
 #: What ends a piece within a line, and what a line's words are made of.
 SENTENCE_END, NO_WORD = r"[.!?][ \t]+", r"[^\p{L}\p{N}\n\r]+"
 
@@ -61,6 +59,15 @@ def template_bigrams(text: str) -> list[str]:
     return out
 
 
+def pairs_of(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({b.rpartition("#")[0] for _, t in templates for b in template_bigrams(t)})
+
+
+def longest_unit(templates: list[tuple[str, str]], least: float = LEAST) -> int:
+    """Words of the longest unit that can match."""
+    return int(max((len(template_bigrams(t)) for _, t in templates), default=0) * (2 - least) / least + 1e-9) + 1
+
+
 def vocabulary_of(templates: list[tuple[str, str]]) -> list[str]:
     return sorted({w for _, t in templates for b in template_bigrams(t) for w in b.rpartition("#")[0].split(" ")})
 
@@ -69,12 +76,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     """(doc_id, license, template, dice, line, pieces, n_lines) of every row.
 
     A text's pieces are its lines, cut further after sentences; blank ones don't count. Units are each piece, each
-    run of 2 to RUN consecutive pieces of which every one has at least half of its words in some template (so a
-    notice may be wrapped over lines, or stand within a line of prose), and the text as a whole (line 0, pieces 0).
+    run of consecutive pieces (so a notice may be wrapped over lines, or stand within a line of prose) whose first and
+    last piece have, alone or with their neighbour in the run, a bigram of some template (without such an end piece a
+    run's coefficients are higher), and the text as a whole (line 0, pieces 0).
     A unit's Dice coefficient with a template is 2 c / (m + n): c common bigrams, m and n those of both, repeats
     counted. A unit can reach `least` only if least / (2 - least) <= m / n <= (2 - least) / least, so other templates,
-    and units out of reach of all, are never compared; nor are units with more words that no template has than a
-    match can have. The best match of a document is the highest; ties go to the earlier piece, then the shorter run,
+    and units out of reach of all, are never compared; nor are units of which more than the share 1 - least /
+    (2 - least) of bigrams is in no template, as the rest can't make a match. Nothing else is left out. The best match of a document is the highest; ties go to the earlier piece, then the shorter run,
     then the earlier template. n_lines counts the lines in which a matching piece or run begins. No match, null or
     empty text: null, null, null, null, null, 0.
     """
@@ -82,26 +90,45 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     low, high = least / (2 - least), (2 - least) / least
     shortest, longest = (min(len(b) for _, _, b in grams) * low, max(len(b) for _, _, b in grams) * high) if grams else (1.0, 0.0)
     known = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n")) for i, n, b in grams]) if grams else F.expr("cast(array() as array<struct<i:int,name:string,b:array<string>,n:int>>)")
-    words = vocabulary_of(templates)
+    words, pairs = vocabulary_of(templates), pairs_of(templates)
+    most = longest_unit(templates, least)
 
     def let(value: Column, then) -> Column:
         """then(value), the value worked out once: inside a lambda an expression is evaluated at each use."""
         return F.element_at(F.transform(F.array(value), then), 1)
 
+    def foreign(a: Column, b: Column) -> Column:
+        """No template has this bigram."""
+        return ~(a.isin(words) & b.isin(words) & F.concat_ws(" ", a, b).isin(pairs))
+
     def piece(line: Column, t: Column) -> Column:
-        """f: words that no template has."""
-        return let(F.split(t, " ", -1), lambda w: F.struct(line.alias("line"), t.alias("t"), F.size(w).alias("w"), F.size(F.filter(w, lambda x: ~x.isin(words))).alias("f")))
+        """w: words; f: bigrams that no template has."""
+        places = lambda w: F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(none)
+        strange = lambda w: F.filter(places(w), lambda i: foreign(F.element_at(w, i), F.element_at(w, i + 1)))
+        return let(F.split(t, " ", -1), lambda w: F.struct(line.alias("line"), t.alias("t"), F.size(w).alias("w"), F.size(strange(w)).alias("f"), w[0].alias("head"), F.element_at(w, -1).alias("tail")))
+
+    def inside(x: Column) -> Column:
+        """Some bigram of the piece is in a template."""
+        return x["f"] < x["w"] - 1
+
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("f"), F.lit(0).alias("k"), F.lit("").alias("tail"), none.alias("hits"))
+
+    def grown(s: Column, x: Column) -> Column:
+        """A run with one piece more; hits: its lengths so far that are in reach."""
+        w, k = s["w"] + x["w"], s["k"] + 1
+        apart = (s["k"] == 0) | foreign(s["tail"], x["head"])
+        f = s["f"] + x["f"] + F.when((s["k"] > 0) & apart, 1).otherwise(0)
+        reach = in_reach(F.struct((w - 1).alias("m"), f.alias("f")))
+        return F.struct(w.alias("w"), f.alias("f"), k.alias("k"), x["tail"].alias("tail"), F.when((k > 1) & reach & (inside(x) | ~apart), F.concat(s["hits"], F.array(k))).otherwise(s["hits"]).alias("hits"))
 
     def unit(p: Column, k: Column, of: Column) -> Column:
-        total = lambda c: F.aggregate(of[c], F.lit(0), lambda a, x: a + x)
-        return F.struct(p.alias("p"), k.alias("k"), F.when(p > 0, of["line"][0]).otherwise(0).alias("line"), of["t"].alias("t"), (total("w") - 1).alias("m"), total("f").alias("f"))
+        return F.struct(p.alias("p"), k.alias("k"), F.when(p > 0, of["line"][0]).otherwise(0).alias("line"), of["t"].alias("t"), (F.aggregate(of["w"], F.lit(0), lambda a, x: a + x) - 1).alias("m"))
 
     def runs(i: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.struct(k.alias("k"), F.slice("all", i, k).alias("of")))
-        return F.transform(F.filter(each, lambda r: (F.size(r["of"]) == r["k"]) & F.forall(r["of"], half)), lambda r: unit(i, r["k"], r["of"]))
-
-    def half(x: Column) -> Column:
-        return x["f"] * 2 <= x["w"]
+        """Each piece has a word, so a run of more pieces than `most` is out of reach."""
+        hits = F.aggregate(F.slice("all", i, F.lit(most)), start, grown, lambda s: s["hits"])
+        return F.transform(hits, lambda k: unit(i, k, F.slice("all", i, k)))
 
     def numbered(b: Column) -> Column:
         return F.transform(b, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(b, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
@@ -116,18 +143,19 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
         return F.filter(dice, lambda d: d["dice"] >= least)
 
     def in_reach(u: Column) -> Column:
-        # A match shares low * m of its bigrams at least, and f words that no template has spoil f - 1 or more.
-        return (u["m"] >= shortest - 1e-9) & (u["m"] <= longest + 1e-9) & (u["m"] > 0) & (u["f"] <= u["m"] * (1 - low) + 1 + 1e-9)
+        # A match shares low * m of its bigrams at least, none of them among the f that no template has.
+        return (u["m"] >= shortest - 1e-9) & (u["m"] <= longest + 1e-9) & (u["m"] > 0) & (u["f"] <= u["m"] * (1 - low) + 1e-9)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), plain(F.col(text_col)).alias("t"))
     cut = F.flatten(F.transform(F.split("t", "\n", -1), lambda x, i: F.transform(F.split(x, "\r", -1), lambda y: F.struct((i + 1).alias("line"), F.trim(y).alias("t")))))
     rows = rows.select("doc_id", F.transform(F.filter(cut, lambda x: x["t"] != ""), lambda x: piece(x["line"], x["t"])).alias("all"))
     rows = rows.withColumn("n", F.size("all"))
-    at = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    starts = F.filter(at, lambda i: half(F.element_at("all", i)) & half(F.element_at("all", i + 1)))
+    starts = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1)).otherwise(none)
+    starts = F.filter(starts, lambda i: let(F.element_at("all", i), lambda x: inside(x) | ~foreign(x["tail"], F.element_at("all", i + 1)["head"])))
     singles = F.transform(F.filter(F.transform("all", lambda x, i: F.struct((i + 1).alias("p"), x.alias("x"))), lambda y: in_reach(F.struct((y["x"]["w"] - 1).alias("m"), y["x"]["f"].alias("f")))), lambda y: unit(y["p"], F.lit(1), F.array(y["x"])))
-    whole = F.when(F.col("n") > 1, F.array(unit(F.lit(0), F.lit(0), F.col("all")))).otherwise(F.expr("NULL"))
-    rows = rows.select("doc_id", F.filter(F.concat(singles, F.coalesce(whole, F.slice(singles, 1, 0)), F.flatten(F.transform(starts, runs))), in_reach).alias("near"))
+    total = F.aggregate("all", start, lambda s, x: F.struct((s["w"] + x["w"]).alias("w"), s["f"], s["k"], s["tail"], s["hits"]), lambda s: s["w"])
+    whole = F.when((F.col("n") > 1) & (total <= most), F.array(unit(F.lit(0), F.lit(0), F.col("all"))))
+    rows = rows.select("doc_id", F.concat(singles, F.coalesce(whole, F.slice(singles, 1, 0)), F.flatten(F.transform(starts, runs))).alias("near"))
     named = lambda u: F.struct(*[u[c].alias(c) for c in ("p", "k", "line", "m")], bigrams(F.concat_ws(" ", u["t"])).alias("b"))
     hits = F.flatten(F.transform(F.transform("near", named), compared))
     rows = rows.select("doc_id", hits.alias("hits"))
@@ -144,10 +172,15 @@ def _sql(text: str) -> str:
 
 
 _VALUES = ", ".join(f"({i}, '{n}', {_sql(t)})" for i, (n, t) in enumerate(TEMPLATES))
-_WORDS = ", ".join(map(_sql, vocabulary_of(TEMPLATES)))
+_MOST = longest_unit(TEMPLATES)
 ORACLE_SQL = {
     "op9_license_scan": f"""
-WITH d AS (
+WITH t(i, name, text) AS (VALUES {_VALUES}
+), tk AS (
+  SELECT i, name, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t
+), kb AS (
+  SELECT i, g, count(*) AS c FROM (SELECT i, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM tk) GROUP BY i, g
+), d AS (
   SELECT row_number() OVER () AS r, doc_id,
          regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), chr(13), ' '), {_sql(SENTENCE_END)}, chr(13), 'g'), {_sql(NO_WORD)}, ' ', 'g') AS t FROM documents
 ), l AS (
@@ -157,26 +190,22 @@ WITH d AS (
 ), p AS (
   SELECT r, line, string_split(trim(s), ' ') AS w, row_number() OVER (PARTITION BY r ORDER BY line, part) AS p FROM x WHERE trim(s) <> ''
 ), v AS (
-  SELECT [{_WORDS}] AS words
+  SELECT list(DISTINCT g) AS grams FROM kb
 ), a AS (
-  SELECT r, p, line, w, len(list_filter(w, lambda y: NOT list_contains(words, y))) * 2 <= len(w) AS half FROM p, v
+  SELECT *, len(list_filter(range(1, len(w)), lambda x: list_contains(grams, w[x] || ' ' || w[x + 1]))) > 0 AS inside,
+         list_contains(grams, w[-1] || ' ' || (lead(w) OVER (PARTITION BY r ORDER BY p))[1]) AS joint FROM p, v
 ), g AS (
-  SELECT r, list(line ORDER BY p) AS lines, list(w ORDER BY p) AS ws, list(half ORDER BY p) AS halves FROM a GROUP BY r
+  SELECT r, list(line ORDER BY p) AS lines, list(w ORDER BY p) AS ws, list(inside ORDER BY p) AS ins, list(joint ORDER BY p) AS js FROM a GROUP BY r
 ), i AS (
   SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM g
 ), k1 AS (
-  SELECT *, unnest(range(1, {RUN + 1})) AS k FROM i
+  SELECT *, unnest(range(1, least(len(ws) - p, {_MOST}) + 2)) AS k FROM i
 ), u0 AS (
-  SELECT r, p, k, lines[p] AS line, flatten(ws[p:p + k - 1]) AS w FROM k1 WHERE p + k - 1 <= len(ws) AND (k = 1 OR list_bool_and(halves[p:p + k - 1]))
+  SELECT r, p, k, lines[p] AS line, flatten(ws[p:p + k - 1]) AS w FROM k1 WHERE p + k - 1 <= len(ws) AND (k = 1 OR ((ins[p] OR js[p]) AND (ins[p + k - 1] OR js[p + k - 2]))) AND list_sum(list_transform(ws[p:p + k - 1], lambda y: len(y))) <= {_MOST}
   UNION ALL
   SELECT r, 0, 0, 0, flatten(ws) FROM g WHERE len(ws) > 1
 ), u AS (
-  SELECT r, p, k, line, w, len(w) - 1 AS m FROM u0 WHERE len(w) BETWEEN 2 AND 200
-), t(i, name, text) AS (VALUES {_VALUES}
-), tk AS (
-  SELECT i, name, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t
-), kb AS (
-  SELECT i, g, count(*) AS c FROM (SELECT i, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM tk) GROUP BY i, g
+  SELECT r, p, k, line, w, len(w) - 1 AS m FROM u0 WHERE len(w) BETWEEN 2 AND {_MOST}
 ), ub AS (
   SELECT r, p, k, line, m, g, count(*) AS c
   FROM (SELECT r, p, k, line, m, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM u)

@@ -75,16 +75,18 @@ def test_license_edges(spark):
 
 def brute_license(text, least=license.LEAST):
     """Best (dice, piece, run, template) by comparing every unit with every template, all in Python."""
-    words = set(license.vocabulary_of(license.TEMPLATES))
     pieces = []
+    grams = {p for _, t in license.TEMPLATES for v in [re.sub(r"[\W_]+", " ", t.lower()).split()] for p in zip(v, v[1:])}
     for n, line in enumerate((text or "").lower().replace("\r", " ").split("\n"), 1):
         for s in re.split(license.SENTENCE_END, line):
             if w := re.sub(r"[\W_]+", " ", s).split():
-                pieces.append((n, w, sum(x not in words for x in w) * 2 <= len(w)))
-    units = [(p + 1, k, pieces[p : p + k]) for p in range(len(pieces)) for k in range(1, license.RUN + 1) if p + k <= len(pieces) and (k == 1 or all(x[2] for x in pieces[p : p + k]))]
+                pieces.append((n, w))
+    units = [(p + 1, k, pieces[p : p + k]) for p in range(len(pieces)) for k in range(1, len(pieces) - p + 1) if k == 1 or grams & set(zip(pieces[p][1] + pieces[p + 1][1][:1], (pieces[p][1] + pieces[p + 1][1][:1])[1:])) and grams & set(zip(pieces[p + k - 2][1][-1:] + pieces[p + k - 1][1], (pieces[p + k - 2][1][-1:] + pieces[p + k - 1][1])[1:]))]
     units += [(0, 0, pieces)] if len(pieces) > 1 else []
     best, lines = (), set()
     for p, k, of in units:
+        if sum(len(x[1]) for x in of) > 400:
+            continue  # over three times the longest template
         w = [y for x in of for y in x[1]]
         a = Counter(zip(w, w[1:]))
         for i, (_, t) in enumerate(license.TEMPLATES):
@@ -102,9 +104,12 @@ def test_license_runs(spark):
     wrapped = "\n".join(textwrap.wrap(mit, 78))
     prose = "Nobody knew why a clock had stopped.\nRain fell on every roof of our town.\n"
     cc = license.TEMPLATES[4][1].replace(" Creative ", " Creative\n")
-    rows = [(1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + wrapped + "\n\n" + prose), (2, prose + cc + "\n" + prose), (3, "Our small tool is here. Released under the MIT License. Have fun with it."), (4, prose + "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n" + prose), (5, prose), (6, mit + "\r\n" + mit), (7, (prose + cc + "\n") * 40), (8, "The license.\n" * 300), (9, None)]
+    isc = next(t for n, t in license.TEMPLATES if n == "ISC")
+    seven = isc.split(" ")
+    seven = "\n".join([" ".join(seven[:16]), "Copyright (c) 2021 Jane Q Public", *(" ".join(seven[i : i + 4]) for i in range(16, len(seven), 4))])
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + wrapped + "\n\n" + prose), (2, prose + cc + "\n" + prose), (3, "Our small tool is here. Released under the MIT License. Have fun with it."), (4, prose + "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n" + prose), (5, prose), (6, mit + "\r\n" + mit), (7, (prose + cc + "\n") * 40), (8, "The license.\n" * 300), (9, None), (10, prose + seven), (11, "\n".join(textwrap.wrap(isc, 12)) + "\n" + prose), (12, "the\n" * 400), (13, "free software\n" * 60)]
     got = {r.doc_id: ((r.license, r.template, r.dice, r.line, r.pieces), r.n_lines) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i][0][0] for i in range(1, 10)] == ["MIT", "CC-BY-4.0", "MIT", "GPL-3.0", None, "MIT", "CC-BY-4.0", None, None]
+    assert [got[i][0][0] for i in range(1, 14)] == ["MIT", "CC-BY-4.0", "MIT", "GPL-3.0", None, "MIT", "CC-BY-4.0", None, None, "ISC", "ISC", None, None]
     assert got == {i: brute_license(t) for i, t in rows}
     assert license.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
