@@ -37,7 +37,7 @@ def by_group(points: DataFrame, keys: tuple[str, ...], values: list, columns: st
 
     A window brings a group's rows together, so a partitioning by keys that is there already is used, and sorting spills.
     """
-    kinds = ", ".join(f"{c} {t}" for c, t in points.select(*keys).dtypes)
+    kinds = "".join(f"{c} {t}, " for c, t in points.select(*keys).dtypes)
     rows = points.select(*keys, *values).withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy("ix")))
     names = [c.split(" ")[0] for c in columns.split(", ")]
 
@@ -47,7 +47,7 @@ def by_group(points: DataFrame, keys: tuple[str, ...], values: list, columns: st
                 own = [table.column(k).take(pa.array(starts[group])).combine_chunks() for k in keys]
                 yield from pa.table([*own, *[pa.array(out[c]) for c in names]], names=[*keys, *names]).to_batches(max_chunksize=1 << 16)
 
-    return rows.mapInArrow(apply, f"{kinds}, {columns}")
+    return rows.mapInArrow(apply, f"{kinds}{columns}")
 
 
 def by_scan(points: DataFrame, func: Callable, columns: str, keys: tuple[str, ...]) -> DataFrame:
@@ -62,11 +62,11 @@ def by_scan(points: DataFrame, func: Callable, columns: str, keys: tuple[str, ..
     return by_group(points, keys, [F.col("ix"), F.col("h").cast("double").alias("h")], columns, run)
 
 
-def _stacks(table: pa.Table, starts: np.ndarray, nx: int, ny: int, fill):
+def _stacks(table: pa.Table, starts: np.ndarray, nx: int, ny: int, fill, each: int = 1):
     """(groups before, rows, map of each row, ix, iy, stack of maps) for as many maps as STACK allows."""
     value, ix, iy = (table.column(c).to_numpy() for c in ("v", "ix", "iy"))
     ends = np.append(starts[1:], table.num_rows)
-    most = max(1, STACK // (nx * ny))
+    most = max(1, STACK // (nx * ny * each))
     for g in range(0, len(starts), most):
         last = min(g + most, len(starts))
         rows = slice(starts[g], ends[last - 1])
@@ -89,6 +89,18 @@ def by_map(points: DataFrame, nx: int, ny: int, func: Callable, columns: str, ke
     return by_group(points, keys, _pixels("cast(h as double)"), f"ix int, iy int, {columns}", run)
 
 
+def by_stack(points: DataFrame, nx: int, ny: int, func: Callable, columns: str, keys: tuple[str, ...], each: int = 4) -> DataFrame:
+    """func(stack of heights n x nx x ny, NaN where undefined) -> dict of stacks of one shape; (keys, ix, iy, columns). each: numbers held for a pixel."""
+
+    def run(table: pa.Table, starts: np.ndarray):
+        for g, _, _, _, stack in _stacks(table, starts, nx, ny, np.nan, each):
+            out = func(stack)
+            n, ix, iy = (a.ravel() for a in np.indices(next(iter(out.values())).shape, np.int32))
+            yield g + n, {"ix": ix, "iy": iy} | {k: v.ravel() for k, v in out.items()}
+
+    return by_group(points, keys, _pixels("cast(h as double)"), f"ix int, iy int, {columns}", run)
+
+
 def by_mask(points: DataFrame, nx: int, ny: int, func: Callable, columns: str, keys: tuple[str, ...]) -> DataFrame:
     """func(stack of masks n x nx x ny) -> dict of stacks; (keys, ix, iy, columns) of the pixels given. A null mask is unmarked."""
 

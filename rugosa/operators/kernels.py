@@ -216,18 +216,18 @@ def self_affine_map(nx: int, ny: int, sx: float, sy: float, hurst: float, rms_he
     return h * (rms_height / s) if s > 0 else h
 
 
-def fourier_synthesis(spark, seeds: list[int], nx: int, ny: int, sx: float, sy: float, hurst: float, rms_height: float, short: float | None = None, long: float | None = None) -> DataFrame:
-    """(scan_id, ix, iy, h): one random surface a seed, made on the executors."""
+def fourier_synthesis(surfaces: DataFrame, nx: int, ny: int, sx: float, sy: float, hurst: float, short: float | None = None, long: float | None = None) -> DataFrame:
+    """(scan_id, ix, iy, h): one random surface for each row (seed, rms_height), made on the executors."""
 
     def run(batches):
+        i, j = np.meshgrid(np.arange(nx, dtype=np.int32), np.arange(ny, dtype=np.int32), indexing="ij")
         for b in batches:
-            for s in b["seed"]:
-                h = self_affine_map(nx, ny, sx, sy, hurst, rms_height, short, long, int(s))
-                i, j = np.meshgrid(np.arange(nx, dtype=np.int32), np.arange(ny, dtype=np.int32), indexing="ij")
-                yield pd.DataFrame({"scan_id": int(s), "ix": i.ravel(), "iy": j.ravel(), "h": h.ravel()})
+            for seed, rms in zip(b["seed"], b["rms_height"], strict=True):
+                h = self_affine_map(nx, ny, sx, sy, hurst, float(rms), short, long, int(seed))
+                yield pd.DataFrame({"scan_id": int(seed), "ix": i.ravel(), "iy": j.ravel(), "h": h.ravel()})
 
-    df = spark.createDataFrame([(int(s),) for s in seeds], "seed long")
-    return df.repartition(max(1, min(len(seeds), spark.sparkContext.defaultParallelism))).mapInPandas(run, "scan_id long, ix int, iy int, h double")
+    # Pixels are many for a row, so rows are dealt out even if they are few.
+    return surfaces.select("seed", "rms_height").repartition(surfaces.sparkSession.sparkContext.defaultParallelism, "seed").mapInPandas(run, "scan_id long, ix int, iy int, h double")
 
 
 def reliability_cutoff_sphere(h: np.ndarray, pixel: float, radius: float, safety: float = 0.5) -> float | None:

@@ -5,83 +5,43 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fourier
 from .reliability import defined, single_valued
 
 KEYS = ("scan_id",)
 
 
-def as_arrays(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """A row a scan with its heights in order."""
-    return points.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "h"))), lambda p: p["h"]).alias("heights"))
-
-
-def wavevectors(n: int, size: float) -> list[float]:
-    return [2 * math.pi * k / size for k in range(n // 2)]
-
-
-def dft_table(spark, n: int, tapered: bool):
-    """(k, ix, c, s): cos and sin of each wavevector at each point, times the taper: n * n/2 rows, a function of the grid alone."""
-    k, i = np.meshgrid(np.arange(n // 2), np.arange(n), indexing="ij")
-    w = (0.5 - 0.5 * np.cos(2 * np.pi * i / n)) * math.sqrt(8 / 3) if tapered else np.ones_like(i, float)
-    a = 2 * np.pi * (k * i % n) / n
-    return spark.createDataFrame(pd.DataFrame({"k": k.ravel().astype(np.int32), "ix": i.ravel().astype(np.int32), "c": (w * np.cos(a)).ravel(), "s": (w * np.sin(a)).ravel()}))
-
-
-#: Grid points up to which the transform is a join with its table; larger scans go through NumPy's FFT.
-DFT_POINTS = 256
-
-
 def power_spectrum(points: DataFrame, n: int, size: float, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
-    """(keys, k, q, psd): one-dimensional power spectra of line scans, positive wavevectors up to before Nyquist's, that at zero halved.
+    """(keys, k, q, psd): one-dimensional power spectra of line scans of n points, positive wavevectors up to before Nyquist's, that at zero halved.
 
-    undefined: what scans with undefined heights do, as reliability.defined says; the same for scans of any length.
+    undefined: what scans with undefined heights do, as reliability.defined says.
     """
-    if n > DFT_POINTS:
-        return power_spectrum_fft(points, n, size, tapered, keys, undefined)
-    t = dft_table(points.sparkSession, n, tapered)
-    points = defined(points, undefined, keys)
-    agg = points.join(F.broadcast(t), "ix").groupBy(*keys, "k").agg(F.sum(F.col("h") * F.col("c")).alias("re"), F.sum(F.col("h") * F.col("s")).alias("im"))
-    c = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.lit(size / n / n)
-    return agg.select(*keys, "k", (F.col("k") * F.lit(2 * math.pi / size)).alias("q"), F.when(F.col("k") == 0, c / 2).otherwise(c).alias("psd"))
+    power = fourier.power_line(defined(points, undefined, keys), keys, tapered)
+    c = F.col("power") * F.lit(size / n / n)
+    return power.select(*keys, "k", (F.col("k") * F.lit(2 * math.pi / size)).alias("q"), F.when(F.col("k") == 0, c / 2).otherwise(c).alias("psd"))
 
 
-def power_spectrum_fft(points: DataFrame, n: int, size: float, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
-    """The same by FFT, whole scans at a time."""
-    arrays = as_arrays(defined(points, undefined, keys), keys)
-    kinds = ", ".join(f"{c} {t}" for c, t in arrays.select(*keys).dtypes)
-
-    def run(batches):
-        w = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)) * math.sqrt(8 / 3) if tapered else 1.0
-        for b in batches:
-            f = np.fft.rfft(np.stack(b["heights"].to_numpy()) * w, axis=1)[:, : n // 2]
-            c = (f.real**2 + f.imag**2) * (size / n / n)
-            c[:, 0] /= 2
-            m = n // 2
-            out = {k: np.repeat(b[k].to_numpy(), m) for k in keys}
-            yield pd.DataFrame(out | {"k": np.tile(np.arange(m, dtype=np.int32), len(b)), "q": np.tile(wavevectors(n, size), len(b)), "psd": c.ravel()})
-
-    return arrays.mapInPandas(run, f"{kinds}, k int, q double, psd double")
+def spectrum_area(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
+    """(keys, kx, ky, qx, qy, psd): two-dimensional spectra of maps, all wavevectors, each as the shorter of it and its mirror."""
+    b = fourier.power_area(defined(points, undefined, keys), nx, ny, keys)
+    q = lambda k, n, size: F.least(F.col(k), n - F.col(k)) * F.lit(2 * math.pi / size)
+    return b.select(*keys, "kx", "ky", q("kx", nx, sx).alias("qx"), q("ky", ny, sy).alias("qy"), (F.col("power") * F.lit(sx * sy / (nx * ny) ** 2)).alias("psd"))
 
 
-def spectrum_area(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, kx, ky, qx, qy, psd): two-dimensional spectra of maps, all wavevectors, each as the shorter of it and its mirror.
+def power_spectrum_area(points: DataFrame, nx: int, ny: int, sx: float, sy: float, edges: list[float] | None = None, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise", per_decade: int = 10) -> DataFrame:
+    """(keys, bin, x, y, var, n): spectra of maps averaged over bins of the wavevector's length.
 
-    The transform is separable: rows first, then columns, each a join with a table of one axis.
+    tapered: times the radial Hann window. edges: of the bins; by default spaced evenly in the logarithm from the
+    smallest wavevector to Nyquist's along x.
     """
+    from .transforms import radial_hann
 
-    def axis(n: int, k: str, i: str) -> DataFrame:
-        a, b = np.meshgrid(np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32), indexing="ij")
-        z = 2 * np.pi * (a.astype(np.int64) * b % n) / n
-        return F.broadcast(points.sparkSession.createDataFrame(pd.DataFrame({k: a.ravel(), i: b.ravel(), "c": np.cos(z).ravel(), "s": np.sin(z).ravel()})))
-
-    a = points.join(axis(nx, "kx", "ix"), "ix").groupBy(*keys, "iy", "kx").agg(F.sum(F.col("h") * F.col("c")).alias("re"), F.sum(-F.col("h") * F.col("s")).alias("im"))
-    b = a.join(axis(ny, "ky", "iy"), "iy").groupBy(*keys, "kx", "ky").agg(F.sum(F.expr("re * c + im * s")).alias("re"), F.sum(F.expr("im * c - re * s")).alias("im"))
-    q = lambda k, n, size: F.least(F.col(k), n - F.col(k)) * F.lit(2 * math.pi / size)
-    return b.select(*keys, "kx", "ky", q("kx", nx, sx).alias("qx"), q("ky", ny, sy).alias("qy"), (F.expr("re * re + im * im") * F.lit(sx * sy / (nx * ny) ** 2)).alias("psd"))
+    edges = edges or grid_edges("log", 2 * math.pi / min(sx, sy), math.pi * nx / sx, per_decade=per_decade)
+    c = spectrum_area(radial_hann(points, nx, ny, sx, sy) if tapered else points, nx, ny, sx, sy, keys, undefined)
+    return bin_average(c.withColumn("_q", F.sqrt(F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy"))), "_q", "psd", edges, keys)
 
 
 def psd_area(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -117,38 +77,73 @@ def psd_nonuniform(points: DataFrame, wavevectors_: list[float], keys: tuple[str
     return agg.select(*keys, "q", F.expr("(re * re + im * im) / l").alias("psd"))
 
 
-def autocorrelation(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, k, r, acf): half the mean squared height difference at each distance of nonperiodic line scans.
+def autocorrelation(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
+    """(keys, k, r, acf): half the mean squared height difference at each distance of nonperiodic line scans, by transforms.
 
-    Each scan is one array and each lag reads it by position: no join, and one shuffle. Scans with undefined heights are left out.
+    undefined: 'raise' or 'drop' as reliability.defined says; 'skip': means over the pairs whose heights are both
+    defined, null where there is none.
     """
-    a = as_arrays(points, keys).where(F.forall("heights", lambda h: h.isNotNull()))
-    n = F.size("heights")
-    lag = a.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-    head = F.slice("heights", F.lit(1), n - F.col("k"))
-    tail = F.slice("heights", F.col("k") + 1, n - F.col("k"))
-    total = F.aggregate(F.zip_with(head, tail, lambda p, q: (q - p) * (q - p)), F.lit(0.0), lambda s, d: s + d)
-    return lag.select(*keys, "k", (F.col("k") * F.lit(float(pixel))).alias("r"), (total / (n - F.col("k")) / 2).alias("acf"))
+    c = fourier.correlation_line(_guarded(points, undefined, keys), keys, strict=undefined != "skip")
+    return c.select(*keys, "k", (F.col("k") * F.lit(float(pixel))).alias("r"), _half_mean().alias("acf"))
 
 
-def autocorrelation_periodic(points: DataFrame, pixel: float, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def autocorrelation_periodic(points: DataFrame, pixel: float, n: int, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
     """The same for periodic scans of n points, at lags below n / 2."""
-    a = as_arrays(points, keys).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n // 2 - 1))))
-    turned = F.concat(F.slice("heights", F.col("k") + 1, F.lit(n) - F.col("k")), F.slice("heights", F.lit(1), F.col("k")))
-    total = F.aggregate(F.zip_with("heights", turned, lambda p, q: (q - p) * (q - p)), F.lit(0.0), lambda s, d: s + d)
-    return a.select(*keys, "k", (F.col("k") * F.lit(float(pixel))).alias("r"), (total / n / 2).alias("acf"))
+    c = fourier.correlation_line(_guarded(points, undefined, keys), keys, True, undefined != "skip").where(F.col("k") < n // 2)
+    return c.select(*keys, "k", (F.col("k") * F.lit(float(pixel))).alias("r"), _half_mean().alias("acf"))
 
 
-def autocorrelation_area(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, r2, n, acf): nonperiodic maps of unit pixels, over lags of one integer length squared.
+def autocorrelation_map(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS, periodic: bool = False, undefined: str = "raise") -> DataFrame:
+    """(keys, a, b, acf): of maps at each lag (a, b)."""
+    c = fourier.correlation_area(_guarded(points, undefined, keys), nx, ny, keys, periodic, undefined != "skip")
+    return c.select(*keys, "a", "b", _half_mean().alias("acf"))
+
+
+def autocorrelation_area(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
+    """(keys, r2, n, acf): nonperiodic maps of unit pixels, averaged over lags of one integer length squared."""
+    lag = autocorrelation_map(points, nx, ny, keys, undefined=undefined)
+    return lag.groupBy(*keys, F.expr("a * a + b * b").alias("r2")).agg(F.count("*").alias("n"), F.avg("acf").alias("acf"))
 
-    A map of the grid's lags (nx ny of them) is joined with the points, which then meet their partners by an equi-join.
-    """
-    p = points.withColumns({"a": F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))}).where("ix + a < " + str(nx)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(ny - 1)))).where("iy + b < " + str(ny))
-    q = points.select(*keys, F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("h").alias("g"))
-    both = p.select(*keys, "a", "b", (F.col("ix") + F.col("a")).alias("jx"), (F.col("iy") + F.col("b")).alias("jy"), "h").join(q, [*keys, "jx", "jy"])
-    lag = both.groupBy(*keys, "a", "b").agg((F.avg((F.col("g") - F.col("h")) * (F.col("g") - F.col("h"))) / 2).alias("v"))
-    return lag.groupBy(*keys, F.expr("a * a + b * b").alias("r2")).agg(F.count("*").alias("n"), F.avg("v").alias("acf"))
+
+def _guarded(points: DataFrame, undefined: str, keys: tuple[str, ...]) -> DataFrame:
+    return points if undefined == "skip" else defined(points, undefined, keys)
+
+
+def _half_mean() -> Column:
+    return F.col("s") / F.nullif(F.col("n"), F.lit(0)) / 2
+
+
+def resampled(points: DataFrame, factor: int = 5, n: int | None = None, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
+    """(keys, ix, x, h): nonuniform scans on an even grid of n points, or of `factor` for each of the scan's smallest distances between neighbours."""
+    from .detrend import segments
+    from .transforms import to_uniform
+
+    points = single_valued(points, reentrant, keys)
+    if n is not None:
+        return to_uniform(points, n, keys)
+    s = segments(points, keys).groupBy(*keys).agg((F.greatest(F.floor(F.sum("dx") / F.min("dx")), F.lit(1)) * factor).cast("int").alias("n"))
+    return to_uniform(points, s, keys)
+
+
+def _spans(grid: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, size): the distance from the first point to the last."""
+    return grid.groupBy(*keys).agg((F.max("x") - F.min("x")).alias("size"))
+
+
+def power_spectrum_nonuniform(points: DataFrame, factor: int = 5, n: int | None = None, tapered: bool = True, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
+    """(keys, k, q, psd): spectra of nonuniform scans over all wavevectors of an even grid, by transforms; wavevector zero halved. See resampled()."""
+    grid = resampled(points, factor, n, keys, reentrant)
+    c = fourier.power_line(grid, keys, tapered).join(_spans(grid, keys), list(keys))
+    psd = F.col("power") * F.col("size") / F.col("n") / F.col("n")
+    return c.select(*keys, "k", (F.col("k") * F.lit(2 * math.pi) / F.col("size")).alias("q"), F.when(F.col("k") == 0, psd / 2).otherwise(psd).alias("psd"))
+
+
+def autocorrelation_grid(points: DataFrame, factor: int = 5, n: int | None = None, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
+    """(keys, k, r, acf): of nonuniform scans at all distances of an even grid, by transforms. See resampled()."""
+    grid = resampled(points, factor, n, keys, reentrant)
+    c = fourier.correlation_line(grid, keys).join(_spans(grid, keys), list(keys))
+    m = F.max("k").over(Window.partitionBy(*keys)) + 1
+    return c.select(*keys, "k", (F.col("k") * F.col("size") / m).alias("r"), _half_mean().alias("acf"))
 
 
 def autocorrelation_nonuniform(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -197,8 +192,6 @@ def slope_from_area_acf(acf: DataFrame) -> DataFrame:
 
 def curvature_from_acf(acf: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Scale-dependent curvature sqrt(8 A_k - 2 A_2k) / r_k^2, up to before the first negative value."""
-    from pyspark.sql import Window
-
     twice = acf.select(*keys, (F.col("k") / 2).cast("int").alias("k"), F.col("acf").alias("far")).where(acf.k % 2 == 0)
     v = acf.where((F.col("k") > 0) & (F.col("k") < (n + 1) // 2)).join(twice, [*keys, "k"]).withColumn("v", 8 * F.col("acf") - 2 * F.col("far"))
     w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
@@ -241,8 +234,6 @@ def integrate_psd(psd: DataFrame, size: float, factor: str = "1D", keys: tuple[s
 
 def trapezoid(curve: DataFrame, x: str, y: str, keys: tuple[str, ...] = KEYS, cumulative: bool = False) -> DataFrame:
     """Integral by trapezoids over x in ascending order; cumulative: its running values."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(x)
     part = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
     c = curve.withColumn("_part", F.coalesce(part, F.lit(0.0)))

@@ -230,9 +230,9 @@ def superpose_maps(spark, d):
     return transforms.superpose(height_map(spark, d), height_map(spark, d, value="l_discount", unit=10000))
 
 
-@query("plastic_area", f"WITH {map_sql('a', 'l_discount', 100, 'l_quantity < 20')} SELECT count(*) FILTER (h <> 0) * 0.25::DOUBLE AS plastic_area FROM a")
+@query("plastic_area", f"WITH {map_sql('a', 'l_discount', 100)} SELECT count(*) FILTER (h <> 0) * 0.25::DOUBLE AS plastic_area FROM a")
 def plastic_area(spark, d):
-    return transforms.plastic_area(height_map(spark, d, "l_quantity < 20", "l_discount", 100), 0.25, ())
+    return transforms.plastic_area(height_map(spark, d, value="l_discount", unit=100), 0.25, ())
 
 
 @query("mirror_stitch_map", f"WITH {M}, k AS (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b) SELECT scan_id, CAST(CASE a WHEN 0 THEN ix ELSE 15 - ix END AS INTEGER) AS ix, CAST(CASE b WHEN 0 THEN iy ELSE 15 - iy END AS INTEGER) AS iy, round(h, 6) AS h FROM m, k")
@@ -305,10 +305,16 @@ def rigid_sphere_scan(spark, d):
     return rounded(transforms.scan_with_sphere(line_scans(spark, d), 5.0, PIXEL).select("scan_id", "ix", "h"))
 
 
-@query("equal_surfaces", f"WITH {L}, o AS (SELECT scan_id, ix, h, h * (1 + 1e-7) AS g FROM l) SELECT bool_and(abs(h - g) <= 1e-8 + 1e-5 * abs(g)) AS equal FROM o")
+_OTHER = {"l_extendedprice": 100, "l_tax": 10_000}
+
+
+@query("equal_surfaces", f"""WITH {map_sql('a')}, {map_sql('b', 'l_tax', 10_000)}, o AS (SELECT ix, iy, a.h, b.h AS g FROM a FULL JOIN b USING (ix, iy)), k AS (SELECT unnest([0, 1]) AS same)
+ SELECT CAST(same AS INTEGER) AS same, bool_and(CASE same WHEN 1 THEN abs(h - h * (1 + 1e-7)) <= 1e-8 + 1e-5 * abs(h) ELSE abs(h - g) <= 1e-8 + 1e-5 * abs(g) END) AS equal FROM o, k GROUP BY same""")
 def equal_surfaces(spark, d):
-    p = line_scans(spark, d)
-    return transforms.equal(p, p.withColumn("h", F.col("h") * (1 + 1e-7)))
+    """Two columns as maps, which differ, and one against itself within the tolerance."""
+    a, b = (height_map(spark, d, value=v, unit=u) for v, u in _OTHER.items())
+    answers = [transforms.equal(a, o, ("ix", "iy")).withColumn("same", F.lit(i)) for i, o in ((0, b), (1, a.withColumn("h", F.col("h") * (1 + 1e-7))))]
+    return answers[0].unionByName(answers[1]).select("same", "equal")
 
 
 @query("mask_nonfinite", f"WITH {L} SELECT surface_id, count(*) FILTER (ix % 7 = 0) AS undefined, round(avg(CASE WHEN ix % 7 = 0 THEN NULL ELSE h END), 6) AS mean FROM l GROUP BY surface_id")
@@ -633,33 +639,45 @@ def pair_correlation(spark, d):
 # --- models, units ---------------------------------------------------------------------------------
 
 
-@query("self_affine_psd", "SELECT CAST(i AS BIGINT) AS id, round(q, 6) AS q, round(CASE WHEN q > 2 * pi() / 100 AND q < 2 * pi() / 0.5 THEN CASE WHEN q < 2 * pi() / 10 THEN 2.0 ELSE 2.0 * pow(q / (2 * pi() / 10), -3.6) END ELSE 0 END, 6) AS ciso, round(CASE WHEN q > 2 * pi() / 100 AND q < 2 * pi() / 0.5 THEN CASE WHEN q < 2 * pi() / 10 THEN 2.0 * (2 * pi() / 10) / pi() ELSE 2.0 * pow(q / (2 * pi() / 10), -3.6) * q / pi() * sqrt(greatest(1 - pow(q / (2 * pi() / 0.5), 2), 0)) END ELSE 0 END, 6) AS c1d FROM (SELECT range AS i, 0.03 * pow(1.07, range) AS q FROM range(100))")
+_CISO = "CASE WHEN q > 2 * pi() / 100 AND q < 2 * pi() / 0.5 THEN CASE WHEN q < 2 * pi() / 10 THEN 2.0 ELSE 2.0 * pow(q / (2 * pi() / 10), -3.6) END ELSE 0 END"
+_C1D = "CASE WHEN q > 2 * pi() / 100 AND q < 2 * pi() / 0.5 THEN CASE WHEN q < 2 * pi() / 10 THEN 2.0 * (2 * pi() / 10) / pi() ELSE 2.0 * pow(q / (2 * pi() / 10), -3.6) * q / pi() * sqrt(greatest(1 - pow(q / (2 * pi() / 0.5), 2), 0)) END ELSE 0 END"
+
+
+@query("self_affine_psd", f"SELECT p_partkey, round(q, 6) AS q, round({_CISO}, 6) AS ciso, round({_C1D}, 6) AS c1d FROM (SELECT p_partkey, p_size * 0.3::DOUBLE AS q FROM part)")
 def self_affine_psd(spark, d):
+    """The model at the wavevectors that a table holds: 0.3 times the size of each part."""
     m = models.SelfAffine(2.0, 10.0, 0.8, 0.5, 100.0)
-    q = spark.range(100).select("id", (0.03 * F.pow(F.lit(1.07), F.col("id"))).alias("q"))
-    return rounded(q.select("id", "q", m.psd_isotropic(F.col("q")).alias("ciso"), m.psd_profile(F.col("q")).alias("c1d")))
+    q = table(spark, d, "part").select("p_partkey", (F.col("p_size") * F.lit(0.3)).alias("q"))
+    return rounded(q.select("p_partkey", "q", m.psd_isotropic(F.col("q")).alias("ciso"), m.psd_profile(F.col("q")).alias("c1d")))
 
 
-@query("self_affine_variance", "SELECT CAST(range AS BIGINT) AS id, round(2.0 / (2 * pi()) * (pow(qr, 2) - pow(ql, 2)) / 2 + 2.0 * pow(qr, 2 + 2 * h) / (2 * pi()) * (pow(qs, -2 * h) - pow(qr, -2 * h)) / (-2 * h), 6) AS variance FROM (SELECT range, 0.1 + 0.05 * range AS h, 2 * pi() / 10 AS qr, 2 * pi() / 100 AS ql, 2 * pi() / 0.5 AS qs FROM range(16))")
+@query("self_affine_variance", "SELECT n_nationkey, round(2.0 / (2 * pi()) * (pow(qr, 2) - pow(ql, 2)) / 2 + 2.0 * pow(qr, 2 + 2 * h) / (2 * pi()) * (pow(qs, -2 * h) - pow(qr, -2 * h)) / (-2 * h), 6) AS variance FROM (SELECT n_nationkey, 0.1::DOUBLE + 0.03::DOUBLE * n_nationkey AS h, 2 * pi() / 10 AS qr, 2 * pi() / 100 AS ql, 2 * pi() / 0.5 AS qs FROM nation)")
 def self_affine_variance(spark, d):
-    p = spark.range(16).select("id", (0.1 + 0.05 * F.col("id")).alias("h"))
+    p = table(spark, d, "nation").select("n_nationkey", (F.lit(0.1) + F.lit(0.03) * F.col("n_nationkey")).alias("h"))
     lit = lambda v: F.lit(2 * math.pi / v)
-    return rounded(p.select("id", models.variance_columns(F.lit(2.0), lit(10.0), F.col("h"), lit(100.0), lit(0.5), 0.0).alias("variance")))
+    return rounded(p.select("n_nationkey", models.variance_columns(F.lit(2.0), lit(10.0), F.col("h"), lit(100.0), lit(0.5), 0.0).alias("variance")))
 
 
-@query("sphere_surface", "WITH g AS (SELECT CAST(a.range AS INTEGER) AS ix, CAST(b.range AS INTEGER) AS iy, a.range * 0.25 - 4 AS x, b.range * 0.25 - 4 AS y FROM range(32) a, range(32) b) SELECT ix, iy, round(CASE WHEN x * x + y * y < 9 THEN sqrt(9 - x * x - y * y) - 3 END, 6) AS h FROM g")
+@query("sphere_surface", f"WITH {map_sql()}, p AS (SELECT ix, iy, h, ix * 0.5 - 12.5 AS x, iy * 25.0::DOUBLE / {NY} - 12.5 AS y FROM g) SELECT ix, iy, round(CASE WHEN x * x + y * y < 81 THEN sqrt(81 - x * x - y * y) - 9 END, 6) AS sphere, round(h + CASE WHEN x * x + y * y < 81 THEN sqrt(81 - x * x - y * y) - 9 END, 4) AS h FROM p")
 def sphere_surface(spark, d):
-    return rounded(models.sphere(spark, 3.0, 32, 32, 8.0, 8.0).select("ix", "iy", "h"))
+    """A sphere of radius 9 over the grid of the height map (25 x 25), alone and on top of its heights."""
+    g = transforms.with_positions(height_map(spark, d), 50, 25.0, (n := ny_of(spark, d)), 25.0)
+    s = g.withColumn("sphere", models.cap(F.col("x"), F.col("y"), 9.0, 25.0, 25.0))
+    return rounded(s.select("ix", "iy", "sphere", (F.col("h") + F.col("sphere")).alias("h")), 6, h=4) if n else rounded(s)
 
 
 _U = [("m", "mm"), ("µm", "nm"), ("um", "Å"), ("Å", "m"), ("V", "mV"), ("V", "m"), ("furlong", "m")]
+_UNIT_LIST = lambda i: "[" + ", ".join(f"'{u[i]}'" for u in _U) + "]"
 
 
-@query("units_table", "SELECT * FROM (VALUES ('m', 'mm', 1e3::DOUBLE), ('µm', 'nm', 1e3), ('um', 'Å', 1e4), ('Å', 'm', 1e-10), ('V', 'mV', 1e3), ('V', 'm', NULL), ('furlong', 'm', NULL)) t(source, target, factor)")
+@query("units_table", f"WITH u AS (SELECT c_custkey, c_acctbal, list_extract({_UNIT_LIST(0)}, c_custkey % 7 + 1) AS source, list_extract({_UNIT_LIST(1)}, c_custkey % 7 + 1) AS target, list_extract(CAST([1e3, 1e3, 1e4, 1e-10, 1e3, NULL, NULL] AS DOUBLE[]), c_custkey % 7 + 1) AS f FROM customer) SELECT c_custkey, source, target, CASE WHEN f >= 1 THEN round(c_acctbal * f, 2) ELSE round(c_acctbal * f, 12) END AS value FROM u")
 def units_table(spark, d):
-    u = spark.createDataFrame(_U, "source string, target string")
+    """Account balances as lengths and voltages, each customer's in a unit of its own, converted; null where units are of two kinds or unknown."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(u[i]) for u in _U]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    u = table(spark, d, "customer").select("c_custkey", "c_acctbal", pick(0).alias("source"), pick(1).alias("target"))
     f = units.factor_column(F.col("source"), F.col("target"))
-    return u.select("source", "target", F.when(f >= 1, F.round(f, 6)).otherwise(F.round(f, 16)).alias("factor"))
+    value = F.col("c_acctbal") * f
+    return u.select("c_custkey", "source", "target", F.when(f >= 1, F.round(value, 2)).otherwise(F.round(value, 12)).alias("value"))
 
 
 # --- NumPy kernels ---------------------------------------------------------------------------------
@@ -708,10 +726,12 @@ def probe_cutoff(spark, d):
     return rounded(kernels.scanning_probe_cutoff(line_scans(spark, d), PIXEL, 20.0))
 
 
-@query("fourier_synthesis", "SELECT unnest(range(8)) AS scan_id, 0.1::DOUBLE AS sq")
+@query("fourier_synthesis", "SELECT CAST(n_nationkey AS BIGINT) AS scan_id, 0.1::DOUBLE + 0.01::DOUBLE * n_nationkey AS sq, 1024 AS n FROM nation")
 def fourier_synthesis(spark, d):
-    s = kernels.fourier_synthesis(spark, list(range(8)), 64, 64, 1.0, 1.0, 0.8, 0.1, long=0.5)
-    return rounded(scalars.sq(s, ("scan_id",)))
+    """A random surface for each nation, of the rms height that its row says: the surfaces' own rms heights and pixels."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("seed"), (F.lit(0.1) + 0.01 * F.col("n_nationkey")).alias("rms_height"))
+    s = kernels.fourier_synthesis(n, 32, 32, 1.0, 1.0, 0.8, long=0.5)
+    return rounded(s.groupBy("scan_id").agg(F.stddev_pop("h").alias("sq"), F.count("h").cast("int").alias("n")))
 
 
 # --- reliability -----------------------------------------------------------------------------------
@@ -813,4 +833,4 @@ def json_results(spark, d):
     return results.json_rows(c, ("c_custkey",))
 
 
-from . import robust_queries  # noqa: E402, F401 (registers its queries)
+from . import fourier_queries, robust_queries  # noqa: E402, F401 (register their queries)

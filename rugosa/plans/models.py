@@ -58,15 +58,15 @@ def from_function(spark: SparkSession, nx: int, ny: int, sx: float, sy: float, h
     return p.withColumn("h", height(F.col("x"), F.col("y")))
 
 
+def cap(x: Column, y: Column, radius: float, sx: float, sy: float, kind: str = "sphere") -> Column:
+    """The top of a sphere, or paraboloid, about the middle of a map of sizes sx and sy: zero at its top, undefined beyond the sphere."""
+    r2 = F.pow(x - sx / 2, F.lit(2.0)) + F.pow(y - sy / 2, F.lit(2.0))
+    return -r2 / (2 * radius) if kind == "paraboloid" else F.when(r2 < radius * radius, F.sqrt(F.lit(radius * radius) - r2) - radius)
+
+
 def sphere(spark: SparkSession, radius: float, nx: int, ny: int, sx: float, sy: float, kind: str = "sphere") -> DataFrame:
-    """The top of a sphere, or paraboloid, about the middle of the map; zero height at its top, undefined beyond the sphere."""
-    def height(x: Column, y: Column) -> Column:
-        r2 = F.pow(x - sx / 2, F.lit(2.0)) + F.pow(y - sy / 2, F.lit(2.0))
-        if kind == "paraboloid":
-            return -r2 / (2 * radius)
-        return F.when(r2 < radius * radius, F.sqrt(F.lit(radius * radius) - r2) - radius)
-
-    return from_function(spark, nx, ny, sx, sy, height)
+    """cap() on a grid of its own."""
+    return from_function(spark, nx, ny, sx, sy, lambda x, y: cap(x, y, radius, sx, sy, kind))
 
 
 def self_affine_prefactor(nb_grid_pts: tuple[int, ...], sizes: tuple[float, ...], hurst: Column, rms_height: float | None = None, rms_slope: float | None = None, short: float | None = None, long: float | None = None) -> Column:

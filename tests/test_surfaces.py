@@ -39,10 +39,12 @@ def test_sine_spectrum_sums_to_a_quarter(spark, n, k, size):
     assert all(v == pytest.approx(0, abs=1e-12) for i, v in got.items() if i != k)
 
 
-def test_fft_and_join_agree(spark):
-    p = scan(spark, np.random.default_rng(0).normal(size=48))
-    a, b = (sorted((r.k, r.psd) for r in f(p, 48, 3.0).collect()) for f in (spectral.power_spectrum, spectral.power_spectrum_fft))
-    assert np.allclose(a, b)
+def test_spectrum_is_the_discrete_transform(spark):
+    h = np.random.default_rng(0).normal(size=48)
+    got = {r.k: (r.q, r.psd) for r in spectral.power_spectrum(scan(spark, h), 48, 3.0, tapered=False).collect()}
+    for k in range(24):
+        want = abs(sum(v * np.exp(-2j * np.pi * k * i / 48) for i, v in enumerate(h))) ** 2 * 3 / 48**2
+        assert got[k] == pytest.approx((2 * np.pi * k / 3, want / 2 if k == 0 else want))
 
 
 def test_collinear_points_leave_the_spectrum(spark):
@@ -269,7 +271,7 @@ def test_models(spark):
     assert m.variance(0.0) == pytest.approx(((y[1:] + y[:-1]) / 2 * np.diff(q)).sum(), rel=1e-4)
     p = models.sphere(spark, 10.0, 8, 8, 4.0, 4.0, "paraboloid")
     assert stencils.rms_laplacian(p, (0.5, 0.5), 8, 8).first().rms_curvature == pytest.approx(0.1)
-    s = kernels.fourier_synthesis(spark, [1, 2], 16, 16, 1.0, 1.0, 0.8, 0.3)
+    s = kernels.fourier_synthesis(spark.createDataFrame([(1, 0.3), (2, 0.3)], "seed long, rms_height double"), 16, 16, 1.0, 1.0, 0.8)
     assert all(r.sq == pytest.approx(0.3) for r in scalars.sq(s, ("scan_id",)).collect())
 
 
