@@ -33,12 +33,17 @@ def _table(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
 
 
 def by_group(points: DataFrame, keys: tuple[str, ...], values: list, columns: str, run: Callable) -> DataFrame:
-    """(keys, columns): run(table, starts) gives the group of each result row and its columns; groups come whole, rows by ix.
+    """(keys, columns): run(table, starts) gives the group of each result row and its columns; groups come whole, rows by ix."""
+    return by_line(points.select(*keys, *values), keys, columns, run, "ix")
+
+
+def by_line(rows: DataFrame, keys: tuple[str, ...], columns: str, run: Callable, order: str = "at") -> DataFrame:
+    """The same for rows that are ready, in the order of one of their columns.
 
     A window brings a group's rows together, so a partitioning by keys that is there already is used, and sorting spills.
     """
-    kinds = "".join(f"{c} {t}, " for c, t in points.select(*keys).dtypes)
-    rows = points.select(*keys, *values).withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy("ix")))
+    kinds = "".join(f"{c} {t}, " for c, t in rows.select(*keys).dtypes)
+    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     names = [c.split(" ")[0] for c in columns.split(", ")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
