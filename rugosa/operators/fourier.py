@@ -100,6 +100,29 @@ def power_line(points: DataFrame, keys: tuple[str, ...] = KEYS, tapered: bool =
     return batches.by_group(points, keys, [F.col("ix"), F.col("h").cast("double").alias("h")], "k int, n int, power double", run)
 
 
+def filter_line(points: DataFrame, size: float | None, keep: Callable[[np.ndarray], np.ndarray], keys: tuple[str, ...] = KEYS, order: int = 0) -> DataFrame:
+    """(keys, ix, h): periodic line scans times keep(q) at each wavevector q, and differentiated `order` times; undefined heights are an error.
+
+    An odd derivative has no amplitude at Nyquist's wavevector. size None: the points are one apart, whatever a scan's length.
+    """
+
+    def run(table: pa.Table, starts: np.ndarray):
+        h, ix = table.column("h").to_numpy(), table.column("ix").to_numpy()
+        sizes = np.diff(np.append(starts, len(h)))
+        for n in np.unique(sizes).tolist():
+            q = 2 * np.pi * np.fft.rfftfreq(n, size / n if size else 1.0)
+            factor = keep(q) * (1j * q) ** order
+            if order % 2 and n % 2 == 0:
+                factor[-1] = 0
+            of = np.flatnonzero(sizes == n)
+            for i in range(0, len(of), most := max(1, batches.STACK // (2 * n))):
+                rows = (starts[of[i : i + most]][:, None] + np.arange(n)).ravel()
+                out = np.fft.irfft(np.fft.rfft(_fields(h[rows].reshape(-1, n), True)[1], axis=1) * factor, n, axis=1)
+                yield np.repeat(of[i : i + most], n), {"ix": ix[rows].astype(np.int32), "h": out.ravel()}
+
+    return batches.by_group(points, keys, [F.col("ix"), F.col("h").cast("double").alias("h")], "ix int, h double", run)
+
+
 # --- maps ------------------------------------------------------------------------------------------
 
 

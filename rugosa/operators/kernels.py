@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import batches
+from . import batches, fourier
 
 KEYS = ("scan_id",)
 
@@ -27,9 +27,8 @@ def per_map(points: DataFrame, nx: int, ny: int, func, columns: str, keys: tuple
 
 
 def fourier_filter(points: DataFrame, n: int, size: float, keep, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Periodic line scans times keep(q) in Fourier space; keep takes an array of wavevectors."""
-    q = 2 * math.pi * np.fft.rfftfreq(n, size / n)
-    return per_scan(points, lambda h: {"ix": np.arange(n, dtype=np.int32), "h": np.fft.irfft(np.fft.rfft(h) * keep(q), n)}, "ix int, h double", keys)
+    """Periodic line scans of this size times keep(q) in Fourier space; keep takes an array of wavevectors."""
+    return fourier.filter_line(points, size, keep, keys)
 
 
 def shortcut(points: DataFrame, n: int, size: float, wavevector: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -43,27 +42,25 @@ def longcut(points: DataFrame, n: int, size: float, wavevector: float, keys: tup
 
 
 def filter_map(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keep, isotropic: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Periodic maps times keep(|q|), or keep(qx, qy), in Fourier space."""
+    """Periodic maps times keep(|q|), or keep(qx, qy), in Fourier space, stacks of maps at a time."""
     qx = 2 * math.pi * np.fft.fftfreq(nx, sx / nx)[:, None]
     qy = 2 * math.pi * np.fft.rfftfreq(ny, sy / ny)[None]
     f = keep(np.hypot(qx, qy)) if isotropic else keep(qx, qy)
-    return per_map(points, nx, ny, lambda h: {"h": np.fft.irfft2(np.fft.rfft2(h) * f, (nx, ny))}, "h double", keys)
+    return batches.by_stack(points, nx, ny, lambda h: {"h": np.fft.irfft2(np.fft.rfft2(h) * f, (nx, ny))}, "h double", keys)
 
 
 def fourier_derivative(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, ix, iy, dx, dy): spectral first derivatives of periodic maps; the odd Nyquist term is left out."""
+    q = [2 * np.pi * np.fft.fftfreq(n, s / n) for n, s in ((nx, sx), (ny, sy))]
+    for n, v in zip((nx, ny), q, strict=True):
+        if n % 2 == 0:
+            v[n // 2] = 0
 
     def run(h: np.ndarray) -> dict[str, np.ndarray]:
         f = np.fft.fft2(h)
-        out = []
-        for axis, (n, s) in enumerate(((nx, sx), (ny, sy))):
-            q = 2 * np.pi * np.fft.fftfreq(n, s / n)
-            if n % 2 == 0:
-                q[n // 2] = 0
-            out.append(np.fft.ifft2(f * 1j * (q[:, None] if axis == 0 else q[None])).real)
-        return {"dx": out[0], "dy": out[1]}
+        return {"dx": np.fft.ifft2(1j * q[0][:, None] * f).real, "dy": np.fft.ifft2(1j * q[1][None] * f).real}
 
-    return per_map(points, nx, ny, run, "dx double, dy double", keys)
+    return batches.by_stack(points, nx, ny, run, "dx double, dy double", keys, 12)
 
 
 def interpolate_fourier(points: DataFrame, nx: int, ny: int, mx: int, my: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -82,7 +79,7 @@ def interpolate_fourier(points: DataFrame, nx: int, ny: int, mx: int, my: int, k
             g[half] = f[half]
         return np.moveaxis(g, 0, axis)
 
-    return per_map(points, nx, ny, lambda h: {"h": np.fft.ifft2(padded(padded(np.fft.fft2(h), nx, mx, 0), ny, my, 1)).real * (mx * my / nx / ny)}, "h double", keys)
+    return batches.by_stack(points, nx, ny, lambda h: {"h": np.fft.ifft2(padded(padded(np.fft.fft2(h), nx, mx, 1), ny, my, 2)).real * (mx * my / nx / ny)}, "h double", keys, 4 + 4 * -(-mx * my // (nx * ny)))
 
 
 # --- interpolation ---------------------------------------------------------------------------------

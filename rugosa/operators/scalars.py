@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fourier
 from .detrend import segments
 
 KEYS = ("scan_id",)
@@ -50,15 +53,22 @@ def rms(column: Column | str) -> Column:
     return F.sqrt(F.avg(c * c))
 
 
-def rdq(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Rms slope of line scans, first differences."""
+def _smooth(points: DataFrame, pixel: float, cutoff: float | None, keys: tuple[str, ...]) -> DataFrame:
+    """Line scans without wavelengths below the cutoff, taken as periodic for that."""
+    return points if cutoff is None else fourier.filter_line(points, None, lambda q: q <= 2 * math.pi * pixel / cutoff + 1e-12, keys)
+
+
+def rdq(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEYS, cutoff: float | None = None) -> DataFrame:
+    """Rms slope of line scans, first differences; cutoff: shorter wavelengths are filtered out before."""
+    points = _smooth(points, pixel, cutoff, keys)
     w = Window.partitionBy(*keys).orderBy("ix")
     d = points.select(*keys, ((F.lead("h").over(w) - F.col("h")) / F.lit(float(pixel))).alias("d"))
     return d.groupBy(*keys).agg(rms("d").alias("rdq"))
 
 
-def rddq(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Rms curvature of line scans, second differences."""
+def rddq(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEYS, cutoff: float | None = None) -> DataFrame:
+    """Rms curvature of line scans, second differences; cutoff as in rdq()."""
+    points = _smooth(points, pixel, cutoff, keys)
     w = Window.partitionBy(*keys).orderBy("ix")
     d = points.select(*keys, ((F.lead("h").over(w) - 2 * F.col("h") + F.lag("h").over(w)) / F.lit(float(pixel) ** 2)).alias("d"))
     return d.groupBy(*keys).agg(rms("d").alias("rddq"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,29 +12,44 @@ LINE = {1: {0: -1.0, 1: 1.0}, 2: {-1: 1.0, 0: -2.0, 1: 1.0}, 3: {-1: -1.0, 0: 3.
 LINE_CENTRAL = {1: {-1: -0.5, 1: 0.5}, 3: {-2: -0.5, -1: 1.0, 1: -1.0, 2: 0.5}}
 
 
-def line_derivative(points: DataFrame, order: int, pixel: float, scale: int = 1, keys: tuple[str, ...] = ("scan_id",), central: bool = False, periodic_n: int | None = None) -> DataFrame:
-    """(keys, ix, d): derivatives of line scans at a whole multiple of the pixel; points whose stencil leaves a nonperiodic scan are dropped."""
-    stencil = (LINE_CENTRAL if central else LINE)[order]
-    if int(scale) != scale or scale < 1:
-        raise ValueError("scale: a whole number of pixels is needed")
+def spread(stencil: dict[int, float], scale: float) -> dict[int, float]:
+    """The stencil's weights at `scale` pixels instead of one; heights between pixels are taken from the straight line."""
+    out: dict[int, float] = {}
+    for at, c in stencil.items():
+        low = math.floor(at * scale)
+        part = at * scale - low
+        for i, w in ((low, 1 - part), (low + 1, part)):
+            if abs(w) > 1e-12:
+                out[i] = out.get(i, 0.0) + c * w
+    return out
+
+
+def line_derivative(points: DataFrame, order: int, pixel: float, scale: float = 1, keys: tuple[str, ...] = ("scan_id",), central: bool = False, periodic_n: int | None = None) -> DataFrame:
+    """(keys, ix, d): derivatives of line scans at any multiple of the pixel from one on; points whose stencil leaves a nonperiodic scan are dropped."""
+    if scale < 1:
+        raise ValueError("scale: a pixel at least is needed")
+    stencil = spread((LINE_CENTRAL if central else LINE)[order], scale)
     src = points
     if periodic_n:
         src = points.withColumn("_k", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("ix", F.col("ix") + F.col("_k") * periodic_n).drop("_k")
     w = Window.partitionBy(*keys).orderBy("ix")
     d = None
     for at, c in stencil.items():
-        h = F.col("h") if at == 0 else F.lead("h", at * scale).over(w) if at > 0 else F.lag("h", -at * scale).over(w)
+        h = F.col("h") if at == 0 else F.lead("h", at).over(w) if at > 0 else F.lag("h", -at).over(w)
         d = F.lit(c) * h if d is None else d + F.lit(c) * h
     out = src.select(*keys, "ix", (d / F.lit((scale * float(pixel)) ** order)).alias("d"))
     return (out.where(F.col("ix").between(0, periodic_n - 1)) if periodic_n else out).where("d IS NOT NULL")
 
 
-def map_derivative(points: DataFrame, order: int, pixel: tuple[float, float], nx: int, ny: int, y0: int = 0, scale: int = 1, keys: tuple[str, ...] = (), periodic: bool = False) -> DataFrame:
-    """(keys, ix, iy, dx, dy): both derivatives of maps where both stencils fit.
+def map_derivative(points: DataFrame, order: int, pixel: tuple[float, float], nx: int, ny: int, y0: int = 0, scale: float = 1, keys: tuple[str, ...] = (), periodic: bool = False) -> DataFrame:
+    """(keys, ix, iy, dx, dy): both derivatives of maps, at any multiple of the pixels from one on, where both stencils fit.
 
     Rows of the map are windows along each axis in turn; a nonperiodic map loses the edge that the square stencils
     need on both axes. Undefined pixels make the derivatives that use them undefined.
     """
+    if scale < 1:
+        raise ValueError("scale: a pixel at least is needed")
+    stencil = spread(LINE[order], scale)
     src = points
     if periodic:
         shift = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))]))
@@ -42,12 +59,11 @@ def map_derivative(points: DataFrame, order: int, pixel: tuple[float, float], nx
         # A range frame of one pixel, so that missing pixels aren't skipped over.
         w = Window.partitionBy(*keys, other).orderBy(axis)
         d = None
-        for at, c in LINE[order].items():
-            h = F.col("h") if at == 0 else F.max("h").over(w.rangeBetween(at * scale, at * scale))
+        for at, c in stencil.items():
+            h = F.col("h") if at == 0 else F.max("h").over(w.rangeBetween(at, at))
             d = F.lit(c) * h if d is None else d + F.lit(c) * h
         out = out.withColumn(name, d / F.lit((scale * float(p)) ** order))
-    low = -min(LINE[order]) * scale
-    high = max(LINE[order]) * scale
+    low, high = -min(0, *stencil), max(0, *stencil)
     if periodic:
         inside = F.col("ix").between(0, nx - 1) & F.col("iy").between(y0, y0 + ny - 1)
     else:

@@ -21,6 +21,11 @@ def log_average(curves: DataFrame, x: str, y: str, scan: tuple[str, ...] = ("sca
     """
     c = curves.where((F.col(x) > 0) & F.col(y).isNotNull()).withColumn("bin", decade_bin(F.col(x), per_decade))
     each = c.groupBy(*container, *scan, "bin").agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
+    return bin_means(each, container)
+
+
+def bin_means(each: DataFrame, container: tuple[str, ...] = ("surface_id",)) -> DataFrame:
+    """(container, bin, x, y, n): means over scans of (container, scan, bin, x, y), one row a scan and bin."""
     mean = each.groupBy(*container, "bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     bins = mean.groupBy(*container).agg(F.min("bin").alias("a"), F.max("bin").alias("b")).select(*container, F.explode(F.sequence("a", "b")).alias("bin"))
     return bins.join(mean, [*container, "bin"], "left")

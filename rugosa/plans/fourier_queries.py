@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import spectral
+from ..operators import scalars, spectral, stencils
 from ..sources.tables import line_scans, profiles, small_maps
-from .catalog import L, M, P, query, rounded
+from .catalog import L, M, N, P, PIXEL, query, rounded
+from .chains import Chain
 
 _AREA_EDGES = spectral.grid_edges("log", 2 * math.pi / 4, math.pi)
 _GRID = 96
@@ -73,3 +74,32 @@ def psd_nonuniform_grid(spark, d):
 def acf_nonuniform_grid(spark, d):
     """Correlations of all nonuniform scans at all distances of the grid."""
     return rounded(spectral.autocorrelation_grid(profiles(spark, d), n=_GRID), 6, acf=3)
+
+
+@query("derivative_any_distance", f"WITH {L}, e AS (SELECT scan_id, ix, (0.5::DOUBLE * (lead(h, 2) OVER w + lead(h, 3) OVER w) - h) / 2.5::DOUBLE AS d FROM l WINDOW w AS (PARTITION BY scan_id ORDER BY ix)) SELECT scan_id, ix, round(d, 6) AS d FROM e WHERE d IS NOT NULL")
+def derivative_any_distance(spark, d):
+    """Slopes over two and a half points."""
+    return rounded(stencils.line_derivative(line_scans(spark, d), 1, PIXEL, 2.5))
+
+
+@query("derivative_map_any_distance", f"WITH {M} SELECT a.scan_id, a.ix, a.iy, round((0.75::DOUBLE * b.h + 0.25::DOUBLE * b2.h - a.h) / 1.25::DOUBLE, 6) AS dx, round((0.75::DOUBLE * c.h + 0.25::DOUBLE * c2.h - a.h) / 1.25::DOUBLE, 6) AS dy FROM m a JOIN m b ON b.scan_id = a.scan_id AND b.ix = a.ix + 1 AND b.iy = a.iy JOIN m b2 ON b2.scan_id = a.scan_id AND b2.ix = a.ix + 2 AND b2.iy = a.iy JOIN m c ON c.scan_id = a.scan_id AND c.ix = a.ix AND c.iy = a.iy + 1 JOIN m c2 ON c2.scan_id = a.scan_id AND c2.ix = a.ix AND c2.iy = a.iy + 2")
+def derivative_map_any_distance(spark, d):
+    """Slopes of maps over one and a quarter pixels."""
+    return rounded(stencils.map_derivative(small_maps(spark, d), 1, (1, 1), 8, 8, scale=1.25, keys=("scan_id",)))
+
+
+_SMOOTH = "f AS (SELECT scan_id, k.range AS k, sum(h * cos(2 * pi() * k.range * ix / 64)) AS re, sum(h * sin(2 * pi() * k.range * ix / 64)) AS im FROM l, range(64) k WHERE least(k.range, 64 - k.range) <= 10 GROUP BY ALL), s AS (SELECT scan_id, i.range AS ix, sum(re * cos(2 * pi() * k * i.range / 64) + im * sin(2 * pi() * k * i.range / 64)) / 64 AS h FROM f, range(64) i GROUP BY ALL)"
+
+
+@query("rdq_cutoff", f"WITH {L}, {_SMOOTH}, e AS (SELECT scan_id, lead(h) OVER w - h AS a, lead(h) OVER w - 2 * h + lag(h) OVER w AS b FROM s WINDOW w AS (PARTITION BY scan_id ORDER BY ix)) SELECT scan_id, round(sqrt(avg(a * a)), 6) AS rdq, round(sqrt(avg(b * b)), 6) AS rddq FROM e GROUP BY scan_id")
+def rdq_cutoff(spark, d):
+    """Rms slope and curvature without wavelengths below 6.4 points."""
+    p = line_scans(spark, d)
+    return rounded(scalars.rdq(p, PIXEL, cutoff=6.4).join(scalars.rddq(p, PIXEL, cutoff=6.4), "scan_id"))
+
+
+@query("replayed_chain", f"WITH {L}, c AS (SELECT scan_id, regr_slope(h, ix) AS b, regr_intercept(h, ix) AS a FROM l GROUP BY scan_id), t AS (SELECT scan_id, ix, 3 * (h - a - b * ix) AS h FROM l JOIN c USING (scan_id)), e AS (SELECT scan_id, lead(h) OVER (PARTITION BY scan_id ORDER BY ix) - h AS d FROM t) SELECT scan_id, round(sqrt(avg(d * d)), 6) AS rdq FROM e GROUP BY scan_id")
+def replayed_chain(spark, d):
+    """A chain of operators written down as rows, read back and run on all line scans."""
+    chain = Chain().then("uniform", "detrend", mode="height", n=N).then("uniform", "scale", heights=3.0).then("uniform", "Rdq", pixel=PIXEL)
+    return rounded(Chain.read(chain.rows(spark)).on(line_scans(spark, d)))

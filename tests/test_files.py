@@ -88,12 +88,21 @@ def test_sinks(spark):
     assert levels == {2: 12, 1: 4, 0: 1}
 
 
-def test_stream(spark, tmp_path):
-    rows = [(1, float(q), float(q * q)) for q in range(1, 30)]
-    df = spark.createDataFrame(rows, "surface_id int, q double, c double")
-    df.write.parquet(f"{tmp_path}/in")
-    s = averages.running_average(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "q", "c")
-    q = s.writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start()
-    q.awaitTermination()
-    a = sorted(map(tuple, spark.table("running").collect()))
-    assert a == sorted(map(tuple, averages.running_average(df, "q", "c").collect()))
+def test_stream_of_averages_is_the_batch_answer(spark, tmp_path):
+    import random
+
+    from rugosa.plans import container
+
+    rng = random.Random(3)
+    rows = [(s % 2, s, 10 ** rng.uniform(-1, 1.5), rng.gauss(5, 2) if rng.random() < 0.9 else None) for s in range(9) for _ in range(rng.randint(1, 40))] + [(0, 1, 0.0, 3.0), (1, 77, 1000.0, 1.0)]
+    rng.shuffle(rows)
+    schema = "surface_id int, scan_id int, q double, c double"
+    df = spark.createDataFrame(rows, schema)
+    for part in range(3):  # every scan comes in pieces
+        spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        averages.write_sums(stream, "q", "c", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got, want = (sorted(map(tuple, d.select("surface_id", "bin", "x", "y", "n").collect())) for d in (averages.read_averages(spark, f"{tmp_path}/out"), container.log_average(df, "q", "c")))
+    assert [r[:2] + r[4:] for r in got] == [r[:2] + r[4:] for r in want]
+    assert [v for r in got for v in r[2:4] if v is not None] == pytest.approx([v for r in want for v in r[2:4] if v is not None])
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) >= 3
