@@ -144,43 +144,6 @@ def cubic_spline(x: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h[k] + t * (s[k] - dx[k] * (2 * m[k] + m[k + 1]) / 6) + t**2 * m[k] / 2 + t**3 * (m[k + 1] - m[k]) / (6 * dx[k])
 
 
-def fill_harmonic(h: np.ndarray, periodic: bool = False) -> np.ndarray:
-    """Undefined pixels of a map as the harmonic function with the defined ones as boundary, by conjugate gradients."""
-    hole = ~np.isfinite(h)
-    if not hole.any() or hole.all():
-        return h
-    nx, ny = h.shape
-    f = np.where(hole, 0.0, h)
-
-    def laplace(u: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(u)
-        for axis, step in ((0, 1), (0, -1), (1, 1), (1, -1)):
-            v = np.roll(u, step, axis)
-            if not periodic:
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if step == 1 else -1
-                v[tuple(edge)] = u[tuple(edge)]
-            out += u - v
-        return out
-
-    r = np.where(hole, -laplace(f), 0.0)
-    u, p, rr = np.zeros_like(f), r.copy(), float((r * r).sum())
-    for _ in range(4 * hole.sum() + 100):
-        if rr < 1e-24 * max(1.0, float((f * f).sum())):
-            break
-        ap = np.where(hole, laplace(p), 0.0)
-        a = rr / float((p * ap).sum())
-        u += a * p
-        r -= a * ap
-        new = float((r * r).sum())
-        p, rr = r + new / rr * p, new
-    return np.where(hole, u, h)
-
-
-def interpolate_undefined_map(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS, periodic: bool = False) -> DataFrame:
-    return per_map(points, nx, ny, lambda h: {"h": fill_harmonic(h, periodic)}, "h double", keys)
-
-
 # --- regression ------------------------------------------------------------------------------------
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, written
-from . import batches
-from .geometry import EIGHT, labelled
+from . import batches, geometry
+from .geometry import EIGHT, FOUR, labelled
 from .ordered import running_sums
 
 KEYS = ("scan_id",)
@@ -123,3 +123,83 @@ def _nearest(pixels: DataFrame, along: str, n: int, line: tuple[str, ...], keys:
     values = [F.col(along).cast("int").alias("at"), F.coalesce(F.col("best.d"), F.lit(far)).alias("d"), F.coalesce(F.col("best.patch_id"), F.lit(0).cast("long")).alias("p")]
     out = batches.by_line(pixels.select(*line, *values), line, f"{along} int, d long, patch_id long", run)
     return out.select(*keys, "ix", "iy", F.when(F.col("d") < far, F.struct("d", "patch_id")).alias("best"))
+
+
+# --- holes -----------------------------------------------------------------------------------------
+
+#: Pixels up to which a map's holes are found whole, in a stack with others.
+WHOLE = 1 << 20
+
+
+def fill_harmonic(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS, periodic: bool = False, whole: int = WHOLE, tile: int = 1024) -> DataFrame:
+    """(keys, ix, iy, h): undefined heights (null or NaN) of maps as the harmonic function with the defined ones about them as boundary.
+
+    Each hole, undefined pixels that touch by their sides, is a problem of its own: its pixels and the defined ones next to it
+    come together, and holes are spread over tasks, many small ones solved at once. At a nonperiodic map's edge nothing flows
+    out. A map without any defined height stays undefined.
+    """
+    flagged = points.select(*keys, F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), F.when(~F.isnan("h"), F.col("h").cast("double")).alias("h")).withColumn("mask", F.col("h").isNull())
+    ids = geometry.patches(flagged, nx, ny, keys, periodic, FOUR) if nx * ny <= whole else patches(flagged, nx, ny, keys, periodic, FOUR, tile)
+    holes = written(ids.where("patch_id > 0").select(*keys, "ix", "iy", "patch_id"), "holes")
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in FOUR]))
+    ring = holes.select(*keys, "patch_id", "ix", "iy", near.alias("o")).select(*keys, "patch_id", (F.col("ix") + F.col("o.a")).alias("ix"), (F.col("iy") + F.col("o.b")).alias("iy"))
+    if periodic:
+        ring = ring.withColumns({"ix": F.pmod("ix", F.lit(nx)).cast("int"), "iy": F.pmod("iy", F.lit(ny)).cast("int")})
+    ring = ring.join(flagged.where("NOT mask").drop("mask"), [*keys, "ix", "iy"]).distinct()
+    rows = holes.withColumn("h", F.lit(None).cast("double")).unionByName(ring).withColumn("at", F.col("ix").cast("long") * ny + F.col("iy"))
+
+    def run(table: pa.Table, starts: np.ndarray):
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        ix, iy, h = (table.column(c).to_numpy() for c in ("ix", "iy", "h"))
+        u = solved(of, ix, iy, h, nx, ny, periodic)
+        hole = np.isnan(h)
+        yield of[hole], {"ix": ix[hole], "iy": iy[hole], "h": u[hole]}
+
+    filled = batches.by_line(rows, (*keys, "patch_id"), "ix int, iy int, h double", run).drop("patch_id").withColumnRenamed("h", "_u")
+    out = flagged.join(filled, [*keys, "ix", "iy"], "left")
+    return out.select(*keys, "ix", "iy", F.coalesce("h", F.nanvl("_u", F.lit(None).cast("double"))).alias("h"))
+
+
+def solved(of: np.ndarray, ix: np.ndarray, iy: np.ndarray, h: np.ndarray, nx: int, ny: int, periodic: bool, tol: float = 1e-13) -> np.ndarray:
+    """Harmonic heights of many holes at once: pixels (of, ix, iy) of hole number `of`, h NaN where wanted. Conjugate gradients with each hole's own step; NaN for holes without a boundary."""
+    place = (of.astype(np.int64) * nx + ix) * ny + iy
+    order = np.argsort(place)
+    place, hole, n = place[order], np.isnan(h)[order], int(of.max()) + 1 if len(of) else 0
+    g, x, y = of[order], ix[order].astype(np.int64), iy[order].astype(np.int64)
+    left, right = [], []
+    for a, b in ((1, 0), (0, 1)):
+        tx, ty = x + a, y + b
+        inside = np.ones(len(x), bool) if periodic else (tx < nx) & (ty < ny)
+        to = (g * np.int64(nx) + tx % nx) * ny + ty % ny
+        at = np.searchsorted(place, to).clip(0, len(place) - 1)
+        ok = inside & (place[at] == to) & (at != np.arange(len(at))) & (hole | hole[at])  # what binds two boundary pixels doesn't count
+        left.append(np.flatnonzero(ok))
+        right.append(at[ok])
+    i, j = np.concatenate(left), np.concatenate(right)
+
+    def laplace(v: np.ndarray) -> np.ndarray:
+        d = v[i] - v[j]
+        return np.bincount(i, d, len(v)) - np.bincount(j, d, len(v))
+
+    total = lambda v: np.bincount(g, v, n)
+    known = np.where(hole, 0.0, h[order])
+    bound = np.bincount(g[~hole], minlength=n) > 0
+    middle = np.divide(total(known), np.maximum(np.bincount(g[~hole], minlength=n), 1))
+    u = np.where(hole, middle[g], known)
+    r = np.where(hole, -laplace(u), 0.0)
+    p, rr = r.copy(), total(r * r)
+    scale = np.maximum(total(np.where(hole, 0.0, known - middle[g]) ** 2), 1e-300)
+    for _ in range(4 * int(np.bincount(g[hole], minlength=1).max(initial=0)) + 50):
+        if not (rr > tol * tol * scale).any():
+            break
+        ap = np.where(hole, laplace(p), 0.0)
+        pap = total(p * ap)
+        step = np.divide(rr, pap, out=np.zeros(n), where=pap > 0)
+        u += step[g] * p
+        r -= step[g] * ap
+        new = total(r * r)
+        p = r + np.divide(new, rr, out=np.zeros(n), where=rr > 0)[g] * p
+        rr = new
+    out = np.empty(len(h))
+    out[order] = np.where(hole & ~bound[g], np.nan, u)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import results, units
 from ..functions.algebra import cramer, normal_equations
 from ..operators import bandwidth as vb
-from ..operators import bearing, detrend, geometry, kernels, reliability, scalars, spectral, stencils, transforms
+from ..operators import bearing, detrend, geometry, kernels, reliability, scalars, spectral, stencils, tiles, transforms
 from ..sources.tables import height_map, line_scans, profiles, small_maps, table
 from . import container, models
 
@@ -701,21 +701,37 @@ def interpolate_linear_map(spark, d):
     return rounded(kernels.interpolate_map(small_maps(spark, d), 8, 8, 2))
 
 
-@query("interpolate_bicubic_map")
+# The patch is a product of cubics through four points along each axis: weights of value, slope and second derivative, on a point (f = 0) and half way.
+_CUBIC = "c(f, o, v, d, e) AS (VALUES (0, -1, 0.0::DOUBLE, -0.5::DOUBLE, 2.0::DOUBLE), (0, 0, 1, 0, -5), (0, 1, 0, 0.5, 4), (0, 2, 0, 0, -1), (1, -1, -0.0625, 0.125, 0.5), (1, 0, 0.5625, -1.375, -0.5), (1, 1, 0.5625, 1.375, -0.5), (1, 2, -0.0625, -0.125, 0.5))"
+
+
+@query("interpolate_bicubic_map", f"""WITH {M}, {_CUBIC}, a AS (SELECT scan_id, k.range AS x, iy, sum(v * h) AS p, sum(d * h) AS px, sum(e * h) AS pxx FROM range(16) k JOIN c ON c.f = k.range % 2 JOIN m ON m.ix = (k.range // 2 + o + 8) % 8 GROUP BY ALL)
+ SELECT scan_id, CAST(x AS INTEGER) AS ix, CAST(k.range AS INTEGER) AS iy, round(sum(v * p), 6) AS h, round(sum(v * px), 6) AS dx, round(sum(d * p), 6) AS dy, round(sum(v * pxx), 6) AS dxx, round(sum(d * px), 6) AS dxy, round(sum(e * p), 6) AS dyy
+ FROM range(16) k JOIN c ON c.f = k.range % 2 JOIN a ON a.iy = (k.range // 2 + o + 8) % 8 GROUP BY scan_id, x, k.range""")
 def interpolate_bicubic_map(spark, d):
     return rounded(kernels.interpolate_map(small_maps(spark, d), 8, 8, 2, "bicubic"))
 
 
-@query("interpolate_fourier_map")
+_KERNEL = lambda t: f"(1 + 2 * (cos(2 * pi() * ({t}) / 8) + cos(4 * pi() * ({t}) / 8) + cos(6 * pi() * ({t}) / 8)) + cos(pi() * ({t}))) / 8"
+
+
+@query("interpolate_fourier_map", f"""WITH {M}, a AS (SELECT scan_id, CAST(k.range AS INTEGER) AS mx, iy, sum(h * {_KERNEL('k.range / 2::DOUBLE - ix')}) AS h FROM m, range(16) k GROUP BY ALL)
+ SELECT scan_id, mx AS ix, CAST(k.range AS INTEGER) AS iy, round(sum(h * {_KERNEL('k.range / 1.5::DOUBLE - iy')}), 6) AS h FROM a, range(12) k GROUP BY scan_id, mx, k.range""")
 def interpolate_fourier_map(spark, d):
     return rounded(kernels.interpolate_fourier(small_maps(spark, d), 8, 8, 16, 12))
 
 
-@query("fill_map_harmonic")
-def fill_map_harmonic(spark, d):
-    p = small_maps(spark, d).withColumn("h", F.expr("CASE WHEN (ix * 3 + iy * 5 + scan_id) % 7 < 2 THEN NULL ELSE h END"))
-    return rounded(kernels.interpolate_undefined_map(p, 8, 8))
+_GAP = "(ix * 3 + iy * 5 + scan_id) % 7 < 2"
+
 
+# In SQL each undefined pixel becomes the mean of its neighbours, again and again: the same limit by another road.
+@query("fill_map_harmonic", f"""WITH RECURSIVE {M}, u AS (SELECT 0 AS k, scan_id, ix, iy, {_GAP} AS gap, CASE WHEN {_GAP} THEN 0 ELSE h END AS h FROM m
+ UNION ALL SELECT k + 1, scan_id, ix, iy, gap, CASE WHEN gap THEN (coalesce(lag(h) OVER x, 0) + coalesce(lead(h) OVER x, 0) + coalesce(lag(h) OVER y, 0) + coalesce(lead(h) OVER y, 0)) / (4 - CAST(ix IN (0, 7) AS INTEGER) - CAST(iy IN (0, 7) AS INTEGER)) ELSE h END FROM u WHERE k < 90
+  WINDOW x AS (PARTITION BY scan_id, iy ORDER BY ix), y AS (PARTITION BY scan_id, ix ORDER BY iy))
+ SELECT scan_id, ix, iy, round(h, 6) AS h FROM u WHERE k = 90""")
+def fill_map_harmonic(spark, d):
+    p = small_maps(spark, d).withColumn("h", F.expr(f"CASE WHEN {_GAP} THEN NULL ELSE h END"))
+    return rounded(tiles.fill_harmonic(p, 8, 8))
 
 
 _WORST = "d2 AS (SELECT a.scan_id, CAST(s AS INTEGER) AS s, min((b.h - 2 * a.h + c.h) / (s * s)) AS v FROM l a, (SELECT unnest(range(1, 32)) AS s) JOIN l b ON b.scan_id = a.scan_id AND b.ix = a.ix - s JOIN l c ON c.scan_id = a.scan_id AND c.ix = a.ix + s GROUP BY ALL), w2 AS (SELECT scan_id, s, -v - 0.5::DOUBLE / 20 AS over, lead(-v - 0.5::DOUBLE / 20) OVER (PARTITION BY scan_id ORDER BY s) AS after FROM d2), tip AS (SELECT scan_id, arg_max(2 * (s + coalesce(over / (over - after), 0)), s) AS c FROM w2 WHERE over > 0 GROUP BY scan_id), ids AS (SELECT DISTINCT scan_id FROM l)"

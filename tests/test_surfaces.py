@@ -248,13 +248,6 @@ def test_interpolation():
     assert np.allclose(kernels.cubic_spline(t, np.sin(t), at), np.sin(at), atol=1e-3)
 
 
-def test_harmonic_fill():
-    g = np.add.outer(np.arange(9.0), 2 * np.arange(7.0))
-    h = g.copy()
-    h[3:6, 2:5] = np.nan
-    assert np.allclose(kernels.fill_harmonic(h), g)
-
-
 def test_binning(spark):
     e = spectral.grid_edges("linear", 0, 4, 4)
     c = spark.createDataFrame([(x, x * x) for x in (0.5, 1.0, 1.5, 3.5, 9.0)], "x double, y double")

@@ -54,3 +54,40 @@ def test_distances_by_lines(spark):
     assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
     assert [r[3] for r in got if r[3] is not None] == pytest.approx([r[3] for r in want if r[3] is not None])
     assert tiles.patches(df.limit(0), 12, 9).count() == 0
+
+
+def filled(h, periodic):
+    """Undefined pixels by a dense solve of the whole map's equations."""
+    n, (nx, ny) = h.size, h.shape
+    a, b = np.zeros((n, n)), np.zeros(n)
+    for i in range(nx):
+        for j in range(ny):
+            k = i * ny + j
+            if not np.isnan(h[i, j]):
+                a[k, k], b[k] = 1, h[i, j]
+                continue
+            for di, dj in geometry.FOUR:
+                x, y = i + di, j + dj
+                if periodic or (0 <= x < nx and 0 <= y < ny):
+                    a[k, k] += 1
+                    a[k, (x % nx) * ny + y % ny] -= 1
+    return np.linalg.solve(a, b).reshape(h.shape)
+
+
+@pytest.mark.parametrize(("periodic", "whole"), [(False, 1 << 20), (True, 1 << 20), (False, 0), (True, 0)])
+def test_holes_are_filled_by_harmonic_functions(spark, periodic, whole):
+    rng = np.random.default_rng(4)
+    hs = {1: 1e5 + rng.normal(size=(11, 9)), 2: np.add.outer(np.arange(11.0), 2 * np.arange(9.0)), 3: rng.normal(size=(11, 9)), 4: np.full((11, 9), np.nan)}
+    hs[1][rng.uniform(size=(11, 9)) < 0.5] = np.nan
+    hs[2][3:6, 2:5] = np.nan
+    hs[1][0, :4] = np.nan
+    rows = [(k, int(i), int(j), None if np.isnan(v) and i % 2 else float(v)) for k, h in hs.items() for (i, j), v in np.ndenumerate(h)]
+    df = spark.createDataFrame(rows, "scan_id int, ix int, iy int, h double")
+    got = tiles.fill_harmonic(df, 11, 9, periodic=periodic, whole=whole, tile=4).collect()
+    assert len(got) == 4 * 99
+    out = {k: np.full((11, 9), np.nan) for k in hs}
+    for r in got:
+        out[r.scan_id][r.ix, r.iy] = np.nan if r.h is None else r.h
+    for k in (1, 2, 3):
+        assert np.allclose(out[k], filled(hs[k], periodic), atol=1e-7)
+    assert np.isnan(out[4]).all()
