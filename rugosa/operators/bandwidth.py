@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .detrend import fit, segments, subtracted
+from .guards import defined, single_valued
 
 KEYS = ("scan_id",)
 
@@ -32,25 +33,25 @@ def checkerboard_map(points: DataFrame, nx: int, ny: int, pieces: tuple[int, int
     return subtracted(p, fit(p, basis, k), basis, k).drop("_px", "_py")
 
 
-def variable_bandwidth(points: DataFrame, n: int, size: float, keys: tuple[str, ...] = KEYS, least: int = 4) -> DataFrame:
+def variable_bandwidth(points: DataFrame, n: int, size: float, keys: tuple[str, ...] = KEYS, least: int = 4, undefined: str = "skip") -> DataFrame:
     """(keys, magnification, bandwidth, rms): rms height after straight lines are removed in 1, 2, 4, ... pieces.
 
     All subdivisions are one plan: each point goes to its piece of each, whose residual is a closed form of its moments.
     """
-    p = points.withColumn("m", F.explode(F.array(*map(F.lit, subdivisions(n, least))))).withColumn("_piece", F.expr(f"ix * m div {n}"))
+    p = defined(points, undefined, keys).withColumn("m", F.explode(F.array(*map(F.lit, subdivisions(n, least))))).withColumn("_piece", F.expr(f"ix * m div {n}"))
     each = p.groupBy(*keys, "m", "_piece").agg(F.count("h").alias("c"), F.regr_syy("h", F.col("ix").cast("double")).alias("yy"), F.regr_sxy("h", F.col("ix").cast("double")).alias("xy"), F.regr_sxx("h", F.col("ix").cast("double")).alias("xx"))
     left = F.greatest(F.col("yy") - F.coalesce(F.col("xy") * F.col("xy") / F.nullif("xx", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
     return each.groupBy(*keys, "m").agg(F.sqrt(F.sum(left) / F.sum("c")).alias("rms")).select(*keys, F.col("m").alias("magnification"), (F.lit(float(size)) / F.col("m")).alias("bandwidth"), "rms")
 
 
-def variable_bandwidth_map(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = (), least: int = 4, y0: int = 0) -> DataFrame:
+def variable_bandwidth_map(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = (), least: int = 4, y0: int = 0, undefined: str = "skip") -> DataFrame:
     """(keys, magnification, bandwidth, rms): the same for maps, with planes removed in rectangles."""
     start = tuple(max(1, round(s / min(sx, sy))) for s in (sx, sy))
     steps, m = [], 1
     while min(nx // (start[0] * m), ny // (start[1] * m)) >= least or m == 1:
         steps.append(m)
         m *= 2
-    p = points.withColumn("m", F.explode(F.array(*map(F.lit, steps))))
+    p = defined(points, undefined, keys).withColumn("m", F.explode(F.array(*map(F.lit, steps))))
     p = p.withColumns({"_px": F.expr(f"ix * m * {start[0]} div {nx}"), "_py": F.expr(f"(iy - {y0}) * m * {start[1]} div {ny}")})
     basis = ["1D", f"(ix / {nx}D)", f"((iy - {y0}) / {ny}D)"]
     k = (*keys, "m", "_px", "_py")
@@ -106,14 +107,14 @@ def checkerboard_nonuniform(points: DataFrame, pieces: int, keys: tuple[str, ...
     return at.select(*keys, "piece", ix.alias("ix"), (F.col("centre") + F.col("_p.u")).alias("x"), (F.col("_p.h") - F.col("level") - F.col("tilt") * F.col("_p.u")).alias("h"))
 
 
-def variable_bandwidth_nonuniform(points: DataFrame, keys: tuple[str, ...] = KEYS, least: int = 4) -> DataFrame:
+def variable_bandwidth_nonuniform(points: DataFrame, keys: tuple[str, ...] = KEYS, least: int = 4, reentrant: str = "raise") -> DataFrame:
     """(keys, magnification, bandwidth, rms): mean over pieces of the rms height left by their straight lines, for 1, 2, 4, ... pieces
     and up to the first number at which some piece has fewer than `least` points. Scans with fewer points have no rows.
 
     All numbers of pieces are one plan; there are at most log2(points) of them.
     """
     powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("n"))).cast("int")), lambda i: F.pow(F.lit(2.0), i).cast("long"))
-    each = _trend(clipped_segments(points, powers, keys), keys)
+    each = _trend(clipped_segments(single_valued(points, reentrant, keys), powers, keys), keys)
     m = each.groupBy(*keys, "m", "size", "n").agg(F.avg("rms").alias("rms"), F.min("points").alias("_least"))
     before = F.min("_least").over(Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
     m = m.withColumn("_before", F.coalesce(before, F.col("n"))).where(F.col("_before") >= least)

@@ -1,4 +1,4 @@
-"""Cutoffs below which a measurement is not trusted, the filters that keep trusted scales, and guards against data an analysis can't take."""
+"""Cutoffs below which a measurement is not trusted, the filters that keep trusted scales."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .guards import defined, single_valued  # noqa: F401 (their old place)
 from .stencils import scale_dependent
 
 KEYS = ("scan_id",)
@@ -66,26 +67,3 @@ def reliable_bandwidth(vb: DataFrame, cutoffs: DataFrame, keys: tuple[str, ...]
 def reliable_scales(sdrp: DataFrame, cutoffs: DataFrame, order: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Of scale-dependent statistics of derivatives of this order."""
     return kept(sdrp, cutoffs, F.col("distance") > F.col("cutoff") * (order / 2), 1, keys)
-
-
-# --- guards ----------------------------------------------------------------------------------------
-
-
-def defined(points: DataFrame, undefined: str = "raise", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Points of surfaces without undefined heights: 'raise' fails the job at the first one, 'drop' leaves out the whole surface."""
-    bad = F.col("h").isNull() | F.isnan("h")
-    if undefined == "raise":
-        return points.withColumn("h", F.when(bad, F.raise_error(F.lit("UndefinedData: this analysis needs every height"))).otherwise(F.col("h")))
-    if undefined != "drop":
-        raise ValueError(f"undefined {undefined!r}: neither raise nor drop")
-    return points.withColumn("_bad", F.max(bad).over(Window.partitionBy(*keys))).where(~F.col("_bad")).drop("_bad")
-
-
-def single_valued(points: DataFrame, reentrant: str = "raise", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Points of nonuniform scans whose x grows from point to point: 'raise' fails the job where it doesn't, 'drop' leaves out the scan."""
-    back = F.coalesce(F.col("x") <= F.lag("x").over(Window.partitionBy(*keys).orderBy("ix")), F.lit(False))
-    if reentrant == "raise":
-        return points.withColumn("_back", back).withColumn("x", F.when(F.col("_back"), F.raise_error(F.lit("ReentrantData: this analysis needs a profile without overhangs"))).otherwise(F.col("x"))).drop("_back")
-    if reentrant != "drop":
-        raise ValueError(f"reentrant {reentrant!r}: neither raise nor drop")
-    return points.withColumn("_back", back).withColumn("_any", F.max("_back").over(Window.partitionBy(*keys))).where(~F.col("_any")).drop("_back", "_any")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fourier
 from .detrend import segments
+from .guards import defined, single_valued
 
 KEYS = ("scan_id",)
 
@@ -30,10 +32,10 @@ def sq(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return points.groupBy(*keys).agg(F.stddev_pop("h").alias("sq"))
 
 
-def moments_line(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def moments_line(points: DataFrame, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
     """Exact moments 1 to 4 about the mean height of the piecewise-linear uniform scan (order 1: that mean)."""
     w = Window.partitionBy(*keys).orderBy("ix")
-    s = points.select(*keys, F.col("h").alias("h0"), F.lead("h").over(w).alias("h1")).where("h1 IS NOT NULL")
+    s = defined(points, undefined, keys).select(*keys, F.col("h").alias("h0"), F.lead("h").over(w).alias("h1")).where("h0 IS NOT NULL AND h1 IS NOT NULL")
     mean = s.groupBy(*keys).agg(F.avg((F.col("h0") + F.col("h1")) / 2).alias("m"))
     s = s.join(mean, list(keys)).select(*keys, "m", (F.col("h0") - F.col("m")).alias("a"), (F.col("h1") - F.col("m")).alias("b"))
     return s.groupBy(*keys).agg(F.first("m").alias("m1"), *[F.avg(F.expr(e)).alias(f"m{k}") for k, e in _LINE.items()])
@@ -43,9 +45,13 @@ def moments_line(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 _LINE = {k: "(" + " + ".join("*".join(["a"] * i + ["b"] * (k - i)) for i in range(k + 1)) + f") / {k + 1}D" for k in (2, 3, 4)}
 
 
+# The mean of h^k over a triangle: all products of k corner heights (with repetition), of which there are (k + 1)(k + 2) / 2.
+_TRIANGLE = {k: "(" + " + ".join("*".join(p) for p in combinations_with_replacement(("h1", "h2", "h3"), k)) + f") / {(k + 1) * (k + 2) // 2}D" for k in (1, 2, 3, 4)}
+
+
 def moments_map(triangles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Exact moments 1 and 2 of the surface of triangles (h1, h2, h3 of equal areas)."""
-    return triangles.groupBy(*keys).agg(F.avg(F.expr("(h1 + h2 + h3) / 3")).alias("m1"), F.avg(F.expr("(h1*h1 + h2*h2 + h3*h3 + h1*h2 + h2*h3 + h1*h3) / 6")).alias("m2"))
+    """Exact moments 1 to 4 of the surface of triangles (h1, h2, h3 of equal areas)."""
+    return triangles.groupBy(*keys).agg(*(F.avg(F.expr(e)).alias(f"m{k}") for k, e in _TRIANGLE.items()))
 
 
 def rms(column: Column | str) -> Column:
@@ -87,10 +93,10 @@ def nonuniform(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return agg.select(*keys, mean.alias("mean"), F.sqrt(F.col("i2") / F.col("l") - mean * mean).alias("rq"), F.sqrt(F.col("g") / F.col("l")).alias("rdq"))
 
 
-def nonuniform_rddq(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def nonuniform_rddq(points: DataFrame, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
     """Rms curvature of nonuniform scans: trapezoids over the squared second differences of inner points."""
     w = Window.partitionBy(*keys).orderBy("ix")
-    p = points.select(*keys, "ix", "x", "h", *[f(c).over(w).alias(f"{c}{i}") for i, f in ((0, F.lag), (2, F.lead)) for c in ("x", "h")])
+    p = single_valued(points, reentrant, keys).select(*keys, "ix", "x", "h", *[f(c).over(w).alias(f"{c}{i}") for i, f in ((0, F.lag), (2, F.lead)) for c in ("x", "h")])
     d = p.where("x0 IS NOT NULL AND x2 IS NOT NULL").select(*keys, "ix", "x", F.expr("2 * ((h2 - h) / (x2 - x) - (h - h0) / (x - x0)) / (x2 - x0)").alias("d"))
     t = d.select(*keys, "x", "d", F.lead("x").over(w).alias("xn"), F.lead("d").over(w).alias("dn"))
     return t.groupBy(*keys).agg(F.sqrt(F.sum(F.expr("(d*d + dn*dn) / 2 * (xn - x)")) / F.nullif(F.max("x") - F.min("x"), F.lit(0.0))).alias("rddq"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fourier
-from .reliability import defined, single_valued
+from .guards import defined, single_valued
 
 KEYS = ("scan_id",)
 
@@ -63,11 +63,11 @@ def radial(values: DataFrame, nx: int, ny: int, sx: float, sy: float, edges: lis
     return bin_average(values.withColumn("_r", F.sqrt(x * x + y * y)), "_r", value, edges, keys)
 
 
-def psd_nonuniform(points: DataFrame, wavevectors_: list[float], keys: tuple[str, ...] = KEYS) -> DataFrame:
+def psd_nonuniform(points: DataFrame, wavevectors_: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
     """(keys, q, psd): the exact Fourier integral of the piecewise-linear profile, squared, by its length."""
     from .detrend import segments
 
-    s = segments(points, keys).withColumn("q", F.explode(F.array(*map(F.lit, map(float, wavevectors_)))))
+    s = segments(single_valued(points, reentrant, keys), keys).withColumn("q", F.explode(F.array(*map(F.lit, map(float, wavevectors_)))))
     z = F.expr("q * dx / 2")
     sinc = F.when(F.abs(z) < 1e-6, 1 - z * z / 6).otherwise(F.sin(z) / z)
     dsinc = F.when(F.abs(z) < 1e-3, -z / 3 + z * z * z / 30).otherwise((F.cos(z) - F.sin(z) / z) / z)
@@ -83,19 +83,19 @@ def autocorrelation(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEY
     undefined: 'raise' or 'drop' as reliability.defined says; 'skip': means over the pairs whose heights are both
     defined, null where there is none.
     """
-    c = fourier.correlation_line(_guarded(points, undefined, keys), keys, strict=undefined != "skip")
+    c = fourier.correlation_line(defined(points, undefined, keys), keys, strict=undefined != "skip")
     return c.select(*keys, "k", (F.col("k") * F.lit(float(pixel))).alias("r"), _half_mean().alias("acf"))
 
 
 def autocorrelation_periodic(points: DataFrame, pixel: float, n: int, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
     """The same for periodic scans of n points, at lags below n / 2."""
-    c = fourier.correlation_line(_guarded(points, undefined, keys), keys, True, undefined != "skip").where(F.col("k") < n // 2)
+    c = fourier.correlation_line(defined(points, undefined, keys), keys, True, undefined != "skip").where(F.col("k") < n // 2)
     return c.select(*keys, "k", (F.col("k") * F.lit(float(pixel))).alias("r"), _half_mean().alias("acf"))
 
 
 def autocorrelation_map(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS, periodic: bool = False, undefined: str = "raise") -> DataFrame:
     """(keys, a, b, acf): of maps at each lag (a, b)."""
-    c = fourier.correlation_area(_guarded(points, undefined, keys), nx, ny, keys, periodic, undefined != "skip")
+    c = fourier.correlation_area(defined(points, undefined, keys), nx, ny, keys, periodic, undefined != "skip")
     return c.select(*keys, "a", "b", _half_mean().alias("acf"))
 
 
@@ -105,10 +105,6 @@ def autocorrelation_area(points: DataFrame, nx: int, ny: int, keys: tuple[str, .
     return lag.groupBy(*keys, F.expr("a * a + b * b").alias("r2")).agg(F.count("*").alias("n"), F.avg("acf").alias("acf"))
 
 
-def _guarded(points: DataFrame, undefined: str, keys: tuple[str, ...]) -> DataFrame:
-    return points if undefined == "skip" else defined(points, undefined, keys)
-
-
 def _half_mean() -> Column:
     return F.col("s") / F.nullif(F.col("n"), F.lit(0)) / 2
 
@@ -120,9 +116,9 @@ def resampled(points: DataFrame, factor: int = 5, n: int | None = None, keys: tu
 
     points = single_valued(points, reentrant, keys)
     if n is not None:
-        return to_uniform(points, n, keys)
+        return to_uniform(points, n, keys, "skip")
     s = segments(points, keys).groupBy(*keys).agg((F.greatest(F.floor(F.sum("dx") / F.min("dx")), F.lit(1)) * factor).cast("int").alias("n"))
-    return to_uniform(points, s, keys)
+    return to_uniform(points, s, keys, "skip")
 
 
 def _spans(grid: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -146,31 +142,31 @@ def autocorrelation_grid(points: DataFrame, factor: int = 5, n: int | None = Non
     return c.select(*keys, "k", (F.col("k") * F.col("size") / m).alias("r"), _half_mean().alias("acf"))
 
 
-def autocorrelation_nonuniform(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS) -> DataFrame:
+def autocorrelation_nonuniform(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
     """(keys, r, acf): the exact height-difference integral of piecewise-linear profiles over (length - distance).
 
     A segment is matched with those that overlap it when shifted. Both sides are put into cells along x, as wide as the
     scan's longest segment, so that the overlap is an equi-join on cells.
     """
-    j = overlaps(points, distances, keys)
+    j = overlaps(points, distances, keys, reentrant)
     at = lambda x: f"(e0 + f * ({x} - y0) - h0 - g * ({x} - r - x0))"
     j = j.select(*keys, "r", "l", F.expr("hi - lo").alias("d"), F.expr(at("lo")).alias("u"), F.expr(at("hi")).alias("v"))
     return j.groupBy(*keys, "r").agg((F.sum(F.expr("d * (u*u + u*v + v*v) / 6")) / (F.max("l") - F.col("r"))).alias("acf"))
 
 
-def height_height_autocorrelation(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS) -> DataFrame:
+def height_height_autocorrelation(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
     """(keys, r, acf): the exact integral of the product of piecewise-linear profiles with themselves, shifted; not divided by a length."""
-    j = overlaps(points, distances, keys)
+    j = overlaps(points, distances, keys, reentrant)
     own, far = (lambda x: f"(h0 + g * ({x} - r - x0))"), (lambda x: f"(e0 + f * ({x} - y0))")
     j = j.select(*keys, "r", F.expr("hi - lo").alias("d"), *[F.expr(w(x)).alias(n) for n, w, x in (("a", own, "lo"), ("b", own, "hi"), ("u", far, "lo"), ("v", far, "hi"))])
     return j.groupBy(*keys, "r").agg(F.sum(F.expr("d * (2*a*u + a*v + b*u + 2*b*v) / 6")).alias("acf"))
 
 
-def overlaps(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS) -> DataFrame:
+def overlaps(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
     """Pairs of a segment shifted by r and a segment of the same scan that overlap, from lo to hi."""
     from .detrend import segments
 
-    s = segments(single_valued(points, "raise", keys), keys)
+    s = segments(single_valued(points, reentrant, keys), keys)
     span = s.groupBy(*keys).agg(F.max("dx").alias("w"), F.sum("dx").alias("l"))
     s = s.join(span, list(keys)).select(*keys, "x0", "h0", "dx", ((F.col("h1") - F.col("h0")) / F.col("dx")).alias("g"), "w", "l")
     left = s.withColumn("r", F.explode(F.array(*map(F.lit, map(float, distances))))).where("r < l").withColumn("c", F.floor((F.col("x0") + F.col("r")) / F.col("w")))

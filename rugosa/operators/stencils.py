@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .guards import defined, single_valued
+
 # Offset (dx, dy) to weight, by order and direction.
 LINE = {1: {0: -1.0, 1: 1.0}, 2: {-1: 1.0, 0: -2.0, 1: 1.0}, 3: {-1: -1.0, 0: 3.0, 1: -3.0, 2: 1.0}}
 LINE_CENTRAL = {1: {-1: -0.5, 1: 0.5}, 3: {-2: -0.5, -1: 1.0, 1: -1.0, 2: 0.5}}
@@ -83,21 +85,21 @@ def rms_laplacian(points: DataFrame, pixel: tuple[float, float], nx: int, ny: in
     return d.groupBy(*keys).agg(lap.alias("rms_laplacian"), (lap / 2).alias("rms_curvature"))
 
 
-def nonuniform_derivative(points: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+def nonuniform_derivative(points: DataFrame, keys: tuple[str, ...] = ("scan_id",), reentrant: str = "raise") -> DataFrame:
     """(keys, ix, d1, d2): differences of nonuniform scans to the next point and about the point."""
     w = Window.partitionBy(*keys).orderBy("ix")
-    p = points.select(*keys, "ix", "x", "h", *[f(c).over(w).alias(f"{c}{i}") for i, f in ((0, F.lag), (2, F.lead)) for c in ("x", "h")])
+    p = single_valued(points, reentrant, keys).select(*keys, "ix", "x", "h", *[f(c).over(w).alias(f"{c}{i}") for i, f in ((0, F.lag), (2, F.lead)) for c in ("x", "h")])
     return p.select(*keys, "ix", F.expr("(h2 - h) / (x2 - x)").alias("d1"), F.expr("2 * ((h2 - h) / (x2 - x) - (h - h0) / (x - x0)) / (x2 - x0)").alias("d2"))
 
 
-def scale_dependent(points: DataFrame, scales: list[int], pixel: float, order: int = 1, keys: tuple[str, ...] = ("scan_id",), func=None, threshold: int = 4) -> DataFrame:
+def scale_dependent(points: DataFrame, scales: list[int], pixel: float, order: int = 1, keys: tuple[str, ...] = ("scan_id",), func=None, threshold: int = 4, undefined: str = "skip") -> DataFrame:
     """(keys, distance, value): func (a Column builder; the variance if none) of derivatives at distances order * scale * pixel.
 
     The scan is an array once; each scale reads it by position, so all scales share one shuffle. Fewer than `threshold`
     derivatives at a scale give null.
     """
     func = func or (lambda d: F.var_pop(d))
-    arrays = points.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "h"))), lambda p: p["h"]).alias("a"))
+    arrays = defined(points, undefined, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "h"))), lambda p: p["h"]).alias("a"))
     s = arrays.withColumn("s", F.explode(F.array(*map(F.lit, scales)))).withColumn("n", F.size("a"))
     stencil = LINE[order]
     low, high = -min(stencil), max(stencil)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .guards import single_valued
+
 KEYS = ("scan_id",)
 
 
@@ -102,13 +104,14 @@ def radial_hann(points: DataFrame, nx: int, ny: int, sx: float, sy: float) -> Da
     return points.withColumn("h", F.col("h") * F.when(r < top, (F.lit(0.5) + F.lit(0.5) * F.cos(r * F.lit(math.pi / top))) * F.lit(norm)).otherwise(F.lit(0.0)))
 
 
-def to_uniform(points: DataFrame, n: int | DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def to_uniform(points: DataFrame, n: int | DataFrame, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
     """Nonuniform scans on n equal steps from first to last x, by straight lines between neighbours; n may be rows (keys, n).
 
     Grid positions and points are sorted together once for each scan: the last point at or before a position and the
-    first at or after it are window functions, so no range join is needed. Reentrant scans must be left out before.
+    first at or after it are window functions, so no range join is needed. reentrant: what overhangs do, as guards.single_valued says.
     """
     k = list(keys)
+    points = single_valued(points, reentrant, keys)
     ends = points.groupBy(*k).agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     ends = ends.withColumn("n", F.lit(n)) if isinstance(n, int) else ends.join(n.select(*k, "n"), k)
     grid = ends.select(*k, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ix"), "x0", "x1", "n").select(*k, "ix", (F.col("x0") + F.col("ix") * (F.col("x1") - F.col("x0")) / F.greatest(F.col("n") - 1, F.lit(1)).cast("double")).alias("g"), F.lit(None).cast("double").alias("h"))

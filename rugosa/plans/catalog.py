@@ -152,9 +152,9 @@ def derivative_nonuniform(spark, d):
 
 @query("triangle_moments_map", f"""WITH {M}, q AS (SELECT a.h AS a, b.h AS b, c.h AS c, d.h AS d, a.scan_id FROM m a JOIN m b ON b.scan_id = a.scan_id AND b.ix = a.ix + 1 AND b.iy = a.iy JOIN m c ON c.scan_id = a.scan_id AND c.ix = a.ix AND c.iy = a.iy + 1 JOIN m d ON d.scan_id = a.scan_id AND d.ix = a.ix + 1 AND d.iy = a.iy + 1),
  t AS (SELECT scan_id, a AS x, b AS y, c AS z FROM q UNION ALL SELECT scan_id, b, d, c FROM q)
- SELECT scan_id, round(avg((x + y + z) / 3), 6) AS m1, round(avg((x*x + y*y + z*z + x*y + y*z + x*z) / 6), 6) AS m2 FROM t GROUP BY scan_id""")
+ SELECT scan_id, round(avg((x + y + z) / 3), 6) AS m1, round(avg((x*x + y*y + z*z + x*y + y*z + x*z) / 6), 6) AS m2, round(avg((x**3 + y**3 + z**3 + x*x*y + x*x*z + y*y*x + y*y*z + z*z*x + z*z*y + x*y*z) / 10), 8) AS m3, round(avg((x**4 + y**4 + z**4 + x**3*y + x**3*z + y**3*x + y**3*z + z**3*x + z**3*y + x*x*y*y + y*y*z*z + x*x*z*z + x*x*y*z + x*y*y*z + x*y*z*z) / 15), 8) AS m4 FROM t GROUP BY scan_id""")
 def triangle_moments_map(spark, d):
-    return rounded(scalars.moments_map(bearing.triangles(small_maps(spark, d), ("scan_id",)), ("scan_id",)))
+    return rounded(scalars.moments_map(bearing.triangles(small_maps(spark, d), ("scan_id",)), ("scan_id",)), m3=8, m4=8)
 
 
 # --- trends ----------------------------------------------------------------------------------------
