@@ -144,17 +144,6 @@ def cubic_spline(x: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h[k] + t * (s[k] - dx[k] * (2 * m[k] + m[k + 1]) / 6) + t**2 * m[k] / 2 + t**3 * (m[k + 1] - m[k]) / (6 * dx[k])
 
 
-# --- regression ------------------------------------------------------------------------------------
-
-
-def gaussian_process(x: np.ndarray, y: np.ndarray, at: np.ndarray, length: float, amplitude: float = 1.0, noise: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance at `at` of a process with a Gaussian kernel about the samples' mean."""
-    k = lambda a, b: amplitude * np.exp(-((a[:, None] - b[None]) ** 2) / (2 * length**2))
-    c, s = k(x, x) + noise * np.eye(len(x)), k(at, x)
-    mean = y.mean() + s @ np.linalg.solve(c, y - y.mean())
-    return mean, amplitude - np.einsum("ij,ji->i", s, np.linalg.solve(c, s.T))
-
-
 # --- generation ------------------------------------------------------------------------------------
 
 

@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import scalars, spectral, stencils
+from ..functions.algebra import cramer
+from ..operators import regression, scalars, spectral, stencils
 from ..sources.tables import line_scans, profiles, small_maps
-from .catalog import L, M, N, P, PIXEL, query, rounded
+from .catalog import _psd, _psd_sql, L, M, N, P, PIXEL, query, rounded
 from .chains import Chain
 
 _AREA_EDGES = spectral.grid_edges("log", 2 * math.pi / 4, math.pi)
@@ -103,3 +104,18 @@ def replayed_chain(spark, d):
     """A chain of operators written down as rows, read back and run on all line scans."""
     chain = Chain().then("uniform", "detrend", mode="height", n=N).then("uniform", "scale", heights=3.0).then("uniform", "Rdq", pixel=PIXEL)
     return rounded(Chain.read(chain.rows(spark)).on(line_scans(spark, d)))
+
+
+_GP_EDGES, _GP_AT, _GP_NOISE = [0.05, 0.4, 1.2, 2.2, 3.2], [0.1, 0.3, 0.8, 1.5, 2.5, 3.0], 0.01
+_COV = [[f"exp(-((x{i} - x{j}) ** 2) / 2)" + (f" + {_GP_NOISE}::DOUBLE / n{i}" if i == j else "") for j in range(4)] for i in range(4)]
+_NAMED = [[f"k{i}{j}" for j in range(4)] for i in range(4)]
+_SUM = lambda parts: " + ".join(f"s{i} * {p}" for i, p in enumerate(parts))
+
+
+@query("psd_gp", f"""WITH {_psd_sql(True)}, b AS (SELECT surface_id, len(list_filter({_edges(_GP_EDGES)}, lambda e: e < q)) - 1 AS bin, q, psd FROM c WHERE q <= 3.2), g AS (SELECT surface_id, bin, ln(avg(q)) AS x, ln(avg(psd)) AS y, count(*) AS n FROM b WHERE bin >= 0 GROUP BY ALL),
+ w AS (SELECT surface_id, {', '.join(f'max({c}) FILTER (bin = {i}) AS {c}{i}' for i in range(4) for c in 'xyn')} FROM g GROUP BY surface_id), a AS (SELECT unnest({_edges(_GP_AT)}) AS pos),
+ k AS (SELECT surface_id, pos, {', '.join(f'y{i}' for i in range(4))}, {', '.join(f'{_COV[i][j]} AS k{i}{j}' for i in range(4) for j in range(4))}, {', '.join(f'exp(-((x{i} - ln(pos)) ** 2) / 2) AS s{i}' for i in range(4))} FROM w, a)
+ SELECT surface_id, pos AS x, round(exp({_SUM(cramer(_NAMED, [f'y{i}' for i in range(4)]))}), 5) AS y, round(1 - ({_SUM(cramer(_NAMED, [f's{i}' for i in range(4)]))}), 5) AS variance FROM k""")
+def psd_gp(spark, d):
+    """The spectra of all line scans of each container as a smooth power law, from the sums of four bins."""
+    return rounded(regression.gaussian_process(_psd(spark, d), "q", "psd", _GP_AT, _GP_EDGES, ("surface_id",), noise=_GP_NOISE, log=True), 5, x=12)
