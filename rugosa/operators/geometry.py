@@ -143,3 +143,53 @@ def pair_correlation(a: DataFrame, b: DataFrame, nx: int, ny: int, most: int, ke
     w = Window.partitionBy(*keys).orderBy("r2").rowsBetween(Window.unboundedPreceding, 0)
     return c.select(*keys, "r2", (F.col("s") / F.col("n")).alias("c"), F.sum(F.col("s") / F.sqrt(F.col("r2").cast("double"))).over(w).alias("integrated"))
 
+
+def _ring_counts(mark: np.ndarray, n: int) -> np.ndarray:
+    """How many marked pixels, images of the periodic maps included, each pixel has in the square of half width n about it."""
+    for axis in (1, 2):
+        size = mark.shape[axis]
+        wide = np.take(mark, np.arange(-n, size + n) % size, axis)
+        total = np.concatenate([np.zeros_like(np.take(wide, [0], axis)), np.cumsum(wide, axis)], axis)
+        mark = np.take(total, np.arange(2 * n + 1, size + 2 * n + 1), axis) - np.take(total, np.arange(size), axis)
+    return mark
+
+
+def nearest_edges(starts: np.ndarray, on: np.ndarray, to: np.ndarray, most: float) -> np.ndarray:
+    """Distances from marked starts to the nearest pixel of `to`, on stacks of periodic maps, square ring by square ring.
+
+    A start's search ends with the first ring that holds no pixel of `on`, or where no farther ring can be nearer. Zero if
+    it finds nothing nearer than most, or begins on a pixel of `to`.
+    """
+    best = np.where(to, 0.0, np.inf)
+    live, before = starts & ~to, on.astype(np.int64)
+    n = 0
+    while live.any() and n <= most + 1:
+        n += 1
+        for k in range(n + 1):
+            d = np.hypot(n, k)
+            if d >= best[live].max():
+                break
+            there = np.zeros_like(to)
+            for a, b in {(x * i, y * j) for i, j in ((n, k), (k, n)) for x in (1, -1) for y in (1, -1)}:
+                there |= np.roll(to, (a, b), (1, 2))
+            best = np.where(live & there & (d < best), d, best)
+        square = _ring_counts(on.astype(np.int64), n)
+        live &= (square > before) & (best > n)
+        before = square
+    return np.where(starts & (best < most), best, 0.0)
+
+
+def shortest_distance(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS, most: float | None = None) -> DataFrame:
+    """(keys, ix, iy, distance): from the pixels of periodic maps marked `start` to the nearest ones marked `target`, over patches marked `patch`.
+
+    See nearest_edges(); most: twice nx unless given. Pixels that are not starts have distance zero. Null marks are false.
+    """
+    flag = lambda c, v: F.coalesce(F.col(c), F.lit(False)).cast("int") * v
+    coded = points.select(*keys, "ix", "iy", (flag("start", 1) + flag("patch", 2) + flag("target", 4)).cast("double").alias("h"))
+    top = float(2 * nx if most is None else most)
+
+    def run(h: np.ndarray) -> dict[str, np.ndarray]:
+        v = np.nan_to_num(h).astype(np.int64)
+        return {"distance": nearest_edges(v & 1 > 0, v & 2 > 0, v & 4 > 0, top)}
+
+    return batches.by_stack(coded, nx, ny, run, "distance double", keys, 12)

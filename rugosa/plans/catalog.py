@@ -627,6 +627,16 @@ def distance_map(spark, d):
     return rounded(geometry.distances(geometry.threshold(small_maps(spark, d)), 8, 8).drop("closest"))
 
 
+_START, _TARGET = "(h > avg(h) OVER (PARTITION BY scan_id))", "(ix * 5 + iy * 3 + scan_id) % 13 = 0"
+
+
+@query("shortest_distance", f"WITH {M}, t AS (SELECT scan_id, ix, iy, {_START} AS s, {_TARGET} AS z FROM m), d AS (SELECT a.scan_id, a.ix, a.iy, sqrt(min(least(abs(a.ix - b.ix), 8 - abs(a.ix - b.ix)) ** 2 + least(abs(a.iy - b.iy), 8 - abs(a.iy - b.iy)) ** 2)) AS d FROM t a JOIN t b ON b.scan_id = a.scan_id AND b.z GROUP BY ALL) SELECT t.scan_id, t.ix, t.iy, round(CASE WHEN s AND d < 3 THEN d ELSE 0 END, 6) AS distance FROM t LEFT JOIN d USING (scan_id, ix, iy)")
+def shortest_distance(spark, d):
+    """From pixels above the mean to a scatter of targets less than three pixels away."""
+    p = geometry.threshold(small_maps(spark, d)).withColumnRenamed("mask", "start").withColumns({"patch": F.lit(True), "target": F.expr(_TARGET)})
+    return rounded(geometry.shortest_distance(p, 8, 8, most=3.0))
+
+
 _OFF = ", ".join(f"({a}, {b})" for a, b in geometry.offsets_within(3))
 
 

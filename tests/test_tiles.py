@@ -91,3 +91,32 @@ def test_holes_are_filled_by_harmonic_functions(spark, periodic, whole):
     for k in (1, 2, 3):
         assert np.allclose(out[k], filled(hs[k], periodic), atol=1e-7)
     assert np.isnan(out[4]).all()
+
+
+def searched(starts, on, to, most):
+    """Ring by ring from each start, pixel by pixel."""
+    nx, ny = starts.shape
+    out = np.zeros((nx, ny))
+    for i, j in np.argwhere(starts):
+        best = 0.0 if to[i, j] else np.inf
+        n = 0
+        while best > n and n <= most + 1:
+            n += 1
+            ring = [(a, b) for a in range(-n, n + 1) for b in range(-n, n + 1) if max(abs(a), abs(b)) == n]
+            best = min([best, *(np.hypot(a, b) for a, b in ring if to[(i + a) % nx, (j + b) % ny])])
+            if not any(on[(i + a) % nx, (j + b) % ny] for a, b in ring):
+                break
+        out[i, j] = best if best < most else 0.0
+    return out
+
+
+@pytest.mark.parametrize(("share", "most"), [(0.05, 22), (0.3, 22), (0.9, 3)])
+def test_shortest_distances(spark, share, most):
+    rng = np.random.default_rng(int(share * 100))
+    ms = {k: tuple(rng.uniform(size=(11, 8)) < p for p in (0.4, share, 0.04)) for k in (1, 2)} | {3: (np.ones((11, 8), bool), np.ones((11, 8), bool), np.zeros((11, 8), bool))}
+    rows = [(k, i, j, bool(s[i, j]), bool(o[i, j]) or None, bool(t[i, j])) for k, (s, o, t) in ms.items() for i in range(11) for j in range(8)]
+    df = spark.createDataFrame(rows, "scan_id int, ix int, iy int, start boolean, patch boolean, target boolean")
+    got = {(r.scan_id, r.ix, r.iy): r.distance for r in geometry.shortest_distance(df, 11, 8, most=most).collect()}
+    for k, m in ms.items():
+        want = searched(*m, most)
+        assert [got[k, i, j] for i in range(11) for j in range(8)] == pytest.approx(list(want.ravel()))
