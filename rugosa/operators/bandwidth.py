@@ -33,12 +33,16 @@ def checkerboard_map(points: DataFrame, nx: int, ny: int, pieces: tuple[int, int
     return subtracted(p, fit(p, basis, k), basis, k).drop("_px", "_py")
 
 
-def variable_bandwidth(points: DataFrame, n: int, size: float, keys: tuple[str, ...] = KEYS, least: int = 4, undefined: str = "skip") -> DataFrame:
-    """(keys, magnification, bandwidth, rms): rms height after straight lines are removed in 1, 2, 4, ... pieces.
+def variable_bandwidth(points: DataFrame, n: int, size: float, keys: tuple[str, ...] = KEYS, least: int = 4, undefined: str = "skip", func=None) -> DataFrame:
+    """(keys, magnification, bandwidth, rms): rms height after straight lines are removed in 1, 2, 4, ... pieces. func: a Column builder of another statistic of what is left, then column `value`.
 
     All subdivisions are one plan: each point goes to its piece of each, whose residual is a closed form of its moments.
     """
     p = defined(points, undefined, keys).withColumn("m", F.explode(F.array(*map(F.lit, subdivisions(n, least))))).withColumn("_piece", F.expr(f"ix * m div {n}"))
+    if func is not None:
+        basis, k = ["1D", f"(ix / {n}D)"], (*keys, "m", "_piece")
+        rest = subtracted(p, fit(p, basis, k), basis, k).groupBy(*keys, "m").agg(func(F.col("h")).alias("value"))
+        return rest.select(*keys, F.col("m").alias("magnification"), (F.lit(float(size)) / F.col("m")).alias("bandwidth"), "value")
     each = p.groupBy(*keys, "m", "_piece").agg(F.count("h").alias("c"), F.regr_syy("h", F.col("ix").cast("double")).alias("yy"), F.regr_sxy("h", F.col("ix").cast("double")).alias("xy"), F.regr_sxx("h", F.col("ix").cast("double")).alias("xx"))
     left = F.greatest(F.col("yy") - F.coalesce(F.col("xy") * F.col("xy") / F.nullif("xx", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
     return each.groupBy(*keys, "m").agg(F.sqrt(F.sum(left) / F.sum("c")).alias("rms")).select(*keys, F.col("m").alias("magnification"), (F.lit(float(size)) / F.col("m")).alias("bandwidth"), "rms")

@@ -92,6 +92,24 @@ def nonuniform_derivative(points: DataFrame, keys: tuple[str, ...] = ("scan_id",
     return p.select(*keys, "ix", F.expr("(h2 - h) / (x2 - x)").alias("d1"), F.expr("2 * ((h2 - h) / (x2 - x) - (h - h0) / (x - x0)) / (x2 - x0)").alias("d2"))
 
 
+def nonuniform_derivative_over(points: DataFrame, distance: float, order: int = 1, keys: tuple[str, ...] = ("scan_id",), reentrant: str = "raise") -> DataFrame:
+    """(keys, ix, x, d): differences of nonuniform scans over a given distance, from each of their points, divided by its power.
+
+    Heights between points are taken from the straight pieces; points whose stencil leaves the scan are dropped.
+    """
+    from .transforms import interpolated
+
+    points = single_valued(points, reentrant, keys)
+    whole = Window.partitionBy(*keys)
+    rows = points.select(*keys, "ix", F.col("x").alias("_x"), F.min("x").over(whole).alias("_a"), F.max("x").over(whole).alias("_b"))
+    stencil = LINE[order]
+    weights = F.explode(F.array(*[F.struct(F.lit(float(at)).alias("at"), F.lit(c).alias("c")) for at, c in stencil.items()])).alias("o")
+    rows = rows.where(F.col("_x") + min(0, *stencil) * F.lit(float(distance)) >= F.col("_a")).where(F.col("_x") + max(0, *stencil) * F.lit(float(distance)) <= F.col("_b"))
+    at = rows.select(*keys, "ix", "_x", weights).select(*keys, "ix", "_x", F.col("o.c").alias("_c"), (F.col("_x") + F.col("o.at") * F.lit(float(distance))).alias("x"))
+    found = interpolated(points.select(*keys, "x", "h"), at, keys)
+    return found.groupBy(*keys, "ix").agg(F.first("_x").alias("x"), (F.sum(F.col("_c") * F.col("h")) / F.lit(float(distance) ** order)).alias("d"))
+
+
 def scale_dependent(points: DataFrame, scales: list[int], pixel: float, order: int = 1, keys: tuple[str, ...] = ("scan_id",), func=None, threshold: int = 4, undefined: str = "skip") -> DataFrame:
     """(keys, distance, value): func (a Column builder; the variance if none) of derivatives at distances order * scale * pixel.
 

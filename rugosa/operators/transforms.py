@@ -114,15 +114,25 @@ def to_uniform(points: DataFrame, n: int | DataFrame, keys: tuple[str, ...] = KE
     points = single_valued(points, reentrant, keys)
     ends = points.groupBy(*k).agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     ends = ends.withColumn("n", F.lit(n)) if isinstance(n, int) else ends.join(n.select(*k, "n"), k)
-    grid = ends.select(*k, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ix"), "x0", "x1", "n").select(*k, "ix", (F.col("x0") + F.col("ix") * (F.col("x1") - F.col("x0")) / F.greatest(F.col("n") - 1, F.lit(1)).cast("double")).alias("g"), F.lit(None).cast("double").alias("h"))
-    both = points.select(*k, F.lit(None).cast("int").alias("ix"), F.col("x").alias("g"), "h").unionByName(grid)
-    order = Window.partitionBy(*k).orderBy("g", F.col("ix").asc_nulls_first())
-    back = Window.partitionBy(*k).orderBy(F.desc("g"), F.col("ix").asc_nulls_first())
-    knot = F.when(F.col("ix").isNull(), F.struct("g", "h"))
+    grid = ends.select(*k, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ix"), "x0", "x1", "n").select(*k, "ix", (F.col("x0") + F.col("ix") * (F.col("x1") - F.col("x0")) / F.greatest(F.col("n") - 1, F.lit(1)).cast("double")).alias("g"))
+    return interpolated(points, grid.select(*k, "ix", F.col("g").alias("x")), keys)
+
+
+def interpolated(points: DataFrame, at: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(at's columns, h): heights of nonuniform scans at the positions x of at's rows (keys, x, ...), by straight lines; before the first point and after the last theirs.
+
+    Positions and points are sorted together once for each scan, so no range join is needed. Scans must not be reentrant.
+    """
+    more = [c for c in at.columns if c not in (*keys, "x")]
+    asked = at.select(*keys, F.struct(*more, F.lit(1).alias("_asked")).alias("_row"), F.col("x").alias("g"), F.lit(None).cast("double").alias("h"))
+    both = points.select(*keys, F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col("x").alias("g"), "h").unionByName(asked)
+    order = Window.partitionBy(*keys).orderBy("g", F.col("_row").isNotNull())
+    back = Window.partitionBy(*keys).orderBy(F.desc("g"), F.col("_row").isNotNull())
+    knot = F.when(F.col("_row").isNull(), F.struct("g", "h"))
     both = both.withColumn("a", F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.last(knot, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     a, b = F.coalesce("a", "b"), F.coalesce("b", "a")
     line = F.when(b["g"] > a["g"], a["h"] + (b["h"] - a["h"]) * (F.col("g") - a["g"]) / F.nullif(b["g"] - a["g"], F.lit(0.0))).otherwise(a["h"])
-    return both.where("ix IS NOT NULL").select(*k, "ix", F.col("g").alias("x"), line.alias("h"))
+    return both.where("_row IS NOT NULL").select(*keys, *(F.col(f"_row.{c}").alias(c) for c in more), F.col("g").alias("x"), line.alias("h"))
 
 
 def interpolate_undefined_line(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.algebra import cramer
-from ..operators import regression, scalars, spectral, stencils
+from ..operators import bandwidth, regression, scalars, spectral, stencils
 from ..sources.tables import line_scans, profiles, small_maps
-from .catalog import _psd, _psd_sql, L, M, N, P, PIXEL, query, rounded
+from .catalog import _fit_sql, _psd, _psd_sql, L, M, N, P, PIXEL, query, rounded
 from .chains import Chain
 
 _AREA_EDGES = spectral.grid_edges("log", 2 * math.pi / 4, math.pi)
@@ -119,3 +119,20 @@ _SUM = lambda parts: " + ".join(f"s{i} * {p}" for i, p in enumerate(parts))  # n
 def psd_gp(spark, d):
     """The spectra of all line scans of each container as a smooth power law, from the sums of four bins."""
     return rounded(regression.gaussian_process(_psd(spark, d), "q", "psd", _GP_AT, _GP_EDGES, ("surface_id",), noise=_GP_NOISE, log=True), 5, x=12)
+
+
+_FIT = _fit_sql("t", ["1", "(ix / 64::DOUBLE)"], "scan_id, m, piece")
+
+
+@query("vbm_any_statistic", f"WITH {L}, t AS (SELECT scan_id, ix, h, m, ix * m // 64 AS piece FROM l, (SELECT unnest([1, 2, 4, 8, 16]) AS m)), {_FIT} SELECT scan_id, CAST(m AS INTEGER) AS magnification, 64 / m::DOUBLE AS bandwidth, round(avg(abs(h - c0 - c1 * (ix / 64::DOUBLE))), 6) AS value FROM t JOIN f USING (scan_id, m, piece) GROUP BY ALL")
+def vbm_any_statistic(spark, d):
+    """Variable bandwidth by the mean absolute deviation instead of the rms height."""
+    return rounded(bandwidth.variable_bandwidth(line_scans(spark, d), N, 64.0, func=lambda h: F.avg(F.abs(h))))
+
+
+@query("derivative_nonuniform_distance", f"""WITH {P}, e AS (SELECT scan_id, max(x) AS b FROM p GROUP BY scan_id), s AS (SELECT scan_id, ix, x, h, x + 5 AS g FROM p JOIN e USING (scan_id) WHERE x + 5 <= b),
+ a AS (SELECT s.*, p.x AS xa, p.h AS ha FROM s ASOF JOIN p ON p.scan_id = s.scan_id AND p.x <= s.g), b AS (SELECT s.scan_id, s.ix, p.x AS xb, p.h AS hb FROM s ASOF JOIN p ON p.scan_id = s.scan_id AND p.x >= s.g)
+ SELECT scan_id, ix, round(x, 6) AS x, round((CASE WHEN xb > xa THEN ha + (hb - ha) * (g - xa) / (xb - xa) ELSE ha END - h) / 5, 4) AS d FROM a JOIN b USING (scan_id, ix)""")
+def derivative_nonuniform_distance(spark, d):
+    """Slopes of nonuniform scans over five hours, from each of their points."""
+    return rounded(stencils.nonuniform_derivative_over(profiles(spark, d), 5.0), 6, d=4)

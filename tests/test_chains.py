@@ -86,3 +86,14 @@ def test_cutoffs_and_filters(spark):
     assert {r.scan_id: r.rdq for r in scalars.rdq(df, 1.0).collect()}[1] > 2 * got[1]
     low = {r.ix: r.h for r in kernels.shortcut(df, 64, 64.0, 2 * np.pi * 5 / 64).where("scan_id = 1").collect()}
     assert [low[i] for i in range(64)] == pytest.approx(list(slow), abs=1e-9)
+
+
+def test_nonuniform_derivatives_over_a_distance(spark):
+    x = np.array([0, 0.5, 2, 2.5, 4, 7.0])
+    h = np.array([1, 3, -1, 0, 5, 2.0])
+    p = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, h))], "scan_id int, ix int, x double, h double")
+    at = lambda v: np.interp(v, x, h)
+    got = {r.ix: (r.x, r.d) for r in stencils.nonuniform_derivative_over(p, 1.7).collect()}
+    assert got == {i: (pytest.approx(v), pytest.approx((at(v + 1.7) - at(v)) / 1.7)) for i, v in enumerate(x) if v + 1.7 <= 7}
+    got = {r.ix: r.d for r in stencils.nonuniform_derivative_over(p, 1.5, order=2).collect()}
+    assert got == {i: pytest.approx((at(v + 1.5) - 2 * at(v) + at(v - 1.5)) / 1.5**2) for i, v in enumerate(x) if 1.5 <= v <= 5.5}
