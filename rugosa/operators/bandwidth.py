@@ -111,7 +111,7 @@ def checkerboard_nonuniform(points: DataFrame, pieces: int, keys: tuple[str, ...
     return at.select(*keys, "piece", ix.alias("ix"), (F.col("centre") + F.col("_p.u")).alias("x"), (F.col("_p.h") - F.col("level") - F.col("tilt") * F.col("_p.u")).alias("h"))
 
 
-def variable_bandwidth_nonuniform(points: DataFrame, keys: tuple[str, ...] = KEYS, least: int = 4, reentrant: str = "raise") -> DataFrame:
+def variable_bandwidth_nonuniform(points: DataFrame, keys: tuple[str, ...] = KEYS, least: int = 4, reentrant: str = "skip") -> DataFrame:
     """(keys, magnification, bandwidth, rms): mean over pieces of the rms height left by their straight lines, for 1, 2, 4, ... pieces
     and up to the first number at which some piece has fewer than `least` points. Scans with fewer points have no rows.
 
