@@ -1,5 +1,8 @@
+import math
+from collections import Counter
+
 import corpus_pipeline as pipeline
-from rugosa.llm import common
+from rugosa.llm import common, toxicity
 
 
 def test_stages(spark, sf):
@@ -22,3 +25,38 @@ def test_whole_run_of_nothing(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def odd_documents(spark, sf):
+    """Documents with null, empty and repeated texts, null and repeated ids, and a column that stages could trip over."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = docs.orderBy("doc_id").first()
+    more = [(None, "no id at all", "en", "s", 3), (900_001, None, None, None, None), (900_002, "", "en", "s", 0), (900_003, one.text, "en", "s", 1), (900_003, one.text, "en", "s", 1), (900_004, "\n \t", "", "", 2)]
+    return docs.unionByName(spark.createDataFrame(more, docs.schema)).selectExpr("*", "concat('s', n_chars) AS score")
+
+
+def test_toxicity_stage_keeps_what_the_written_out_formula_keeps(spark, sf):
+    docs, labels = odd_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model, h = toxicity.fit(docs, labels), toxicity.hasher(17)
+
+    def score(text):
+        t = h.terms(text).tolist()
+        v = {i: model.v[i].astype(float) for i in t}
+        pairs = sum(float(v[a] @ v[b]) for k, a in enumerate(t) for b in t[k + 1 :]) if len(t) <= 60 else (float(sum(v.values()) @ sum(v.values())) - sum(float(x @ x) for x in v.values())) / 2
+        z = model.b + sum(float(model.w[i]) for i in t) + (pairs / math.sqrt(len(t)) if t else 0)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    rows = [tuple(r) for r in docs.collect()]
+    want = Counter(r for r in rows if score(r[1]) < 0.5)
+    got = pipeline.toxic_stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert len(want) < len(rows)
+    assert pipeline.toxic_stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_mixing_stage_repeats_rows_whole_and_drops_none(spark, sf):
+    docs = odd_documents(spark, sf)
+    before, after = (Counter(tuple(r) for r in d.collect()) for d in (docs, pipeline.mixing_stage(spark, docs, sf)))
+    assert set(after) == set(before)
+    assert all(before[r] * pipeline.MIX_LOW <= after[r] <= before[r] * math.ceil(pipeline.MIX_HIGH) for r in before)
