@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .detrend import fit, segments, subtracted
-from .guards import defined, single_valued
+from .guards import cutoffs_of, defined, reliable_bandwidth, single_valued
 
 KEYS = ("scan_id",)
 
@@ -33,23 +33,37 @@ def checkerboard_map(points: DataFrame, nx: int, ny: int, pieces: tuple[int, int
     return subtracted(p, fit(p, basis, k), basis, k).drop("_px", "_py")
 
 
-def variable_bandwidth(points: DataFrame, n: int, size: float, keys: tuple[str, ...] = KEYS, least: int = 4, undefined: str = "skip", func=None) -> DataFrame:
-    """(keys, magnification, bandwidth, rms): rms height after straight lines are removed in 1, 2, 4, ... pieces. func: a Column builder of another statistic of what is left, then column `value`.
+def variable_bandwidth(points: DataFrame, n: int, size: float, keys: tuple[str, ...] = KEYS, least: int = 4, undefined: str = "skip", func=None, slopes: bool = False, reliable: DataFrame | None = None) -> DataFrame:
+    """(keys, magnification, bandwidth, rms): rms height after straight lines are removed in 1, 2, 4, ... pieces.
 
+    func: a Column builder of another statistic of what is left, then column `value`. slopes: also column `slope`, the rms
+    of the lines' slopes over pieces. reliable: rows (keys, cutoff); only bandwidths over it stay then.
     All subdivisions are one plan: each point goes to its piece of each, whose residual is a closed form of its moments.
     """
     p = defined(points, undefined, keys).withColumn("m", F.explode(F.array(*map(F.lit, subdivisions(n, least))))).withColumn("_piece", F.expr(f"ix * m div {n}"))
-    if func is not None:
+    x = F.col("ix").cast("double")
+    moments = [F.count("h").alias("c"), F.regr_syy("h", x).alias("yy"), F.regr_sxy("h", x).alias("xy"), F.regr_sxx("h", x).alias("xx")]
+    each = p.groupBy(*keys, "m", "_piece").agg(*(moments[2:] if func else moments)) if func is None or slopes else None
+    tilt = F.col("xy") / F.nullif("xx", F.lit(0.0))
+    left = lambda: F.greatest(F.col("yy") - F.coalesce(F.col("xy") * tilt, F.lit(0.0)), F.lit(0.0))
+    slope = F.sqrt(F.avg(F.pow(tilt * F.lit(n / float(size)), 2))).alias("slope")
+    if func is None:
+        out = each.groupBy(*keys, "m").agg(F.sqrt(F.sum(left()) / F.sum("c")).alias("rms"), *([slope] if slopes else []))
+    else:
         basis, k = ["1D", f"(ix / {n}D)"], (*keys, "m", "_piece")
-        rest = subtracted(p, fit(p, basis, k), basis, k).groupBy(*keys, "m").agg(func(F.col("h")).alias("value"))
-        return rest.select(*keys, F.col("m").alias("magnification"), (F.lit(float(size)) / F.col("m")).alias("bandwidth"), "value")
-    each = p.groupBy(*keys, "m", "_piece").agg(F.count("h").alias("c"), F.regr_syy("h", F.col("ix").cast("double")).alias("yy"), F.regr_sxy("h", F.col("ix").cast("double")).alias("xy"), F.regr_sxx("h", F.col("ix").cast("double")).alias("xx"))
-    left = F.greatest(F.col("yy") - F.coalesce(F.col("xy") * F.col("xy") / F.nullif("xx", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    return each.groupBy(*keys, "m").agg(F.sqrt(F.sum(left) / F.sum("c")).alias("rms")).select(*keys, F.col("m").alias("magnification"), (F.lit(float(size)) / F.col("m")).alias("bandwidth"), "rms")
+        out = subtracted(p, fit(p, basis, k), basis, k).groupBy(*keys, "m").agg(func(F.col("h")).alias("value"))
+        out = out.join(each.groupBy(*keys, "m").agg(slope), [*keys, "m"]) if slopes else out
+    return _by_bandwidth(out, F.lit(float(size)), reliable, keys)
 
 
-def variable_bandwidth_map(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = (), least: int = 4, y0: int = 0, undefined: str = "skip") -> DataFrame:
-    """(keys, magnification, bandwidth, rms): the same for maps, with planes removed in rectangles."""
+def _by_bandwidth(out: DataFrame, size, reliable: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, magnification, bandwidth, the rest) of statistics by m."""
+    rest = [c for c in out.columns if c not in (*keys, "m")]
+    return reliable_bandwidth(out.select(*keys, F.col("m").alias("magnification"), (size / F.col("m")).alias("bandwidth"), *rest), reliable, keys)
+
+
+def variable_bandwidth_map(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = (), least: int = 4, y0: int = 0, undefined: str = "skip", func=None, slopes: bool = False, reliable: DataFrame | None = None) -> DataFrame:
+    """(keys, magnification, bandwidth, rms): the same for maps, with planes removed in rectangles; slopes: column `gradient`, the rms of the planes' gradients."""
     start = tuple(max(1, round(s / min(sx, sy))) for s in (sx, sy))
     steps, m = [], 1
     while min(nx // (start[0] * m), ny // (start[1] * m)) >= least or m == 1:
@@ -59,9 +73,13 @@ def variable_bandwidth_map(points: DataFrame, nx: int, ny: int, sx: float, sy: f
     p = p.withColumns({"_px": F.expr(f"ix * m * {start[0]} div {nx}"), "_py": F.expr(f"(iy - {y0}) * m * {start[1]} div {ny}")})
     basis = ["1D", f"(ix / {nx}D)", f"((iy - {y0}) / {ny}D)"]
     k = (*keys, "m", "_px", "_py")
-    r = subtracted(p, fit(p, basis, k), basis, k)
-    size = F.lit((sx / start[0] + sy / start[1]) / 2)
-    return r.groupBy(*keys, "m").agg(F.sqrt(F.avg(F.col("h") * F.col("h"))).alias("rms")).select(*keys, F.col("m").alias("magnification"), (size / F.col("m")).alias("bandwidth"), "rms")
+    planes = fit(p, basis, k)
+    what = func(F.col("h")).alias("value") if func else F.sqrt(F.avg(F.col("h") * F.col("h"))).alias("rms")
+    out = subtracted(p, planes, basis, k).groupBy(*keys, "m").agg(what)
+    if slopes:
+        steep = F.pow(F.col("c1") / F.lit(float(sx)), 2) + F.pow(F.col("c2") / F.lit(float(sy)), 2)
+        out = out.join(planes.groupBy(*keys, "m").agg(F.sqrt(F.avg(steep)).alias("gradient")), [*keys, "m"])
+    return _by_bandwidth(out, F.lit((sx / start[0] + sy / start[1]) / 2), reliable, keys)
 
 
 #: A piece's end is no point of its own where a measured one is as near as this.
@@ -111,15 +129,15 @@ def checkerboard_nonuniform(points: DataFrame, pieces: int, keys: tuple[str, ...
     return at.select(*keys, "piece", ix.alias("ix"), (F.col("centre") + F.col("_p.u")).alias("x"), (F.col("_p.h") - F.col("level") - F.col("tilt") * F.col("_p.u")).alias("h"))
 
 
-def variable_bandwidth_nonuniform(points: DataFrame, keys: tuple[str, ...] = KEYS, least: int = 4, reentrant: str = "skip") -> DataFrame:
+def variable_bandwidth_nonuniform(points: DataFrame, keys: tuple[str, ...] = KEYS, least: int = 4, reentrant: str = "skip", reliable: DataFrame | bool | None = None) -> DataFrame:
     """(keys, magnification, bandwidth, rms): mean over pieces of the rms height left by their straight lines, for 1, 2, 4, ... pieces
     and up to the first number at which some piece has fewer than `least` points. Scans with fewer points have no rows.
 
-    All numbers of pieces are one plan; there are at most log2(points) of them.
+    All numbers of pieces are one plan; there are at most log2(points) of them. reliable: as guards.cutoffs_of says.
     """
     powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("n"))).cast("int")), lambda i: F.pow(F.lit(2.0), i).cast("long"))
     each = _trend(clipped_segments(single_valued(points, reentrant, keys), powers, keys), keys)
     m = each.groupBy(*keys, "m", "size", "n").agg(F.avg("rms").alias("rms"), F.min("points").alias("_least"))
     before = F.min("_least").over(Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
     m = m.withColumn("_before", F.coalesce(before, F.col("n"))).where(F.col("_before") >= least)
-    return m.select(*keys, F.col("m").cast("int").alias("magnification"), F.col("size").alias("bandwidth"), "rms")
+    return reliable_bandwidth(m.select(*keys, F.col("m").cast("int").alias("magnification"), F.col("size").alias("bandwidth"), "rms"), cutoffs_of(points, reliable, keys), keys)

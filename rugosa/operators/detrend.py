@@ -82,8 +82,33 @@ def nonuniform_fit(points: DataFrame, degree: int, keys: tuple[str, ...] = KEYS)
     return agg.select(*keys, *[F.expr(x).alias(f"c{i}") for i, x in enumerate(cramer(m, b))])
 
 
-def detrend_nonuniform(points: DataFrame, degree: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    return subtracted(points, nonuniform_fit(points, degree, keys), ["1D", "x", "(x * x)"][: degree + 1], keys)
+NONUNIFORM_MODES = {"mean": 0, "center": 0, "median": 0, "slope": 1, "rms-tilt": 1, "height": 1, "rms-curvature": 2, "curvature": 2}
+
+
+def nonuniform_coefficients(points: DataFrame, mode: str | int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, c0, ...) of the trend in x of nonuniform scans, by mode or by the degree of a fit.
+
+    slope: the mean over the pieces of their slopes, and the mean height as c0, so what is left isn't centred unless x is.
+    median: that of the profile between its points, not of the points. Two names of a mode mean the same.
+    """
+    if isinstance(mode, int):
+        return nonuniform_fit(points, mode, keys)
+    if mode not in NONUNIFORM_MODES:
+        raise ValueError(f"mode {mode!r}: none of {', '.join(NONUNIFORM_MODES)}")
+    if mode == "median":
+        from .robust import median_mad_nonuniform
+
+        return median_mad_nonuniform(points, keys).select(*keys, F.col("median").alias("c0"))
+    if mode not in ("mean", "center", "slope"):
+        return nonuniform_fit(points, NONUNIFORM_MODES[mode], keys)
+    mean = (F.sum(F.expr("dx * (h0 + h1) / 2")) / F.sum("dx")).alias("c0")
+    return segments(points, keys).groupBy(*keys).agg(mean, *([F.avg(F.expr("(h1 - h0) / dx")).alias("c1")] if mode == "slope" else []))
+
+
+def detrend_nonuniform(points: DataFrame, degree: int | str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Nonuniform scans less their trend: a degree, or one of NONUNIFORM_MODES."""
+    top = NONUNIFORM_MODES.get(degree, 0) if isinstance(degree, str) else degree
+    return subtracted(points, nonuniform_coefficients(points, degree, keys), ["1D", "x", "(x * x)"][: top + 1], keys)
 
 
 def plane_text(c: DataFrame, digits: int = 4) -> DataFrame:

@@ -102,15 +102,31 @@ def _hermite(f0, f1, d0, d1, t):
     return a * t**3 + b * t**2 + d0 * t + f0, 3 * a * t**2 + 2 * b * t + d0, 6 * a * t + 2 * b
 
 
-def bicubic(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Value, slopes and second derivatives at pixel positions of a periodic map, from central differences on the grid.
+def spectral_slope(h: np.ndarray, axis: int) -> np.ndarray:
+    """Slopes by pixel of a periodic map along an axis; the odd Nyquist term is left out."""
+    n = h.shape[axis]
+    q = 2 * np.pi * np.fft.rfftfreq(n)
+    if n % 2 == 0:
+        q[-1] = 0
+    return np.fft.irfft(np.fft.rfft(h, axis=axis) * (1j * q).reshape([-1 if a == axis else 1 for a in range(h.ndim)]), n, axis)
+
+
+def central_slope(h: np.ndarray, axis: int) -> np.ndarray:
+    return (np.roll(h, -1, axis) - np.roll(h, 1, axis)) / 2
+
+
+SLOPES = {"fd": central_slope, "fourier": spectral_slope}
+
+
+def bicubic(h: np.ndarray, x: np.ndarray, y: np.ndarray, slopes: str = "fd") -> dict[str, np.ndarray]:
+    """Value, slopes and second derivatives at pixel positions of a periodic map, from its slopes on the grid (SLOPES).
 
     A bicubic patch is a cubic along y of cubics along x of the heights and of their slopes along y.
     """
     nx, ny = h.shape
-    hx = (np.roll(h, -1, 0) - np.roll(h, 1, 0)) / 2
-    hy = (np.roll(h, -1, 1) - np.roll(h, 1, 1)) / 2
-    hxy = (np.roll(hy, -1, 0) - np.roll(hy, 1, 0)) / 2
+    slope = SLOPES[slopes]
+    hx, hy = slope(h, 0), slope(h, 1)
+    hxy = slope(hy, 0)
     i, j = np.floor(x).astype(int), np.floor(y).astype(int)
     fx, fy = x - i, y - j
     along = lambda f, d, b: _hermite(f[i % nx, (j + b) % ny], f[(i + 1) % nx, (j + b) % ny], d[i % nx, (j + b) % ny], d[(i + 1) % nx, (j + b) % ny], fx)
@@ -119,12 +135,17 @@ def bicubic(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray
     return {"h": v[0][0], "dx": v[1][0], "dy": v[0][1], "dxx": v[2][0], "dxy": v[1][1], "dyy": v[0][2]}
 
 
-def interpolate_map(points: DataFrame, nx: int, ny: int, factor: int, kind: str = "linear", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Periodic maps on a grid `factor` times finer; kind linear or bicubic (then with derivatives by pixel)."""
+def interpolate_map(points: DataFrame, nx: int, ny: int, factor: int, kind: str = "linear", keys: tuple[str, ...] = KEYS, slopes: str = "fd") -> DataFrame:
+    """Periodic maps on a grid `factor` times finer; kind linear or bicubic (then with derivatives by pixel).
+
+    slopes: what a bicubic patch takes as the grid's slopes, central differences ("fd") or those of the Fourier series ("fourier").
+    """
+    if slopes not in SLOPES:
+        raise ValueError(f"slopes {slopes!r}: neither fd nor fourier")
     x, y = np.meshgrid(np.arange(nx * factor) / factor, np.arange(ny * factor) / factor, indexing="ij")
     if kind == "linear":
         return per_map(points, nx, ny, lambda h: {"h": bilinear_triangles(h, x, y)}, "h double", keys)
-    return per_map(points, nx, ny, lambda h: bicubic(h, x, y), "h double, dx double, dy double, dxx double, dxy double, dyy double", keys)
+    return per_map(points, nx, ny, lambda h: bicubic(h, x, y, slopes), "h double, dx double, dy double, dxx double, dxy double, dyy double", keys)
 
 
 def cubic_spline(x: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,18 +186,60 @@ def self_affine_map(nx: int, ny: int, sx: float, sy: float, hurst: float, rms_he
     return h * (rms_height / s) if s > 0 else h
 
 
-def fourier_synthesis(surfaces: DataFrame, nx: int, ny: int, sx: float, sy: float, hurst: float, short: float | None = None, long: float | None = None) -> DataFrame:
-    """(scan_id, ix, iy, h): one random surface for each row (seed, rms_height), made on the executors."""
+def spectrum_map(nx: int, ny: int, sx: float, sy: float, psd, amplitude, seed: int) -> np.ndarray:
+    """A random surface whose spectrum is psd(|q|) times the squares of random amplitudes; phases are even.
+
+    psd: of an array of wavevectors (its value at zero is that of the mean height, which may be infinite or undefined
+    and is zero then); amplitude(rng, shape), or None for exactly this spectrum. Wavevectors that are their own mirror
+    have a sign instead of a phase, and each other one has the conjugate of its mirror's, so the heights are real.
+    """
+    rng = np.random.default_rng(seed)
+    q = np.hypot(2 * np.pi * np.fft.fftfreq(nx, sx / nx)[:, None], 2 * np.pi * np.fft.rfftfreq(ny, sy / ny)[None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = np.asarray(psd(q), float)
+    c[0, 0] = c[0, 0] if np.isfinite(c[0, 0]) else 0.0
+    if not (np.isfinite(c).all() and (c >= 0).all()):
+        raise ValueError("psd: negative or not finite at a wavevector other than zero")
+    f = np.exp(2j * np.pi * rng.random(q.shape)) * (1.0 if amplitude is None else amplitude(rng, q.shape))
+    mirror = -np.arange(nx) % nx
+    for col in {0, ny // 2} if ny % 2 == 0 else {0}:
+        v = f[:, col]
+        own = mirror == np.arange(nx)
+        v = np.where(np.arange(nx) > mirror, np.conj(v[mirror]), v)
+        f[:, col] = np.where(own, np.abs(v) * np.where(v.real < 0, -1, 1), v)
+    return np.fft.irfft2(f * np.sqrt(c) * (nx * ny / math.sqrt(sx * sy)), (nx, ny))
+
+
+def fourier_synthesis(surfaces: DataFrame, nx: int, ny: int, sx: float, sy: float, hurst: float | None = None, short: float | None = None, long: float | None = None, psd=None, amplitude=None) -> DataFrame:
+    """(scan_id, ix, iy, h): one random surface for each row of surfaces, made on the executors.
+
+    Self-affine ones take a seed and an rms_height from the row. Instead of hurst and the cutoffs, psd(q, row) may give the
+    isotropic spectrum at an array of wavevectors, from the row's columns (a dict, with the seed); amplitude(rng, shape) then
+    gives the random amplitudes that are laid over it: standard normal by default, those of `exact` are one. A surface is
+    made by one task.
+    """
+    if (psd is None) == (hurst is None):
+        raise ValueError("either hurst or psd")
+    amplitude = amplitude or (lambda rng, shape: rng.normal(size=shape))
 
     def run(batches):
         i, j = np.meshgrid(np.arange(nx, dtype=np.int32), np.arange(ny, dtype=np.int32), indexing="ij")
         for b in batches:
-            for seed, rms in zip(b["seed"], b["rms_height"], strict=True):
-                h = self_affine_map(nx, ny, sx, sy, hurst, float(rms), short, long, int(seed))
-                yield pd.DataFrame({"scan_id": int(seed), "ix": i.ravel(), "iy": j.ravel(), "h": h.ravel()})
+            for row in b.to_dict("records"):
+                seed = int(row["seed"])
+                if psd is None:
+                    h = self_affine_map(nx, ny, sx, sy, hurst, float(row["rms_height"]), short, long, seed)
+                else:
+                    h = spectrum_map(nx, ny, sx, sy, lambda q, row=row: psd(q, row), amplitude, seed)
+                yield pd.DataFrame({"scan_id": seed, "ix": i.ravel(), "iy": j.ravel(), "h": h.ravel()})
 
     # Pixels are many for a row, so rows are dealt out even if they are few.
-    return surfaces.select("seed", "rms_height").repartition(surfaces.sparkSession.sparkContext.defaultParallelism, "seed").mapInPandas(run, "scan_id long, ix int, iy int, h double")
+    return surfaces.repartition(surfaces.sparkSession.sparkContext.defaultParallelism, "seed").mapInPandas(run, "scan_id long, ix int, iy int, h double")
+
+
+def exact(rng, shape):
+    """Amplitudes of one: each surface has the given spectrum itself."""
+    return 1.0
 
 
 def reliability_cutoff_sphere(h: np.ndarray, pixel: float, radius: float, safety: float = 0.5) -> float | None:

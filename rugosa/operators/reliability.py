@@ -1,13 +1,11 @@
-"""Cutoffs below which a measurement is not trusted, the filters that keep trusted scales."""
+"""Cutoffs below which a measurement is not trusted; the filters that keep trusted scales are in guards, and options of the analyses."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .guards import defined, single_valued  # noqa: F401 (their old place)
+from .guards import defined, kept, reliable_autocorrelation, reliable_bandwidth, reliable_scales, reliable_spectrum, single_valued, spacing_cutoffs  # noqa: F401 (their old place)
 from .stencils import scale_dependent
 
 KEYS = ("scan_id",)
@@ -33,37 +31,3 @@ def short_cutoffs(points: DataFrame, info: DataFrame, n: int, pixel: float, othe
     own = F.when(F.col("tip_radius").isNotNull(), F.col("cutoff")).otherwise(F.col("resolution").cast("double"))
     limit = own if other is None else F.greatest(own, F.lit(float(other)))
     return info.join(tips, list(keys), "left").select(*keys, limit.alias("cutoff"))
-
-
-def spacing_cutoffs(points: DataFrame, keys: tuple[str, ...] = KEYS, of=F.avg) -> DataFrame:
-    """(keys, cutoff) of nonuniform scans: the mean distance of neighbouring points, or another aggregate of it."""
-    x = points.select(*keys, (F.lead("x").over(Window.partitionBy(*keys).orderBy("ix")) - F.col("x")).alias("dx"))
-    return x.groupBy(*keys).agg(of("dx").alias("cutoff"))
-
-
-def kept(curve: DataFrame, cutoffs: DataFrame, trusted: Column, least: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """The rows of curve that are trusted (an expression of its columns and cutoff; all where the cutoff is null).
-
-    A scan with fewer than `least` of them has no reliable data and is left out.
-    """
-    rest = curve.join(cutoffs, list(keys), "left").where(F.col("cutoff").isNull() | trusted).drop("cutoff")
-    if least <= 1:
-        return rest
-    return rest.withColumn("_left", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_left") >= least).drop("_left")
-
-
-def reliable_spectrum(psd: DataFrame, cutoffs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    return kept(psd, cutoffs, F.col("q") < F.lit(2 * math.pi) / F.col("cutoff"), 2, keys)
-
-
-def reliable_autocorrelation(acf: DataFrame, cutoffs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    return kept(acf, cutoffs, F.col("r") > F.col("cutoff") / 2, 1, keys)
-
-
-def reliable_bandwidth(vb: DataFrame, cutoffs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    return kept(vb, cutoffs, F.col("bandwidth") > F.col("cutoff"), 1, keys)
-
-
-def reliable_scales(sdrp: DataFrame, cutoffs: DataFrame, order: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Of scale-dependent statistics of derivatives of this order."""
-    return kept(sdrp, cutoffs, F.col("distance") > F.col("cutoff") * (order / 2), 1, keys)

@@ -9,19 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fourier
-from .guards import defined, single_valued
+from .guards import cutoffs_of, defined, kept, reliable_autocorrelation, reliable_spectrum, single_valued
 
 KEYS = ("scan_id",)
 
 
-def power_spectrum(points: DataFrame, n: int, size: float, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
+def power_spectrum(points: DataFrame, n: int, size: float, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise", reliable: DataFrame | None = None) -> DataFrame:
     """(keys, k, q, psd): one-dimensional power spectra of line scans of n points, positive wavevectors up to before Nyquist's, that at zero halved.
 
-    undefined: what scans with undefined heights do, as reliability.defined says.
+    undefined: what scans with undefined heights do, as guards.defined says. reliable: rows (keys, cutoff), as
+    reliability.short_cutoffs makes them; only wavevectors below 2 pi / cutoff stay then.
     """
     power = fourier.power_line(defined(points, undefined, keys), keys, tapered)
     c = F.col("power") * F.lit(size / n / n)
-    return power.select(*keys, "k", (F.col("k") * F.lit(2 * math.pi / size)).alias("q"), F.when(F.col("k") == 0, c / 2).otherwise(c).alias("psd"))
+    psd = power.select(*keys, "k", (F.col("k") * F.lit(2 * math.pi / size)).alias("q"), F.when(F.col("k") == 0, c / 2).otherwise(c).alias("psd"))
+    return reliable_spectrum(psd, reliable, keys)
 
 
 def spectrum_area(points: DataFrame, nx: int, ny: int, sx: float, sy: float, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
@@ -31,17 +33,18 @@ def spectrum_area(points: DataFrame, nx: int, ny: int, sx: float, sy: float, key
     return b.select(*keys, "kx", "ky", q("kx", nx, sx).alias("qx"), q("ky", ny, sy).alias("qy"), (F.col("power") * F.lit(sx * sy / (nx * ny) ** 2)).alias("psd"))
 
 
-def power_spectrum_area(points: DataFrame, nx: int, ny: int, sx: float, sy: float, edges: list[float] | None = None, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise", per_decade: int = 10) -> DataFrame:
+def power_spectrum_area(points: DataFrame, nx: int, ny: int, sx: float, sy: float, edges: list[float] | None = None, tapered: bool = True, keys: tuple[str, ...] = KEYS, undefined: str = "raise", per_decade: int = 10, reliable: DataFrame | None = None) -> DataFrame:
     """(keys, bin, x, y, var, n): spectra of maps averaged over bins of the wavevector's length.
 
     tapered: times the radial Hann window. edges: of the bins; by default spaced evenly in the logarithm from the
-    smallest wavevector to Nyquist's along x.
+    smallest wavevector to Nyquist's along x. reliable: rows (keys, cutoff); wavevectors from 2 pi / cutoff on are left out.
     """
     from .transforms import radial_hann
 
     edges = edges or grid_edges("log", 2 * math.pi / min(sx, sy), math.pi * nx / sx, per_decade=per_decade)
     c = spectrum_area(radial_hann(points, nx, ny, sx, sy) if tapered else points, nx, ny, sx, sy, keys, undefined)
-    return bin_average(c.withColumn("_q", F.sqrt(F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy"))), "_q", "psd", edges, keys)
+    c = c.withColumn("_q", F.sqrt(F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy")))
+    return bin_average(kept(c, reliable, F.col("_q") < F.lit(2 * math.pi) / F.col("cutoff"), 2, keys), "_q", "psd", edges, keys)
 
 
 def psd_area(points: DataFrame, nx: int, ny: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -63,8 +66,8 @@ def radial(values: DataFrame, nx: int, ny: int, sx: float, sy: float, edges: lis
     return bin_average(values.withColumn("_r", F.sqrt(x * x + y * y)), "_r", value, edges, keys)
 
 
-def psd_nonuniform(points: DataFrame, wavevectors_: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
-    """(keys, q, psd): the exact Fourier integral of the piecewise-linear profile, squared, by its length."""
+def psd_nonuniform(points: DataFrame, wavevectors_: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise", reliable: DataFrame | bool | None = None) -> DataFrame:
+    """(keys, q, psd): the exact Fourier integral of the piecewise-linear profile, squared, by its length. reliable: as guards.cutoffs_of says."""
     from .detrend import segments
 
     s = segments(single_valued(points, reentrant, keys), keys).withColumn("q", F.explode(F.array(*map(F.lit, map(float, wavevectors_)))))
@@ -74,17 +77,17 @@ def psd_nonuniform(points: DataFrame, wavevectors_: list[float], keys: tuple[str
     s = s.select(*keys, "q", "dx", F.expr("(x0 + x1) / 2").alias("xm"), (F.col("dx") * F.expr("(h0 + h1) / 2") * sinc).alias("a"), (F.col("dx") * F.expr("(h1 - h0) / 2") * dsinc).alias("b"))
     cos, sin = F.cos(F.expr("q * xm")), F.sin(F.expr("q * xm"))
     agg = s.groupBy(*keys, "q").agg(F.sum("dx").alias("l"), F.sum(F.col("a") * cos + F.col("b") * sin).alias("re"), F.sum(F.col("b") * cos - F.col("a") * sin).alias("im"))
-    return agg.select(*keys, "q", F.expr("(re * re + im * im) / l").alias("psd"))
+    return reliable_spectrum(agg.select(*keys, "q", F.expr("(re * re + im * im) / l").alias("psd")), cutoffs_of(points, reliable, keys), keys)
 
 
-def autocorrelation(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
+def autocorrelation(points: DataFrame, pixel: float, keys: tuple[str, ...] = KEYS, undefined: str = "raise", reliable: DataFrame | None = None) -> DataFrame:
     """(keys, k, r, acf): half the mean squared height difference at each distance of nonperiodic line scans, by transforms.
 
-    undefined: 'raise' or 'drop' as reliability.defined says; 'skip': means over the pairs whose heights are both
-    defined, null where there is none.
+    undefined: 'raise' or 'drop' as guards.defined says; 'skip': means over the pairs whose heights are both
+    defined, null where there is none. reliable: rows (keys, cutoff); only distances over half of it stay then.
     """
     c = fourier.correlation_line(defined(points, undefined, keys), keys, strict=undefined != "skip")
-    return c.select(*keys, "k", (F.col("k") * F.lit(float(pixel))).alias("r"), _half_mean().alias("acf"))
+    return reliable_autocorrelation(c.select(*keys, "k", (F.col("k") * F.lit(float(pixel))).alias("r"), _half_mean().alias("acf")), reliable, keys)
 
 
 def autocorrelation_periodic(points: DataFrame, pixel: float, n: int, keys: tuple[str, ...] = KEYS, undefined: str = "raise") -> DataFrame:
@@ -105,6 +108,21 @@ def autocorrelation_area(points: DataFrame, nx: int, ny: int, keys: tuple[str, .
     return lag.groupBy(*keys, F.expr("a * a + b * b").alias("r2")).agg(F.count("*").alias("n"), F.avg("acf").alias("acf"))
 
 
+def autocorrelation_rings(points: DataFrame, nx: int, ny: int, sx: float, sy: float, width: float | None = None, keys: tuple[str, ...] = KEYS, periodic: bool = False, undefined: str = "raise", reliable: DataFrame | None = None) -> DataFrame:
+    """(keys, k, r, n, acf): of maps of sizes sx and sy, averaged over the lags whose length is nearest to r = k * width.
+
+    width: the smaller side of a pixel, unless given. Lags of periodic maps are taken the shorter way round; those
+    without a pair of defined heights don't count, and rings without lags have no row. reliable: as in autocorrelation.
+    """
+    width = width or min(sx / nx, sy / ny)
+    lag = autocorrelation_map(points, nx, ny, keys, periodic, undefined).where("acf IS NOT NULL")
+    side = lambda c, n, s: (F.least(F.col(c), n - F.col(c)) if periodic else F.col(c)) * F.lit(s / n)
+    x, y = side("a", nx, sx), side("b", ny, sy)
+    k = F.floor(F.sqrt(x * x + y * y) / F.lit(float(width)) + 0.5).cast("int")
+    each = lag.groupBy(*keys, k.alias("k")).agg(F.count("*").alias("n"), F.avg("acf").alias("acf"))
+    return reliable_autocorrelation(each.select(*keys, "k", (F.col("k") * F.lit(float(width))).alias("r"), "n", "acf"), reliable, keys)
+
+
 def _half_mean() -> Column:
     return F.col("s") / F.nullif(F.col("n"), F.lit(0)) / 2
 
@@ -126,24 +144,25 @@ def _spans(grid: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return grid.groupBy(*keys).agg((F.max("x") - F.min("x")).alias("size"))
 
 
-def power_spectrum_nonuniform(points: DataFrame, factor: int = 5, n: int | None = None, tapered: bool = True, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
-    """(keys, k, q, psd): spectra of nonuniform scans over all wavevectors of an even grid, by transforms; wavevector zero halved. See resampled()."""
+def power_spectrum_nonuniform(points: DataFrame, factor: int = 5, n: int | None = None, tapered: bool = True, keys: tuple[str, ...] = KEYS, reentrant: str = "raise", reliable: DataFrame | bool | None = None) -> DataFrame:
+    """(keys, k, q, psd): spectra of nonuniform scans over all wavevectors of an even grid, by transforms; wavevector zero halved. See resampled() and guards.cutoffs_of()."""
     grid = resampled(points, factor, n, keys, reentrant)
     c = fourier.power_line(grid, keys, tapered).join(_spans(grid, keys), list(keys))
     psd = F.col("power") * F.col("size") / F.col("n") / F.col("n")
-    return c.select(*keys, "k", (F.col("k") * F.lit(2 * math.pi) / F.col("size")).alias("q"), F.when(F.col("k") == 0, psd / 2).otherwise(psd).alias("psd"))
+    c = c.select(*keys, "k", (F.col("k") * F.lit(2 * math.pi) / F.col("size")).alias("q"), F.when(F.col("k") == 0, psd / 2).otherwise(psd).alias("psd"))
+    return reliable_spectrum(c, cutoffs_of(points, reliable, keys), keys)
 
 
-def autocorrelation_grid(points: DataFrame, factor: int = 5, n: int | None = None, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
-    """(keys, k, r, acf): of nonuniform scans at all distances of an even grid, by transforms. See resampled()."""
+def autocorrelation_grid(points: DataFrame, factor: int = 5, n: int | None = None, keys: tuple[str, ...] = KEYS, reentrant: str = "raise", reliable: DataFrame | bool | None = None) -> DataFrame:
+    """(keys, k, r, acf): of nonuniform scans at all distances of an even grid, by transforms. See resampled() and guards.cutoffs_of()."""
     grid = resampled(points, factor, n, keys, reentrant)
     c = fourier.correlation_line(grid, keys).join(_spans(grid, keys), list(keys))
     m = F.max("k").over(Window.partitionBy(*keys)) + 1
-    return c.select(*keys, "k", (F.col("k") * F.col("size") / m).alias("r"), _half_mean().alias("acf"))
+    return reliable_autocorrelation(c.select(*keys, "k", (F.col("k") * F.col("size") / m).alias("r"), _half_mean().alias("acf")), cutoffs_of(points, reliable, keys), keys)
 
 
-def autocorrelation_nonuniform(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
-    """(keys, r, acf): the exact height-difference integral of piecewise-linear profiles over (length - distance).
+def autocorrelation_nonuniform(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise", reliable: DataFrame | bool | None = None) -> DataFrame:
+    """(keys, r, acf): the exact height-difference integral of piecewise-linear profiles over (length - distance). reliable: as guards.cutoffs_of says.
 
     A segment is matched with those that overlap it when shifted. Both sides are put into cells along x, as wide as the
     scan's longest segment, so that the overlap is an equi-join on cells.
@@ -151,7 +170,8 @@ def autocorrelation_nonuniform(points: DataFrame, distances: list[float], keys:
     j = overlaps(points, distances, keys, reentrant)
     at = lambda x: f"(e0 + f * ({x} - y0) - h0 - g * ({x} - r - x0))"
     j = j.select(*keys, "r", "l", F.expr("hi - lo").alias("d"), F.expr(at("lo")).alias("u"), F.expr(at("hi")).alias("v"))
-    return j.groupBy(*keys, "r").agg((F.sum(F.expr("d * (u*u + u*v + v*v) / 6")) / (F.max("l") - F.col("r"))).alias("acf"))
+    acf = j.groupBy(*keys, "r").agg((F.sum(F.expr("d * (u*u + u*v + v*v) / 6")) / (F.max("l") - F.col("r"))).alias("acf"))
+    return reliable_autocorrelation(acf, cutoffs_of(points, reliable, keys), keys)
 
 
 def height_height_autocorrelation(points: DataFrame, distances: list[float], keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
@@ -186,10 +206,15 @@ def slope_from_area_acf(acf: DataFrame) -> DataFrame:
     return acf.where("r2 > 0").withColumn("r", r).withColumn("slope", F.sqrt(2 * F.greatest("acf", F.lit(0.0))) / r).drop("acf")
 
 
-def curvature_from_acf(acf: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Scale-dependent curvature sqrt(8 A_k - 2 A_2k) / r_k^2, up to before the first negative value."""
+def curvature_from_area_acf(acf: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, k, r, curvature): scale-dependent curvature 4 sqrt(8 A(r / 2) - 2 A(r)) / r^2 of maps from autocorrelation_rings(), up to before the first negative value."""
+    return curvature_from_acf(acf.select(*keys, "k", "r", "acf"), None, keys).withColumn("r", 2 * F.col("r"))
+
+
+def curvature_from_acf(acf: DataFrame, n: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Scale-dependent curvature sqrt(8 A_k - 2 A_2k) / r_k^2, up to before the first negative value; of n lags, or as far as they go."""
     twice = acf.select(*keys, (F.col("k") / 2).cast("int").alias("k"), F.col("acf").alias("far")).where(acf.k % 2 == 0)
-    v = acf.where((F.col("k") > 0) & (F.col("k") < (n + 1) // 2)).join(twice, [*keys, "k"]).withColumn("v", 8 * F.col("acf") - 2 * F.col("far"))
+    v = acf.where((F.col("k") > 0) & (F.lit(n is None) | (F.col("k") < ((n or 0) + 1) // 2))).join(twice, [*keys, "k"]).withColumn("v", 8 * F.col("acf") - 2 * F.col("far"))
     w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     v = v.withColumn("bad", F.sum((F.col("v") < 0).cast("int")).over(w)).where("bad = 0")
     return v.select(*keys, "k", "r", (F.sqrt("v") / (F.col("r") * F.col("r"))).alias("curvature"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .guards import defined, single_valued
+from .guards import defined, reliable_scales, single_valued
 
 # Offset (dx, dy) to weight, by order and direction.
 LINE = {1: {0: -1.0, 1: 1.0}, 2: {-1: 1.0, 0: -2.0, 1: 1.0}, 3: {-1: -1.0, 0: 3.0, 1: -3.0, 2: 1.0}}
@@ -110,11 +110,11 @@ def nonuniform_derivative_over(points: DataFrame, distance: float, order: int =
     return found.groupBy(*keys, "ix").agg(F.first("_x").alias("x"), (F.sum(F.col("_c") * F.col("h")) / F.lit(float(distance) ** order)).alias("d"))
 
 
-def scale_dependent(points: DataFrame, scales: list[int], pixel: float, order: int = 1, keys: tuple[str, ...] = ("scan_id",), func=None, threshold: int = 4, undefined: str = "skip") -> DataFrame:
+def scale_dependent(points: DataFrame, scales: list[int], pixel: float, order: int = 1, keys: tuple[str, ...] = ("scan_id",), func=None, threshold: int = 4, undefined: str = "skip", reliable: DataFrame | None = None) -> DataFrame:
     """(keys, distance, value): func (a Column builder; the variance if none) of derivatives at distances order * scale * pixel.
 
     The scan is an array once; each scale reads it by position, so all scales share one shuffle. Fewer than `threshold`
-    derivatives at a scale give null.
+    derivatives at a scale give null. reliable: rows (keys, cutoff); only distances over order / 2 of it stay then.
     """
     func = func or (lambda d: F.var_pop(d))
     arrays = defined(points, undefined, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "h"))), lambda p: p["h"]).alias("a"))
@@ -124,4 +124,5 @@ def scale_dependent(points: DataFrame, scales: list[int], pixel: float, order: i
     i = F.sequence(F.col("s") * low + 1, F.col("n") - F.col("s") * high)
     s = s.where(F.col("n") > F.col("s") * (low + high)).select(*keys, "s", F.transform(i, lambda k: sum((F.lit(c) * F.element_at("a", (k + F.col("s") * at).cast("int")) for at, c in stencil.items()), F.lit(0.0))).alias("d"))
     d = s.select(*keys, "s", F.explode("d").alias("d")).withColumn("d", F.col("d") / F.pow(F.col("s") * F.lit(float(pixel)), order))
-    return d.groupBy(*keys, "s").agg(F.when(F.count("d") >= threshold, func(F.col("d"))).alias("value")).select(*keys, (F.col("s") * F.lit(float(pixel) * order)).alias("distance"), "value")
+    value = d.groupBy(*keys, "s").agg(F.when(F.count("d") >= threshold, func(F.col("d"))).alias("value")).select(*keys, (F.col("s") * F.lit(float(pixel) * order)).alias("distance"), "value")
+    return reliable_scales(value, reliable, order, keys)

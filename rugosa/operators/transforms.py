@@ -169,6 +169,19 @@ def scan_with_sphere(points: DataFrame, radius: float, pixel: float, keys: tuple
     return out.where(F.col("ix").between(0, periodic_n - 1)) if periodic_n else out
 
 
+def scan_with_sphere_nonuniform(points: DataFrame, radius: float, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
+    """Nonuniform scans as a sphere of this radius traces them at their own points: max over -R <= dx < R of h + sqrt(R^2 - dx^2) - R.
+
+    The points within reach of one are an array of a range frame over x, so each scan is sorted once.
+    """
+    of = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)}" if keys else ""
+    out = single_valued(points, reentrant, keys).withColumn("_n", F.expr(f"collect_list(struct(x, h)) OVER ({of} ORDER BY x RANGE BETWEEN {float(radius)!r}D PRECEDING AND {float(radius)!r}D FOLLOWING)"))
+    near = F.filter("_n", lambda p: (p["x"] - F.col("x") < radius) & p["h"].isNotNull())
+    dx2 = lambda p: F.pow(p["x"] - F.col("x"), 2)
+    top = F.transform(near, lambda p: p["h"] + F.sqrt(F.greatest(F.lit(float(radius) ** 2) - dx2(p), F.lit(0.0))) - F.lit(float(radius)))
+    return out.withColumn("h", F.array_max(top)).drop("_n")
+
+
 def align_lines(points: DataFrame, ny: int, degree: int = 1, mode: str = "median", keys: tuple[str, ...] = ()) -> DataFrame:
     """Scan lines (along iy at one ix) without their own polynomial (degree 0 or 1), then brought to one centre.
 

@@ -859,4 +859,4 @@ def json_results(spark, d):
     return results.json_rows(c, ("c_custkey",))
 
 
-from . import fourier_queries, robust_queries  # noqa: E402, F401 (register their queries)
+from . import fourier_queries, robust_queries, scale_queries  # noqa: E402, F401 (register their queries)
