@@ -89,3 +89,15 @@ def to_unit(points: DataFrame, source: str, target: str, columns: tuple[str, ...
     """Heights, positions and sizes, as far as they are there, in another unit."""
     f = conversion_factor(source, target)
     return points.withColumns({c: F.col(c) * F.lit(f) for c in columns if c in points.columns})
+
+
+def curves_to_unit(curves: DataFrame, target: str, powers: dict[str, float], unit: str = "unit") -> DataFrame:
+    """Columns of curves, each row in the length unit that its column `unit` names, in one unit; that column then holds the target.
+
+    powers: of the length in each column, for instance {"q": -1, "psd": 3}. A row whose unit is unknown, null or no length fails the job.
+    """
+    if not is_length_unit(target):
+        raise UnitError(f"{target} is no length unit")
+    f = F.coalesce(factor_column(F.col(unit), target), F.raise_error(F.concat(F.lit("UnitError: no conversion of "), F.coalesce(unit, F.lit("null")), F.lit(f" to {target}"))).cast("double"))
+    c = curves.withColumn("_f", f)
+    return c.withColumns({k: F.col(k) * F.pow("_f", F.lit(float(v))) for k, v in powers.items()}).withColumn(unit, F.lit(canonical(target))).drop("_f")

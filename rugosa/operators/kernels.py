@@ -165,6 +165,31 @@ def cubic_spline(x: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h[k] + t * (s[k] - dx[k] * (2 * m[k] + m[k + 1]) / 6) + t**2 * m[k] / 2 + t**3 * (m[k + 1] - m[k]) / (6 * dx[k])
 
 
+def spline_curvatures(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Second derivatives at the points of the cubic spline through them that is one cubic over the first two pieces and one over the last two; NaN for fewer than four points."""
+    n = len(x)
+    if n < 4:
+        return np.full(n, np.nan)
+    d = np.diff(x)
+    right = 6 * np.diff(np.diff(h) / d)
+    low, mid, up = d[:-1].copy(), 2 * (d[:-1] + d[1:]), d[1:].copy()
+    # The outer curvatures continue the straight lines through the two next to them.
+    mid[0] += d[0] * (d[0] + d[1]) / d[1]
+    up[0] -= d[0] * d[0] / d[1]
+    mid[-1] += d[-1] * (d[-1] + d[-2]) / d[-2]
+    low[-1] -= d[-1] * d[-1] / d[-2]
+    for i in range(1, n - 2):
+        w = low[i] / mid[i - 1]
+        mid[i] -= w * up[i - 1]
+        right[i] -= w * right[i - 1]
+    m = np.zeros(n)
+    for i in range(n - 3, -1, -1):
+        m[i + 1] = (right[i] - up[i] * m[i + 2] * (i < n - 3)) / mid[i]
+    m[0] = m[1] + (m[1] - m[2]) * d[0] / d[1]
+    m[-1] = m[-2] + (m[-2] - m[-3]) * d[-1] / d[-2]
+    return m
+
+
 # --- generation ------------------------------------------------------------------------------------
 
 

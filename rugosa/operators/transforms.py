@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.algebra import cramer, normal_equations
 from .guards import single_valued
 
 KEYS = ("scan_id",)
@@ -135,6 +137,33 @@ def interpolated(points: DataFrame, at: DataFrame, keys: tuple[str, ...] = KEYS)
     return both.where("_row IS NOT NULL").select(*keys, *(F.col(f"_row.{c}").alias(c) for c in more), F.col("g").alias("x"), line.alias("h"))
 
 
+def interpolated_cubic(points: DataFrame, at: DataFrame, keys: tuple[str, ...] = KEYS, reentrant: str = "raise") -> DataFrame:
+    """(at's columns, h): heights of nonuniform scans at the positions x of at's rows, by cubic splines whose third derivative has no jump at the second and last but one point.
+
+    The curvatures at the points are found a scan at a time; positions then meet the points by sorting both together.
+    Positions outside the scan are null, and so are all of scans with fewer than four points or with undefined heights.
+    """
+    from . import batches, kernels
+
+    def bends(table, starts):
+        x, h = table.column("x").to_numpy(), table.column("h").to_numpy()
+        parts = list(zip(np.split(x, starts[1:]), np.split(h, starts[1:]), strict=True))
+        yield np.repeat(np.arange(len(parts)), [len(a) for a, _ in parts]), {"x": x, "h": h, "bend": np.concatenate([kernels.spline_curvatures(a, b) for a, b in parts])}
+
+    known = single_valued(points, reentrant, keys).select(*keys, "ix", F.col("x").cast("double").alias("x"), F.col("h").cast("double").alias("h"))
+    known = batches.by_line(known, keys, "x double, h double, bend double", bends, "ix")
+    more = [c for c in at.columns if c not in (*keys, "x")]
+    asked = at.select(*keys, F.struct(*more, F.lit(1).alias("_asked")).alias("_row"), F.col("x").cast("double").alias("x"), F.lit(None).cast("double").alias("h"), F.lit(None).cast("double").alias("bend"))
+    both = known.select(*keys, F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), "x", "h", "bend").unionByName(asked)
+    order = Window.partitionBy(*keys).orderBy("x", F.col("_row").isNotNull())
+    back = Window.partitionBy(*keys).orderBy(F.desc("x"), F.col("_row").isNotNull())
+    knot = F.when(F.col("_row").isNull(), F.struct("x", "h", "bend"))
+    both = both.withColumn("a", F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.last(knot, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    curve = "((b.x - x) * a.h + (x - a.x) * b.h) / (b.x - a.x) - (x - a.x) * (b.x - x) / 6 * ((1 + (b.x - x) / (b.x - a.x)) * a.bend + (1 + (x - a.x) / (b.x - a.x)) * b.bend)"
+    value = F.expr(f"CASE WHEN a.x IS NULL OR b.x IS NULL OR a.bend IS NULL OR isnan(a.bend) THEN NULL WHEN b.x > a.x THEN {curve} ELSE a.h END")
+    return both.where("_row IS NOT NULL").select(*keys, *(F.col(f"_row.{c}").alias(c) for c in more), "x", value.alias("h"))
+
+
 def interpolate_undefined_line(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Holes of line scans filled by straight lines between their ends (harmonic in one dimension); holes at an end get that end's height."""
     up = Window.partitionBy(*keys).orderBy("ix")
@@ -182,17 +211,29 @@ def scan_with_sphere_nonuniform(points: DataFrame, radius: float, keys: tuple[st
     return out.withColumn("h", F.array_max(top)).drop("_n")
 
 
-def align_lines(points: DataFrame, ny: int, degree: int = 1, mode: str = "median", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Scan lines (along iy at one ix) without their own polynomial (degree 0 or 1), then brought to one centre.
+def align_lines(points: DataFrame, ny: int, degree: int = 1, mode: str = "median", keys: tuple[str, ...] = (), direction: str = "x") -> DataFrame:
+    """Scan lines without their own polynomial, then brought to one centre.
 
+    direction: "x" for lines along iy at one ix, "y" for lines along ix at one iy; ny is the number of a line's points.
     The offsets between neighbouring lines' centres, summed from line to line and less their mean, are the
-    lines' mean centre less their own. t = iy / ny along a line; the centre is the median or the mean.
+    lines' mean centre less their own. t = iy / ny along a line; the centre is the median or the mean. A line with too
+    few defined points for the degree takes the highest one that they determine; one without any stays as it is.
     """
     if mode not in ("median", "mean"):
         raise ValueError(f"mode {mode!r}: neither median nor mean")
-    k, t = [*keys, "ix"], F.col("iy") / F.lit(float(ny))
-    fit = points.groupBy(*k).agg(*([F.regr_slope("h", t).alias("_b"), F.regr_intercept("h", t).alias("_a")] if degree else [F.lit(0.0).alias("_b"), F.avg("h").alias("_a")]))
-    out = points.join(fit, k).withColumn("h", F.col("h") - F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)) * t).drop("_a", "_b")
+    if direction not in ("x", "y"):
+        raise ValueError(f"direction {direction!r}: neither x nor y")
+    if degree < 0:
+        raise ValueError("degree: negative")
+    line, along = ("ix", "iy") if direction == "x" else ("iy", "ix")
+    k, t = [*keys, line], f"({along} / {float(ny)!r}D)"
+    powers = [" * ".join([t] * i) or "1D" for i in range(degree + 1)]
+    sums, m, b = normal_equations(powers, "h")
+    fits = [cramer([r[: d + 1] for r in m[: d + 1]], b[: d + 1]) for d in range(degree + 1)]
+    c = [f"CASE {' '.join(f'WHEN _n > {d} THEN ' + (fits[d][i] if i <= d else '0D') for d in range(degree, -1, -1))} ELSE 0D END AS _c{i}" for i in range(degree + 1)]
+    fit = points.where("h IS NOT NULL").groupBy(*k).agg(F.count("h").alias("_n"), *[F.expr(v).alias(n) for n, v in sums.items()]).selectExpr(*k, *c)
+    trend = " + ".join(f"coalesce(_c{i}, 0D) * {x}" for i, x in enumerate(powers))
+    out = points.join(fit, k, "left").withColumn("h", F.expr(f"h - ({trend})")).drop(*[f"_c{i}" for i in range(degree + 1)])
     centre = out.groupBy(*k).agg((F.expr("percentile(h, 0.5)") if mode == "median" else F.avg("h")).alias("_c"))
     mean = centre.groupBy(*keys).agg(F.avg("_c").alias("_m"))
     offset = centre.join(mean, list(keys)) if keys else centre.crossJoin(F.broadcast(mean))  # one row

@@ -63,13 +63,16 @@ def integrate_psd(psd: DataFrame, extents: DataFrame, factor: str = "1D", scan:
     return each.groupBy(*container).agg(F.sum(2 * F.col("psd") * F.expr(factor) / F.col("size") / F.col("members")).alias("integral"))
 
 
-def profile_moment(average: DataFrame, order: int, isotropic: bool = False, container: tuple[str, ...] = ("surface_id",)) -> DataFrame:
-    """Moment of an averaged spectrum by trapezoids: of C1D q^order / pi, or of Ciso = C1D pi / q times q^(order + 1) / 2 pi."""
+def profile_moment(average: DataFrame, order: int, isotropic: bool = False, container: tuple[str, ...] = ("surface_id",), cumulative: bool = False) -> DataFrame:
+    """Moment of an averaged spectrum by trapezoids: of C1D q^order / pi, or of Ciso = C1D pi / q times q^(order + 1) / 2 pi.
+
+    cumulative: (container, x, integral), its running values from the smallest wavevector on.
+    """
     from ..operators.spectral import trapezoid
 
     y = f"(y * {math.pi!r}D / x) * pow(x, {order + 1}) / {2 * math.pi!r}D" if isotropic else f"y * pow(x, {order}) / {math.pi!r}D"
     c = average.where("y IS NOT NULL").select(*container, "x", F.expr(y).alias("v"))
-    return trapezoid(c, "x", "v", container)
+    return trapezoid(c, "x", "v", container, cumulative)
 
 
 def half_derivative_variance(average: DataFrame, container: tuple[str, ...] = ("surface_id",), scale_dependent: bool = False) -> DataFrame:

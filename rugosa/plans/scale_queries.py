@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import units
 from ..operators import bandwidth, detrend, kernels, spectral, transforms
 from ..sources.tables import line_scans, profiles, small_maps, table
-from .catalog import _fit_sql, L, M, N, ORACLE_SQL, P, S, query, rounded
+from . import container
+from .catalog import _fit_sql, _log_sql, _psd, _psd_sql, L, M, N, ORACLE_SQL, P, S, query, rounded
 from .fourier_queries import _AREA_EDGES, _oblong
 
 # --- reliability as an option of the analyses ------------------------------------------------------
@@ -118,3 +121,39 @@ def rigid_sphere_nonuniform(spark, d):
 @query("detrend_mean_nonuniform", f"WITH {S}, m AS (SELECT scan_id, sum(dx * (h0 + h1) / 2) / sum(dx) AS c FROM s GROUP BY scan_id) SELECT scan_id, ix, round(h - c, 4) AS h FROM p JOIN m USING (scan_id)")
 def detrend_mean_nonuniform(spark, d):
     return rounded(detrend.detrend_nonuniform(profiles(spark, d), "mean").select("scan_id", "ix", "h"), 4)
+
+
+@query("interpolate_cubic_nonuniform")
+def interpolate_cubic_nonuniform(spark, d):
+    """Nonuniform scans by cubic splines, halfway between their points; no SQL, tests hold it against dense solutions."""
+    p = profiles(spark, d)
+    half = p.select("scan_id", "ix", ((F.col("x") + F.lead("x").over(Window.partitionBy("scan_id").orderBy("ix"))) / 2).alias("x")).where("x IS NOT NULL")
+    return transforms.interpolated_cubic(p, half)
+
+
+# --- lines of maps, containers ---------------------------------------------------------------------
+
+_COLUMN = f"{M}, {_fit_sql('m', ['1', '(ix / 8::DOUBLE)', '(ix / 8::DOUBLE) * (ix / 8::DOUBLE)'], 'scan_id, iy')}"
+
+
+@query("align_columns_map", f"""WITH {_COLUMN}, q AS (SELECT scan_id, ix, iy, h - c0 - c1 * ix / 8 - c2 * ix * ix / 64 AS h FROM m JOIN f USING (scan_id, iy)), c AS (SELECT scan_id, iy, avg(h) AS c FROM q GROUP BY ALL), o AS (SELECT *, avg(c) OVER (PARTITION BY scan_id) AS k FROM c)
+ SELECT scan_id, ix, iy, round(h + k - c, 6) AS h FROM q JOIN o USING (scan_id, iy)""")
+def align_columns_map(spark, d):
+    """Lines along the other axis, without their parabolas."""
+    return rounded(transforms.align_lines(small_maps(spark, d), 8, 2, "mean", ("scan_id",), "y").select("scan_id", "ix", "iy", "h"))
+
+
+_IN_NM = "CASE scan_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 0.1 END::DOUBLE"
+
+
+@query("container_psd_units", f"WITH {_psd_sql(True)}, n AS (SELECT surface_id, scan_id, q / {_IN_NM} AS q, psd * {_IN_NM} ** 3 AS psd FROM c), o AS (WITH {_log_sql('n', 'q', 'psd', False)}) SELECT surface_id, bin, round(x, 6) AS x, round(log10(y), 6) AS y, n FROM o")
+def container_psd_units(spark, d):
+    """Spectra of scans in three units, averaged in nanometres; means as logarithms, for they span many decades."""
+    p = _psd(spark, d).withColumn("unit", F.expr("CASE scan_id % 3 WHEN 0 THEN 'nm' WHEN 1 THEN 'µm' ELSE 'Å' END"))
+    c = container.log_average(units.curves_to_unit(p, "nm", {"q": -1, "psd": 3}), "q", "psd")
+    return rounded(c.withColumn("y", F.log10("y")))
+
+
+@query("c1d_moment_cumulative", f"WITH o AS (WITH {_psd_sql(True)}, {_log_sql('c', 'q', 'psd', False)}), t AS (SELECT surface_id, x, y * x / pi() AS v, lag(x) OVER w AS x0, lag(y * x / pi()) OVER w AS v0 FROM o WHERE y IS NOT NULL WINDOW w AS (PARTITION BY surface_id ORDER BY x)) SELECT surface_id, round(x, 6) AS x, round(sum(coalesce((x - x0) * (v + v0) / 2, 0)) OVER (PARTITION BY surface_id ORDER BY x), 6) AS integral FROM t")
+def c1d_moment_cumulative(spark, d):
+    return rounded(container.profile_moment(container.log_average(_psd(spark, d), "q", "psd"), 1, cumulative=True))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rugosa.functions import units
 from rugosa.operators import bandwidth, detrend, guards, kernels, reliability, spectral, stencils, transforms
 
 
@@ -172,3 +173,66 @@ def test_trends_of_nonuniform_scans(spark, uneven):
     assert all(left[i, j] == pytest.approx(h[j] - c["slope"][i].c0 - c["slope"][i].c1 * x[j]) for i, (x, h) in enumerate(uneven) for j in range(len(x)))
     with pytest.raises(ValueError, match="mode"):
         detrend.detrend_nonuniform(p, "none")
+
+
+def dense_spline(x, h, at):
+    """The same spline from one dense system for the coefficients of all pieces."""
+    n = len(x) - 1
+    a, b = np.zeros((4 * n, 4 * n)), np.zeros(4 * n)
+    row = 0
+    power = lambda t, k: [np.prod(np.arange(j, j - k, -1)) * t ** (j - k) if j >= k else 0.0 for j in range(4)]
+    for i in range(n):
+        for t, y in ((0.0, h[i]), (x[i + 1] - x[i], h[i + 1])):
+            a[row, 4 * i : 4 * i + 4], b[row] = power(t, 0), y
+            row += 1
+    for i in range(n - 1):
+        for k in (1, 2, 3) if i in (0, n - 2) else (1, 2):
+            a[row, 4 * i : 4 * i + 4], a[row, 4 * i + 4 : 4 * i + 8] = power(x[i + 1] - x[i], k), [-v for v in power(0.0, k)]
+            row += 1
+    c = np.linalg.solve(a[:row], b[:row]).reshape(n, 4)
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 1)
+    return (c[i] * (at - x[i])[:, None] ** np.arange(4)).sum(1)
+
+
+def test_cubic_splines_between_uneven_points(spark, uneven):
+    scans = [*uneven, ([0, 1, 2.5, 4], [1, 0, 2, 1]), ([0, 1, 2], [0, 1, 0]), ([0, 1, 2, 3, 4], [0, 1, None, 0, 1])]
+    p = spark.createDataFrame([(i, j, float(x), None if h is None else float(h)) for i, (xs, hs) in enumerate(scans) for j, (x, h) in enumerate(zip(xs, hs, strict=True))], "scan_id long, ix int, x double, h double")
+    want, asked = {}, []
+    for i, (x, h) in enumerate(scans):
+        at = np.linspace(x[0], x[-1], 57)
+        asked += [(i, j, float(v)) for j, v in enumerate(at)] + [(i, 100, float(x[0]) - 1), (i, 101, float(x[-1]) + 1)]
+        if len(x) >= 4 and None not in h:
+            want |= {(i, j): v for j, v in enumerate(dense_spline(np.array(x, float), np.array(h, float), at))}
+    got = {(r.scan_id, r.j): r.h for r in transforms.interpolated_cubic(p, spark.createDataFrame(asked, "scan_id long, j int, x double")).collect()}
+    assert len(got) == len(asked) and {k for k, v in got.items() if v is not None} == set(want)
+    assert all(got[k] == pytest.approx(v, rel=1e-6, abs=1e-6) for k, v in want.items())
+
+
+@pytest.mark.parametrize("direction", ["x", "y"])
+@pytest.mark.parametrize("degree", [0, 1, 2, 3])
+def test_lines_are_aligned_in_both_directions(spark, direction, degree):
+    h = np.random.default_rng(8).normal(size=(5, 9)) + np.arange(5)[:, None] ** 2
+    hole = {(1, y) for y in range(9) if y not in (3, 6)} | {(4, y) for y in range(9)}
+    p = spark.createDataFrame([((int(x), int(y)) if direction == "x" else (int(y), int(x))) + (None if (x, y) in hole else float(v),) for (x, y), v in np.ndenumerate(h)], "ix int, iy int, h double")
+    rest, centre = {}, {}
+    for x in range(5):
+        at = np.array([y for y in range(9) if (x, y) not in hole], float)
+        if len(at):
+            rest[x] = dict(zip(at.astype(int), h[x, at.astype(int)] - np.polyval(np.polyfit(at, h[x, at.astype(int)], min(degree, len(at) - 1)), at), strict=True))
+            centre[x] = np.median(list(rest[x].values()))
+    mean = np.mean(list(centre.values()))
+    got = {(r.ix, r.iy) if direction == "x" else (r.iy, r.ix): r.h for r in transforms.align_lines(p, 9, degree, direction=direction).collect()}
+    assert len(got) == 45 and {k for k, v in got.items() if v is None} == hole
+    assert all(got[x, y] == pytest.approx(v - centre[x] + mean, abs=1e-6) for x, of in rest.items() for y, v in of.items())
+
+
+def test_units_of_curves(spark):
+    c = spark.createDataFrame([("um", 2.0, 3.0), ("nm", 2.0, 3.0), (" Å ", 2.0, 3.0)], "unit string, q double, psd double")
+    got = sorted((r.unit, r.q, r.psd) for r in units.curves_to_unit(c, "nm", {"q": -1, "psd": 3}).collect())
+    assert [g[0] for g in got] == ["nm"] * 3
+    assert [g[1:] for g in got] == [pytest.approx(w) for w in ((0.002, 3e9), (2.0, 3.0), (20.0, 0.003))]
+    for unit in (None, "V", "parsec"):
+        with pytest.raises(Exception, match="UnitError"):
+            units.curves_to_unit(c.withColumn("unit", F.lit(unit).cast("string")), "nm", {"q": -1}).collect()
+    with pytest.raises(units.UnitError):
+        units.curves_to_unit(c, "V", {"q": -1})
