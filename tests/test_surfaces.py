@@ -287,3 +287,28 @@ def test_registry(spark):
     assert r.rq == 1
     with pytest.raises(AttributeError):
         registry.apply("map", "nothing")
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 0])
+def test_pair_correlation_broadcasts_no_pixels(spark, sf, whole):
+    from rugosa.sources.tables import small_maps
+
+    m = small_maps(spark, sf)
+    assert "Broadcast" not in geometry.pair_correlation(m, m, 8, 8, 3, whole=whole)._jdf.queryExecution().executedPlan().toString()
+    rng = np.random.default_rng(8)
+    a, b = ([(k, i, j, None if rng.uniform() < 0.2 else float(rng.normal())) for k in (1, 2, None) for i in range(5) for j in range(7) if rng.uniform() < 0.8] for _ in "ab")
+    a, b = ([*x, *extra] for x, extra in ((a, [(3, 0, 0, 1.0), (4, 0, 0, 1.0), (5, 0, 0, 1.0)]), (b, [(3, 0, 1, None), (4, 3, 3, 1.0)])))
+    want: dict = {}
+    for k, i, j, h in a:
+        for k2, x, y, g in b:
+            for o in geometry.offsets_within(2):
+                if k is not None and k == k2 and ((i + o[0]) % 5, (j + o[1]) % 7) == (x, y):
+                    s, n = want.get((k, o[0] ** 2 + o[1] ** 2), (None, 0))
+                    want[k, o[0] ** 2 + o[1] ** 2] = (s if h is None or g is None else (s or 0.0) + h * g), n + 1
+    got = geometry.pair_correlation(*(spark.createDataFrame(x, "scan_id int, ix int, iy int, h double") for x in (a, b)), 5, 7, 2, whole=whole).collect()
+    assert {(r.scan_id, r.r2) for r in got} == set(want)
+    for r in got:
+        s, n = want[r.scan_id, r.r2]
+        assert r.c == (None if s is None else pytest.approx(s / n))
+        upto = [v[0] / np.sqrt(k[1]) for k, v in want.items() if k[0] == r.scan_id and k[1] <= r.r2 and v[0] is not None]
+        assert r.integrated == (pytest.approx(sum(upto)) if upto else None)
