@@ -120,3 +120,19 @@ def test_shortest_distances(spark, share, most):
     for k, m in ms.items():
         want = searched(*m, most)
         assert [got[k, i, j] for i in range(11) for j in range(8)] == pytest.approx(list(want.ravel()))
+
+
+@pytest.mark.parametrize(("whole", "joins"), [(1 << 20, 0), (0, 2)])
+def test_holes_meet_no_broadcast(spark, tmp_path, whole, joins):
+    """The table of holes, small in its file, was broadcast, and one task held the rings of all maps that it read."""
+    rows = [(k, i, j, None if (3 * i + 5 * j + k) % 7 < 2 else float(i * j)) for k in range(20) for i in range(8) for j in range(8) if k or (i, j) != (4, 4)]
+    spark.createDataFrame(rows, "scan_id long, ix int, iy int, h double").write.parquet(f"{tmp_path}/maps")
+    out = tiles.fill_harmonic(spark.read.parquet(f"{tmp_path}/maps"), 8, 8, whole=whole, tile=4)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.count("SortMergeJoin") == joins
+    got = {(r.scan_id, r.ix, r.iy): r.h for r in out.collect()}
+    assert set(got) == {r[:3] for r in rows}
+    for k in range(1, 20):
+        h = np.array([np.nan if v is None else v for s, _, _, v in rows if s == k]).reshape(8, 8)
+        assert np.allclose([got[k, i, j] for i in range(8) for j in range(8)], filled(h, False).ravel(), atol=1e-7)
