@@ -191,7 +191,8 @@ def candidates(rows: DataFrame, least: float, large: bool = False, nearest: bool
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: int, least: float, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of sets whose Jaccard similarity is `least` or more, from the whole sets; pairs that their sketches rule out are left out before.
 
-    sets: as distinct_sets has them. The whole sets are made again from the texts, of those documents alone that have a pair left.
+    sets: as distinct_sets has them. The whole sets are made again where a pair's texts meet, as a text takes a fraction of
+    its set's room; texts of documents without a pair stay where they are.
     """
     slim = sets.select("sid", "n", "sketch")
     sides = pairs.join(slim.toDF("a", "na", "ka"), "a").join(slim.toDF("b", "nb", "kb"), "b")
@@ -205,30 +206,33 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: i
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     pairs = common.written(sides.mapInArrow(near, "a long, b long").distinct(), "pairs")
+    common.collected(sets.sparkSession)
     nodes = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    texts = sets.join(nodes, "sid", "left_semi").select("th")
+    named = sets.join(nodes, "sid", "left_semi").select("sid", "th")
     top = F.shiftrightunsigned("th", 64 - FILTER).cast("int")
-    bits = np.zeros(1 << FILTER, bool)
-    bits[texts.select(top.alias("p")).distinct().toArrow().column("p").to_numpy()] = True
-    held = sets.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    bits = np.zeros(1 << (FILTER - 3), np.uint8)
+    for c in named.select(top.alias("p")).distinct().toArrow().column("p").chunks:
+        np.bitwise_or.at(bits, c.to_numpy() >> 3, (128 >> (c.to_numpy() & 7)).astype(np.uint8))
+    held = sets.sparkSession.sparkContext.broadcast(bits)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in common.pieces(batches):
             at = (b.column("th").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64)
             b = b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
-            got = [shingle_set(t.as_py(), shingle_words).tobytes() for h, t in zip(b.column("th").to_pylist(), b.column("text")) if h not in seen and not seen.add(h)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(s) for s in got], np.uint64).view(np.int64)), pa.array(got, pa.binary())], names=["sid", "shingles"])
+            yield b.filter(pa.array([h not in seen and not seen.add(h) for h in b.column("th").to_pylist()], pa.bool_()))
 
-    some = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(paired, "sid long, shingles binary")
-    known = common.written(some.join(nodes, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("s")), "pair-sets")
-    both = pairs.join(known.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
+    some = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(paired, "th long, text string")
+    known = common.written(some.join(named, "th").groupBy("th", "sid").agg(F.first("text").alias("text")).drop("th"), "pair-texts")
+    common.collected(sets.sparkSession)
+    both = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = RecentSets(shingle_words)
         for b in common.pieces(batches):
             ok = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i, j, x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("x"), b.column("y"), strict=True):
+                x, y = made.of(i, x), made.of(j, y)
                 both = np.sort(np.concatenate([x, y]))
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
@@ -237,9 +241,26 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: i
     out = common.written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
     common.dropped(known)
     common.dropped(pairs)
+    common.collected(sets.sparkSession)
     return out
 
 
+class RecentSets:
+    """Shingle sets by their sid, made once as long as no more than `most` shingles are held."""
+
+    def __init__(self, shingle_words: int, most: int = 1 << 21):
+        self.shingle_words, self.most, self.held, self.known = shingle_words, most, 0, {}
+
+    def of(self, sid: int, text: pa.Scalar) -> np.ndarray:
+        if sid not in self.known:
+            s = shingle_set(text.as_py(), self.shingle_words)
+            if self.held + len(s) > self.most:
+                self.held, self.known = 0, {}
+            self.held += len(s)
+            self.known[sid] = s
+        return self.known[sid]
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row with an id: the smallest doc_id reachable by links of Jaccard similarity `least` or more.
 
@@ -252,8 +273,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, least: float = 0.8,
     """
     sets = common.written(shingle_sets(docs, shingle_words, least, id_col, text_col), "shingle-sets")
     rows = common.written(prefixes(sets).repartition("token").mapInArrow(shared_tokens, "token long, sid long, n int, pos int, size int"), "prefixes")
-    sets.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes files of a shuffle when the driver has collected what names it
+    common.collected(docs.sparkSession)
     each = common.written(distinct_sets(sets), "distinct-sets")
+    of_rows = common.written(sets.select("doc_id", "sid"), "set-names")
+    common.dropped(sets)  # with the prefixes, the largest table here
+    common.collected(docs.sparkSession)
     proposed = candidates(rows.select("token", "sid", "n", "pos", F.col("sid").alias("grp")), least).unionByName(trie_pairs(each))
     links = similar(proposed, each, docs, shingle_words, least, text_col)
     comp = common.written(common.components(links), "components")
@@ -267,14 +291,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, least: float = 0.8,
                 links = links.unionAll(more)
                 comp = common.written(common.components(links), "components")
         common.dropped(many)
-    total = sets.count()
+    total = of_rows.count()
     known = each.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "m", "low", F.coalesce("component", "sid").alias("component"))
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     known = common.written(known.join(lowest, "component").select("sid", "component_id", (F.col("m") > total * common.HOT_SHARE).alias("hot")), "named-sets")
-    out = common.written(common.left_joined(sets.select("doc_id", "sid"), known, ["sid"], "hot").select("doc_id", "component_id"), "near-duplicates")
-    for t in (sets, each, rows):
+    out = common.written(common.left_joined(of_rows, known, ["sid"], "hot").select("doc_id", "component_id"), "near-duplicates")
+    for t in (of_rows, each, rows):
         common.dropped(t)
-    sets.sparkSession.sparkContext._jvm.System.gc()
+    common.collected(docs.sparkSession)
     return out
 
 

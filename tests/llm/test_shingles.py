@@ -1,11 +1,12 @@
 import itertools
+import os
 import random
 
 import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from rugosa.llm import shingles
+from rugosa.llm import common, shingles
 
 
 def brute_sets(texts, k=5):
@@ -86,3 +87,37 @@ def test_prefix_keeps_a_shared_shingle():
         assert j < 0.8 or len(np.intersect1d(p, q))
         differing = np.bitwise_count(np.frombuffer(shingles.sketch(a), np.uint64) ^ np.frombuffer(shingles.sketch(b), np.uint64)).sum()
         assert differing <= len(np.setxor1d(a, b))
+
+
+def test_pairs_meet_with_their_texts_and_not_with_whole_sets(spark, monkeypatch):
+    """The tables of a run: nothing of eight bytes a shingle while pairs are confirmed, and no sets by then."""
+    rng, words, were = random.Random(5), ["word%d" % i for i in range(200)], []
+    texts = []
+    for _ in range(60):
+        t = [rng.choice(words) for _ in range(2000)]
+        texts += [" ".join(t), " ".join([*t[:-10], "x"])]
+    keep = common.written
+
+    def written(df, name):
+        out = keep(df, name)
+        were.append((name, out._rugosa_path.removeprefix("file://")))
+        if name in ("pair-texts", "pair-sets", "similar"):
+            sizes = {n: sum(os.path.getsize(os.path.join(p, f)) for f in os.listdir(p)) for n, p in were if os.path.exists(p)}
+            assert "shingle-sets" not in sizes
+            assert max(sizes.values()) < 5 * 2000 * len(texts)
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()}
+    assert "similar" in dict(were)
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_recent_sets_are_made_again_when_too_many():
+    import pyarrow as pa
+
+    made = shingles.RecentSets(2, most=5)
+    for _ in range(2):
+        for i, t in enumerate(("a b c d", "e f g", "h i j k l m n o", "p")):
+            assert made.of(i, pa.scalar(t)).tolist() == shingles.shingle_set(t, 2).tolist()
