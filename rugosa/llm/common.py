@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,20 @@ def collected(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def made_by_task(rows: DataFrame, make: Callable[[pa.Table], object]) -> object | None:
+    """make(table) of all rows, which lie in one partition and whose number the caller bounds, in their order; None if there are none.
+
+    One task makes it, so that the driver holds what is made and not the rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(pa.Table.from_batches(held)), 5)], pa.binary())], names=["made"])
+
+    got = rows.coalesce(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(got[0].made) if got else None
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -148,10 +148,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], domai
         for b in common.pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), b.column("domain"), pa.array([h.terms(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "domain", "terms"])
 
-    got = train.mapInArrow(terms, "id long, domain string, terms binary").dropDuplicates(["id", "terms"]).orderBy(F.xxhash64("id"), F.col("id"), F.crc32("terms")).limit(max_rows).toArrow()
-    rows = term_rows(got.column("terms"))
-    y = np.array([domains.index(d) for d in got.column("domain").to_pylist()], np.int64)
-    return crossfit(rows, y, got.column("id").to_pylist(), bits, len(domains))
+    got = train.mapInArrow(terms, "id long, domain string, terms binary").dropDuplicates(["id", "terms"]).orderBy(F.xxhash64("id"), F.col("id"), F.crc32("terms")).limit(max_rows)
+
+    def make(table: pa.Table) -> Softmax:
+        y = np.array([domains.index(d) for d in table.column("domain").to_pylist()], np.int64)
+        return crossfit(term_rows(table.column("terms")), y, table.column("id").to_pylist(), bits, len(domains))
+
+    return common.made_by_task(got, make) or crossfit([], np.empty(0, np.int64), [], bits, len(domains))
 
 
 def crossfit(rows: list[np.ndarray], y: np.ndarray, ids: list[int], bits: int, classes: int, folds: int = 3) -> Softmax:

@@ -137,8 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in common.pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), b.column("y"), pa.array([h.terms(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "y", "terms"])
 
-    got = train.mapInArrow(terms, "id long, y int, terms binary").dropDuplicates(["id", "terms"]).orderBy(F.xxhash64("id"), F.col("id"), F.crc32("terms")).limit(max_rows).toArrow()
-    return FactorizationMachine(bits).fit(term_rows(got.column("terms")), np.array(got.column("y").to_pylist(), np.float64))
+    got = train.mapInArrow(terms, "id long, y int, terms binary").dropDuplicates(["id", "terms"]).orderBy(F.xxhash64("id"), F.col("id"), F.crc32("terms")).limit(max_rows)
+
+    def make(table: pa.Table) -> FactorizationMachine:
+        return FactorizationMachine(bits).fit(term_rows(table.column("terms")), table.column("y").to_numpy().astype(np.float64))
+
+    return common.made_by_task(got, make) or FactorizationMachine(bits)
 
 
 def term_rows(column: pa.ChunkedArray) -> list[np.ndarray]:

@@ -1,8 +1,10 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from rugosa.llm import common, toxicity
+from rugosa.llm import common, mixing, toxicity
 
 
 def test_stages(spark, sf):
@@ -60,3 +62,15 @@ def test_mixing_stage_repeats_rows_whole_and_drops_none(spark, sf):
     before, after = (Counter(tuple(r) for r in d.collect()) for d in (docs, pipeline.mixing_stage(spark, docs, sf)))
     assert set(after) == set(before)
     assert all(before[r] * pipeline.MIX_LOW <= after[r] <= before[r] * math.ceil(pipeline.MIX_HIGH) for r in before)
+
+
+def test_fits_leave_the_training_rows_out_of_the_driver(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(type(docs), "toArrow", None)
+    assert toxicity.fit(docs, labels).w.any()
+    assert mixing.fit_classifier(docs, labels, ["good", "poor"]).w.any()
+    assert not toxicity.fit(docs, labels.limit(0)).w.any()
+    assert not mixing.fit_classifier(docs, labels.limit(0), ["good", "poor"]).w.any()
+    rows = spark.range(50, numPartitions=3).orderBy(F.desc("id")).limit(40)
+    assert common.made_by_task(rows, lambda t: t.column("id").to_pylist()) == list(range(49, 9, -1))
+    assert common.made_by_task(rows.where("id < 0"), lambda t: 1) is None
