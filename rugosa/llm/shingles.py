@@ -19,6 +19,8 @@ TRIE_BITS = 3
 SAMPLE_SETS, MAX_COMMON = 20_000, 100_000
 #: Sets that share a prefix shingle are all compared at once up to so many; from more, sets linked already are left out first.
 SMALL = 32
+#: Pairs are confirmed in passes of at most so many, or twice as many as there are texts in them: a bound of the disk that a pass takes.
+PASS_PAIRS = 1 << 15
 #: Bits of a set's sketch, and of the filter by which sets of no pair stay out of a shuffle.
 SKETCH, FILTER = 512, 24
 
@@ -225,8 +227,6 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: i
     some = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(paired, "th long, text string")
     known = common.written(some.join(named, "th").groupBy("th", "sid").agg(F.first("text").alias("text")).drop("th"), "pair-texts")
     common.collected(sets.sparkSession)
-    both = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = RecentSets(shingle_words)
         for b in common.pieces(batches):
@@ -238,10 +238,16 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: i
                 ok.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = common.written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    total, out = pairs.count(), None
+    passes = -(-total // max(PASS_PAIRS, 2 * known.count())) or 1  # a text goes along with each of its pairs
+    for i in range(passes):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == i) if passes > 1 else pairs
+        both = some.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        near_ones = common.written(both.mapInArrow(run, "a long, b long"), "similar")
+        out = near_ones if out is None else out.unionAll(near_ones)
+        common.collected(sets.sparkSession)
     common.dropped(known)
     common.dropped(pairs)
-    common.collected(sets.sparkSession)
     return out
 
 

@@ -121,3 +121,14 @@ def test_recent_sets_are_made_again_when_too_many():
     for _ in range(2):
         for i, t in enumerate(("a b c d", "e f g", "h i j k l m n o", "p")):
             assert made.of(i, pa.scalar(t)).tolist() == shingles.shingle_set(t, 2).tolist()
+
+
+def test_passes_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "PASS_PAIRS", 1)
+    passes, keep = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: (passes.append(name), keep(df, name))[1])
+    base = ["v%d" % i for i in range(150)]
+    texts = [" ".join([*base[:i], "x%d" % i, *base[i + 1 :]]) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in shingles.near_duplicates(df).collect()} == {0}
+    assert passes.count("similar") > 1
