@@ -6,7 +6,7 @@ import os
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_KEPT: dict[Hashable, object] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; unset, a local one in local mode, and an error on a cluster."""
@@ -84,11 +86,25 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """make(), which a Python worker keeps from task to task until it asks for another key: workers outlive the stages that share them, and their tables would add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def released() -> None:
+    """Gives back the memory that Arrow keeps of batches gone by, which a Python worker would hold on to between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what Python holds of one stays small."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        released()
 
 
 def portions(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, size: int = 5 << 20) -> Iterator[pa.RecordBatch]:
@@ -101,6 +117,7 @@ def portions(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, s
             j = min(i + rows, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right")))
             yield b.slice(i, max(1, j - i))
             i += max(1, j - i)
+        released()
 
 
 def groups_of(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -10,11 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from . import common
+
 # White space of Unicode and the four separators that Python's split() also takes.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 # Fixed value: the pattern of byte-level vocabularies that name none of their own.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_KEPT: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -27,10 +28,8 @@ def vocabulary(name: str) -> str:
 
 
 def encoder(path: str, byte_level: bool) -> ChunkEncoder:
-    """One for each Python worker, which keeps it from task to task."""
-    if (path, byte_level) not in _KEPT:
-        _KEPT[path, byte_level] = ChunkEncoder(path, byte_level)
-    return _KEPT[path, byte_level]
+    """One for each Python worker, as common.kept has it."""
+    return common.kept(("encoder", path, byte_level), lambda: ChunkEncoder(path, byte_level))
 
 
 class ChunkEncoder(dict):

@@ -16,7 +16,6 @@ from . import common
 _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows a model is fitted on at most, the ones whose ids hash lowest: a bound of the training, not of what is scored.
 MAX_TRAIN_ROWS = 16_000
-_KNOWN: dict[int, TermHasher] = {}
 
 
 class TermHasher(dict):
@@ -40,9 +39,7 @@ class TermHasher(dict):
 
 
 def hasher(bits: int) -> TermHasher:
-    if bits not in _KNOWN:
-        _KNOWN[bits] = TermHasher(bits)
-    return _KNOWN[bits]
+    return common.kept(("terms", bits), lambda: TermHasher(bits))
 
 
 class FactorizationMachine:

@@ -1,10 +1,12 @@
 import math
+import weakref
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from rugosa.llm import common, mixing, toxicity
+from rugosa.llm import common, mixing, tokens, toxicity
 
 
 def test_stages(spark, sf):
@@ -74,3 +76,21 @@ def test_fits_leave_the_training_rows_out_of_the_driver(spark, sf, monkeypatch):
     rows = spark.range(50, numPartitions=3).orderBy(F.desc("id")).limit(40)
     assert common.made_by_task(rows, lambda t: t.column("id").to_pylist()) == list(range(49, 9, -1))
     assert common.made_by_task(rows.where("id < 0"), lambda t: 1) is None
+
+
+def test_a_worker_keeps_one_stages_words():
+    first = toxicity.hasher(17)
+    assert toxicity.hasher(17) is first
+    gone = [weakref.ref(first), weakref.ref(toxicity.hasher(16))]
+    del first
+    assert gone[0]() is None
+    enc = tokens.encoder(tokens.vocabulary("word_bpe_49k.json"), False)
+    assert gone[1]() is None and tokens.encoder(tokens.vocabulary("word_bpe_49k.json"), False) is enc
+
+
+def test_memory_is_given_back_after_each_batch(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "released", lambda: done.append(1))
+    b = pa.RecordBatch.from_pydict({"text": ["a b", None, "c"]})
+    assert [x.num_rows for x in common.pieces([b, b], 2)] == [2, 1, 2, 1] and len(done) == 2
+    assert sum(x.num_rows for x in common.portions([b, b], "text")) == 6 and len(done) == 4
